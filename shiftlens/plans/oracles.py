@@ -145,6 +145,105 @@ FRAMES: dict[str, tuple[list[str], str]] = {
                (travel::decimal(20,0) * 0.000001)::decimal(18,2) as travel_hours,
                (uses > 0)::int as vehicle_usage
         from measures"""),
+    # -------------------------------------------------------------- validators
+    "abs_days": (["absences"], """
+        select employee_id, work_date, count(*)::bigint as absences
+        from (select employee_id, unnest(generate_series(from_date, to_date, interval 1 day))::date as work_date
+              from absences where state = 'approved') group by all"""),
+    "act_start": (["activities"], """
+        select employee_id, start_ts::date as work_date, (sum(duration_hours) * 1000000)::bigint as act,
+               count(*)::bigint as activities,
+               count(*) filter (where lower(description) like '%remoto%' or lower(description) like '%teamviewer%'
+                                   or lower(description) like '%remote%')::bigint as remote_activities
+        from activities group by all"""),
+    "cal_start": (["calendar"], """
+        select employee_id, start_ts::date as work_date,
+               sum(floor(date_sub('minute', start_ts, end_ts)::double / 60.0::double * 1000000.0::double + 0.5::double)::bigint)::bigint as cal
+        from calendar group by all"""),
+    "v_hours": (["employees", "k_ts", "act_start", "cal_start"], """
+        select *, greatest(abs(ts - act), abs(ts - cal)) as gap from (
+          select employee_id, work_date, punches, ts, coalesce(act, 0) as act, coalesce(cal, 0) as cal
+          from k_ts left join act_start using (employee_id, work_date)
+          left join cal_start using (employee_id, work_date)
+          where employee_id in (select employee_id from employees where active))"""),
+    "v_hours_faithful": (["v_hours"], """
+        select *, greatest(abs(ts - act), abs(ts - cal)) as gap from (
+          select employee_id, work_date, punches, ts, act * punches as act, cal * punches as cal from v_hours)"""),
+    "v_overlaps": (["employees", "timesheets"], """
+        select a.employee_id, a.work_date, count(*)::bigint as n_overlaps
+        from timesheets a join timesheets b
+          on a.employee_id = b.employee_id and a.work_date = b.work_date and a.id <> b.id
+         and a.start_ts < b.end_ts and b.start_ts < a.end_ts
+        where a.employee_id in (select employee_id from employees where active)
+        group by all"""),
+    "v_travel": (["employees", "timesheets", "vehicle_log", "clients"], """
+        select t.employee_id, t.work_date, t.client_id, c.client_name as worked_client,
+               v.client_id as car_client_id, c2.client_name as car_client, count(*)::bigint as occurrences
+        from timesheets t join clients c on c.client_id = t.client_id
+        left join vehicle_log v on v.employee_id = t.employee_id and v.work_date = t.work_date
+        left join clients c2 on c2.client_id = v.client_id
+        where t.employee_id in (select employee_id from employees where active)
+          and (v.client_id is null or v.client_id <> t.client_id)
+        group by all"""),
+    "v_sessions": (["employees", "k_rem", "act_start"], """
+        select r.employee_id, r.work_date, r.remote_sessions
+        from k_rem r
+        where r.employee_id in (select employee_id from employees where active)
+          and not exists (select 1 from act_start a where a.employee_id = r.employee_id
+                          and a.work_date = r.work_date and a.remote_activities > 0)"""),
+    "v_short": (["employees", "k_ts", "absences"], """
+        select t.employee_id, t.work_date, t.ts
+        from k_ts t where t.ts < 7000000
+          and t.employee_id in (select employee_id from employees where active)
+          and not exists (select 1 from absences a where a.employee_id = t.employee_id and a.state = 'approved'
+                          and a.from_date <= t.work_date and a.to_date >= t.work_date)"""),
+    "v_reports": (["employees", "k_ts", "activities"], """
+        select t.employee_id, t.work_date, t.ts
+        from k_ts t where t.ts > 4000000
+          and t.employee_id in (select employee_id from employees where active)
+          and not exists (select 1 from activities a where a.employee_id = t.employee_id
+                          and a.start_ts::date = t.work_date)"""),
+    "anomalies_raw": (["v_hours", "v_overlaps", "v_travel", "v_sessions", "v_short", "v_reports"], """
+        select employee_id, work_date, 'hours_mismatch' as type,
+               case when gap > 3000000 then 'high' when gap > 2000000 then 'medium' else 'low' end as severity,
+               'hours differ: timesheet ' || (ts::decimal(20,0) * 0.000001)::decimal(18,2)::varchar || 'h, activities '
+                 || (act::decimal(20,0) * 0.000001)::decimal(18,2)::varchar || 'h, calendar '
+                 || (cal::decimal(20,0) * 0.000001)::decimal(18,2)::varchar || 'h' as description,
+               '{"timesheet_hours":' || (ts::decimal(20,0) * 0.000001)::decimal(18,2)::varchar
+                 || ',"activity_hours":' || (act::decimal(20,0) * 0.000001)::decimal(18,2)::varchar
+                 || ',"calendar_hours":' || (cal::decimal(20,0) * 0.000001)::decimal(18,2)::varchar
+                 || ',"activity_gap":' || (abs(ts - act)::decimal(20,0) * 0.000001)::decimal(18,2)::varchar
+                 || ',"calendar_gap":' || (abs(ts - cal)::decimal(20,0) * 0.000001)::decimal(18,2)::varchar || '}' as details
+        from v_hours where gap > 1000000
+        union all
+        select employee_id, work_date, 'overlaps', 'high',
+               'overlapping punches: ' || n_overlaps::varchar || ' conflicts', '{"overlaps":' || n_overlaps::varchar || '}'
+        from v_overlaps
+        union all
+        select employee_id, work_date, 'travel_mismatch', 'medium',
+               case when car_client is null then 'work at ' || worked_client || ' without a recorded vehicle'
+                    else 'vehicle used for ' || car_client || ' but work at ' || worked_client end,
+               '{"worked_client":"' || worked_client || '"'
+                 || coalesce(',"car_client":"' || car_client || '"', '')
+                 || ',"occurrences":' || occurrences::varchar || '}'
+        from v_travel
+        union all
+        select employee_id, work_date, 'orphan_sessions', 'medium',
+               remote_sessions::varchar || ' remote sessions without a matching activity',
+               '{"remote_sessions":' || remote_sessions::varchar || ',"matching_activities":0}'
+        from v_sessions
+        union all
+        select employee_id, work_date, 'insufficient_hours', 'high',
+               'only ' || (ts::decimal(20,0) * 0.000001)::decimal(18,2)::varchar || 'h of 7h and no approved absence',
+               '{"timesheet_hours":' || (ts::decimal(20,0) * 0.000001)::decimal(18,2)::varchar || ',"minimum_hours":7}'
+        from v_short
+        union all
+        select employee_id, work_date, 'missing_reports', 'high',
+               (ts::decimal(20,0) * 0.000001)::decimal(18,2)::varchar || 'h worked without any activity',
+               '{"timesheet_hours":' || (ts::decimal(20,0) * 0.000001)::decimal(18,2)::varchar || ',"activities":0}'
+        from v_reports"""),
+    "anomalies": (["anomalies_raw"], """
+        select *, (employee_id + day(work_date)) % 3 = 0 as resolved from anomalies_raw"""),
 }
 
 
