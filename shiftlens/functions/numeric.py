@@ -17,9 +17,14 @@ def to_micro(value: Column) -> Column:
     return F.floor(value.cast("double") * F.lit(float(MICRO)) + F.lit(0.5)).cast("bigint")
 
 
+def micro_sql(micro: str, scale: int = 2) -> str:
+    """SQL text: whole millionths -> decimal with ``scale`` digits, half away from zero."""
+    return f"cast(cast({micro} as decimal(20,0)) * cast(0.000001 as decimal(7,6)) as decimal(18,{scale}))"
+
+
 def micro_to_decimal(micro: Column, scale: int = 2) -> Column:
     """Whole millionths -> decimal with ``scale`` digits, half away from zero."""
-    exact = micro.cast("decimal(20,0)") * F.lit("0.000001").cast("decimal(7,6)")
+    exact = micro.cast("decimal(20,0)") * F.expr("cast(0.000001 as decimal(7,6))")
     return exact.cast(f"decimal(18,{scale})")
 
 

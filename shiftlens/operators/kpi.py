@@ -1,10 +1,12 @@
 """The daily KPI job: one row per active employee and day.
 
-Plan.  Every feed is reduced to partial measures per (employee, day); the spine is one
-more such input.  All inputs are united and aggregated once, so the whole job needs a
-single exchange on (employee, day), and the map-side part of the aggregation collapses
-a hot employee before that exchange.  Nothing is joined except the client check of the
-on-site hours, which runs on rows already aggregated per client.
+Plan.  Every feed is projected to rows of measures keyed by (employee, day); the spine is
+one more such input.  All rows are united and aggregated once, so the whole job needs a
+single exchange on (employee, day), and the map-side part of the aggregation collapses a
+hot employee before that exchange.  Nothing is joined except the client check of the
+on-site hours.
+
+``*_rows`` functions project, the functions without the suffix aggregate one feed alone.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ MEASURES = [
 ]
 
 
-# ---------------------------------------------------------------- partial measures
+# ---------------------------------------------------------------- measure rows
 
 
 def _decimal_micro(hours: Column) -> Column:
@@ -37,27 +39,35 @@ def _decimal_micro(hours: Column) -> Column:
     return (hours.cast("decimal(18,6)") * F.lit(N.MICRO)).cast("bigint")
 
 
+def _per_day(rows: DataFrame) -> DataFrame:
+    measures = [c for c in rows.columns if c not in KEYS]
+    return rows.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in measures])
+
+
+def timesheet_rows(timesheets: DataFrame) -> DataFrame:
+    return timesheets.select(*KEYS, _decimal_micro(F.col("hours")).alias("timesheet_micro"))
+
+
 def timesheet_hours(timesheets: DataFrame) -> DataFrame:
     """Hours punched per employee and day."""
-    return timesheets.groupBy(*KEYS).agg(
-        F.sum(_decimal_micro(F.col("hours"))).alias("timesheet_micro")
-    )
+    return _per_day(timesheet_rows(timesheets))
 
 
-def onsite_hours(timesheets: DataFrame, clients: DataFrame) -> DataFrame:
-    """Hours punched at a client that exists.  Rows are reduced per (employee, day, client)
-    before they meet the client table."""
-    per_client = (
-        timesheets.where(F.col("client_id").isNotNull())
-        .groupBy(*KEYS, "client_id")
-        .agg(F.sum(_decimal_micro(F.col("hours"))).alias("onsite_micro"))
-    )
+def onsite_rows(timesheets: DataFrame, clients: DataFrame) -> DataFrame:
+    """Punches at a client that exists.  Rows without a client are dropped before the join,
+    so the missing key never forms a hot partition."""
+    at_client = timesheets.where(F.col("client_id").isNotNull())
     known = clients.select("client_id")
-    return per_client.join(known, "client_id", "left_semi").groupBy(*KEYS).agg(
-        F.sum("onsite_micro").alias("onsite_micro")
+    return at_client.join(known, "client_id", "left_semi").select(
+        *KEYS, _decimal_micro(F.col("hours")).alias("onsite_micro")
     )
 
 
+def onsite_hours(timesheets: DataFrame, clients: DataFrame) -> DataFrame:
+    """Hours punched at a known client per employee and day."""
+    return _per_day(onsite_rows(timesheets, clients))
+
+
 def spread_over_days(df: DataFrame, date_from=None, date_to=None) -> DataFrame:
     """A span row becomes one row per day it touches, with ``day_minutes`` and
     ``single_day``; the other columns are repeated."""
@@ -65,8 +75,10 @@ def spread_over_days(df: DataFrame, date_from=None, date_to=None) -> DataFrame:
     out = T.explode_days(
         df, F.to_date(start), F.to_date(end), "work_date", as_date(date_from), as_date(date_to)
     )
-    return out.withColumn("single_day", T.is_single_day(start, end)).withColumn(
-        "day_minutes", T.minutes_on_day(start, end, F.col("work_date"))
+    return out.select(
+        "*",
+        T.is_single_day(start, end).alias("single_day"),
+        T.minutes_on_day(start, end, F.col("work_date")).alias("day_minutes"),
     )
 
 
@@ -87,147 +99,131 @@ def _wall_clock() -> Column:
     return N.to_micro(F.col("day_minutes").cast("double") / F.lit(60.0))
 
 
-def activity_measures(activities: DataFrame, date_from=None, date_to=None) -> DataFrame:
-    """Activity hours and billable hours per employee and day, in one pass.
+def activity_rows(activities: DataFrame, date_from=None, date_to=None) -> DataFrame:
+    """Activity and billable hours, one row per activity and day it touches.
 
     Activity hours: the recorded duration on a single day, wall-clock time per day
     otherwise.  Billable hours: the recorded duration, shared over the days."""
-    spread = spread_over_days(activities, date_from, date_to)
     worked = F.when(F.col("single_day"), _decimal_micro(F.col("duration_hours"))).otherwise(
         _wall_clock()
     )
-    return (
-        spread.select(
-            *KEYS,
-            worked.alias("worked"),
-            F.when(F.col("billable"), _share_of_duration()).alias("billed"),
-        )
-        .groupBy(*KEYS)
-        .agg(F.sum("worked").alias("activity_micro"), F.sum("billed").alias("billable_micro"))
+    return spread_over_days(activities, date_from, date_to).select(
+        *KEYS,
+        worked.alias("activity_micro"),
+        F.when(F.col("billable"), _share_of_duration()).alias("billable_micro"),
+    )
+
+
+def activity_hours(activities: DataFrame, date_from=None, date_to=None) -> DataFrame:
+    """Activity and billable hours per employee and day."""
+    return _per_day(activity_rows(activities, date_from, date_to))
+
+
+def calendar_rows(calendar: DataFrame, date_from=None, date_to=None) -> DataFrame:
+    return spread_over_days(calendar, date_from, date_to).select(
+        *KEYS, _wall_clock().alias("calendar_micro")
     )
 
 
 def calendar_hours(calendar: DataFrame, date_from=None, date_to=None) -> DataFrame:
     """Hours of appointments per employee and day."""
-    return (
-        spread_over_days(calendar, date_from, date_to)
-        .groupBy(*KEYS)
-        .agg(F.sum(_wall_clock()).alias("calendar_micro"))
+    return _per_day(calendar_rows(calendar, date_from, date_to))
+
+
+def remote_rows(remote_sessions: DataFrame) -> DataFrame:
+    return remote_sessions.select(
+        "employee_id", F.to_date("start_ts").alias("work_date"), F.lit(1).alias("remote_sessions")
     )
 
 
 def remote_session_count(remote_sessions: DataFrame) -> DataFrame:
     """Remote sessions started per employee and day."""
-    return remote_sessions.groupBy("employee_id", F.to_date("start_ts").alias("work_date")).agg(
-        F.count(F.lit(1)).alias("remote_sessions")
+    return _per_day(remote_rows(remote_sessions))
+
+
+def vehicle_rows(vehicle_log: DataFrame) -> DataFrame:
+    minutes = T.minutes_between(F.col("pickup_ts"), F.col("return_ts")).cast("double")
+    return vehicle_log.select(
+        *KEYS,
+        F.coalesce(N.to_micro(minutes / F.lit(60.0)), F.lit(0)).alias("travel_micro"),
+        F.lit(1).alias("vehicle_uses"),
     )
 
 
 def vehicle_measures(vehicle_log: DataFrame) -> DataFrame:
     """Hours driven (returned vehicles only) and number of uses per employee and day."""
-    hours = N.to_micro(
-        T.minutes_between(F.col("pickup_ts"), F.col("return_ts")).cast("double") / F.lit(60.0)
-    )
-    return vehicle_log.groupBy(*KEYS).agg(
-        F.coalesce(F.sum(hours), F.lit(0)).alias("travel_micro"),
-        F.count(F.lit(1)).alias("vehicle_uses"),
-    )
+    return _per_day(vehicle_rows(vehicle_log))
 
 
 # ---------------------------------------------------------------- derived measures
 
+# Effective hours are the larger of the two sources: none is negative, so one missing
+# source simply is 0.
+EFFECTIVE = "greatest(timesheet_micro, activity_micro)"
 
-def effective_hours(timesheet: Column, activity: Column) -> Column:
-    """The larger of the two sources; none is negative, so one missing source is 0."""
-    return F.greatest(timesheet, activity)
 
-
-def efficiency(billable: Column, timesheet: Column, activity: Column, s: Settings) -> Column:
+def efficiency_sql(s: Settings) -> str:
     """Billable share of the effective hours in percent, capped."""
-    effective = effective_hours(timesheet, activity).cast("double")
-    base = F.when(effective > 0, effective).otherwise(
-        F.lit(float(s.hours_per_day) * N.MICRO)
-    )
-    return F.least(
-        F.lit(float(s.efficiency_cap)), billable.cast("double") / base * F.lit(100.0)
+    idle = float(s.hours_per_day) * N.MICRO
+    base = f"case when {EFFECTIVE} > 0 then cast({EFFECTIVE} as double) else {idle}D end"
+    return f"least({float(s.efficiency_cap)}D, cast(billable_micro as double) / ({base}) * 100D)"
+
+
+def _alert_rules() -> list[tuple[str, str, str, str]]:
+    """(level, code, condition, message), as SQL over the measures of a KPI row."""
+    ts, act = N.micro_sql("timesheet_micro"), N.micro_sql("activity_micro")
+    cal, bill = N.micro_sql("calendar_micro"), N.micro_sql("billable_micro")
+    gap = (
+        "try_divide(cast(abs(activity_micro - timesheet_micro) as double), "
+        "cast(timesheet_micro as double)) * 100D"
     )
-
-
-def daily_cost(own: Column, s: Settings) -> Column:
-    return F.coalesce(own, F.lit(s.default_daily_cost)).cast("decimal(18,2)")
-
-
-def _money(micro: Column, rate) -> Column:
-    """Whole millionths of an hour times an hourly rate -> decimal cents."""
-    exact = N.micro_to_decimal(micro, 6) * F.lit(rate).cast("decimal(8,2)")
-    return exact.cast("decimal(18,2)")
-
-
-def _profit(micro: Column, cost: Column, rate) -> Column:
-    exact = N.micro_to_decimal(micro, 6) * F.lit(rate).cast("decimal(8,2)")
-    return (exact - cost).cast("decimal(18,2)")
-
-
-# Severity of an alert level when it becomes an anomaly.
-ALERT_SEVERITY = {"CRITICAL": "critical", "WARNING": "high", "INFO": "medium"}
-
-
-def consistency_alerts(
-    timesheet: Column, activity: Column, calendar: Column, billable: Column, rate: Column
-) -> Column:
-    """Array of the alerts a KPI row raises, at most one per rule."""
-
-    def hours(micro: Column) -> Column:
-        return N.micro_to_decimal(micro, 2).cast("string")
-
-    def alert(condition: Column, level: str, code: str, message: Column) -> Column:
-        return F.when(
-            condition,
-            F.struct(
-                F.lit(level).alias("level"), F.lit(code).alias("code"), message.alias("message")
-            ),
-        )
-
-    gap = F.try_divide(
-        F.abs(activity - timesheet).cast("double"), timesheet.cast("double")
-    ) * F.lit(100.0)
-    gap_text = N.micro_to_decimal(N.to_micro(gap), 2).cast("string")
-    rate_text = N.micro_to_decimal(N.to_micro(rate), 2).cast("string")
-    rules = [
-        alert(
-            (timesheet > 0) & (billable > timesheet),
+    gap_text = N.micro_sql(f"floor({gap} * 1000000D + 0.5D)")
+    rate_text = N.micro_sql("floor(raw_efficiency * 1000000D + 0.5D)")
+    return [
+        (
             "CRITICAL",
             "billable_exceeds_timesheet",
-            F.concat(F.lit("billable "), hours(billable), F.lit("h over timesheet "),
-                     hours(timesheet), F.lit("h")),
+            "timesheet_micro > 0 and billable_micro > timesheet_micro",
+            f"concat('billable ', {bill}, 'h over timesheet ', {ts}, 'h')",
         ),
-        alert(
-            (timesheet > 0) & (activity > 0) & (gap > 25),
+        (
             "WARNING",
             "timesheet_activity_mismatch",
-            F.concat(F.lit("gap "), gap_text, F.lit("% between timesheet "), hours(timesheet),
-                     F.lit("h and activities "), hours(activity), F.lit("h")),
+            f"timesheet_micro > 0 and activity_micro > 0 and {gap} > 25D",
+            f"concat('gap ', {gap_text}, '% between timesheet ', {ts}, 'h and activities ', {act}, 'h')",
         ),
-        alert(
-            (calendar > 0) & (timesheet == 0),
+        (
             "WARNING",
             "missing_timesheet",
-            F.concat(F.lit("calendar "), hours(calendar), F.lit("h without timesheet")),
+            "calendar_micro > 0 and timesheet_micro = 0",
+            f"concat('calendar ', {cal}, 'h without timesheet')",
         ),
-        alert(
-            rate > 120,
+        (
             "INFO",
             "high_efficiency",
-            F.concat(F.lit("efficiency "), rate_text, F.lit("%")),
+            "raw_efficiency > 120D",
+            f"concat('efficiency ', {rate_text}, '%')",
         ),
-        alert(
-            (billable > 0) & (timesheet == 0),
+        (
             "WARNING",
             "billable_without_timesheet",
-            F.concat(F.lit("billable "), hours(billable), F.lit("h without timesheet")),
+            "billable_micro > 0 and timesheet_micro = 0",
+            f"concat('billable ', {bill}, 'h without timesheet')",
         ),
-    ]
-    return F.filter(F.array(*rules), lambda a: a.isNotNull())
+    ]
+
+
+def alerts_sql() -> str:
+    """Array of the alerts a KPI row raises, at most one per rule."""
+    rules = ", ".join(
+        f"case when {condition} then named_struct('level', '{level}', 'code', '{code}', 'message', {message}) end"
+        for level, code, condition, message in _alert_rules()
+    )
+    return f"filter(array({rules}), a -> a is not null)"
+
+
+# Severity of an alert level when it becomes an anomaly.
+ALERT_SEVERITY = {"CRITICAL": "critical", "WARNING": "high", "INFO": "medium"}
 
 
 # ---------------------------------------------------------------- assembly
@@ -252,12 +248,12 @@ def daily_measures(
     started = within(F.to_date("start_ts"), date_from, date_to)
     parts = [
         spine,
-        timesheet_hours(timesheets.where(in_period)),
-        onsite_hours(timesheets.where(in_period), clients),
-        activity_measures(activities, date_from, date_to),
-        calendar_hours(calendar, date_from, date_to),
-        remote_session_count(remote_sessions.where(started)),
-        vehicle_measures(vehicle_log.where(in_period)),
+        timesheet_rows(timesheets.where(in_period)),
+        onsite_rows(timesheets.where(in_period), clients),
+        activity_rows(activities, date_from, date_to),
+        calendar_rows(calendar, date_from, date_to),
+        remote_rows(remote_sessions.where(started)),
+        vehicle_rows(vehicle_log.where(in_period)),
     ]
     return (
         union_all(parts, fill=True)
@@ -294,27 +290,24 @@ def daily_kpi(
         employees, timesheets, activities, calendar, remote_sessions, vehicle_log, clients,
         date_from, date_to,
     )
-    ts, act = F.col("timesheet_micro"), F.col("activity_micro")
-    cal, bill = F.col("calendar_micro"), F.col("billable_micro")
-    rate = F.col("raw_efficiency")
-    m = m.withColumn("raw_efficiency", efficiency(bill, ts, act, s)).withColumn(
-        "cost", daily_cost(F.col("own_cost"), s)
-    )
-    return m.select(
+    revenue = f"{N.micro_sql('billable_micro', 6)} * cast({s.hourly_rate} as decimal(8,2))"
+    cost = f"cast(coalesce(own_cost, {s.default_daily_cost}) as decimal(18,2))"
+    rated = m.selectExpr("*", f"{efficiency_sql(s)} as raw_efficiency", f"{cost} as daily_cost")
+    return rated.selectExpr(
         *KEYS,
-        N.micro_to_decimal(ts).alias("timesheet_hours"),
-        N.micro_to_decimal(act).alias("activity_hours"),
-        N.micro_to_decimal(cal).alias("calendar_hours"),
-        N.micro_to_decimal(bill).alias("billable_hours"),
-        N.micro_to_decimal(N.to_micro(rate)).alias("efficiency_rate"),
-        F.col("cost").alias("daily_cost"),
-        _money(bill, s.hourly_rate).alias("revenue"),
-        _profit(bill, F.col("cost"), s.hourly_rate).alias("profit_loss"),
+        f"{N.micro_sql('timesheet_micro')} as timesheet_hours",
+        f"{N.micro_sql('activity_micro')} as activity_hours",
+        f"{N.micro_sql('calendar_micro')} as calendar_hours",
+        f"{N.micro_sql('billable_micro')} as billable_hours",
+        f"{N.micro_sql('floor(raw_efficiency * 1000000D + 0.5D)')} as efficiency_rate",
+        "daily_cost",
+        f"cast({revenue} as decimal(18,2)) as revenue",
+        f"cast({revenue} - daily_cost as decimal(18,2)) as profit_loss",
         "remote_sessions",
-        N.micro_to_decimal(F.col("onsite_micro")).alias("onsite_hours"),
-        N.micro_to_decimal(F.col("travel_micro")).alias("travel_hours"),
-        (F.col("vehicle_uses") > 0).cast("int").alias("vehicle_usage"),
-        consistency_alerts(ts, act, cal, bill, rate).alias("alerts"),
+        f"{N.micro_sql('onsite_micro')} as onsite_hours",
+        f"{N.micro_sql('travel_micro')} as travel_hours",
+        "cast(vehicle_uses > 0 as int) as vehicle_usage",
+        f"{alerts_sql()} as alerts",
     )
 
 

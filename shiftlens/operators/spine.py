@@ -9,8 +9,9 @@ from shiftlens.operators.common import as_date
 
 def period_bounds(timesheets: DataFrame) -> tuple[Column, Column]:
     """First and last timesheet day as scalar subqueries: no job is started here."""
-    bounds = timesheets.agg(F.min("work_date").alias("lo"), F.max("work_date").alias("hi"))
-    return bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    both = F.struct(F.min("work_date").alias("lo"), F.max("work_date").alias("hi"))
+    bounds = timesheets.agg(both.alias("bounds")).scalar()
+    return bounds.getField("lo"), bounds.getField("hi")
 
 
 def employee_days(employees: DataFrame, date_from, date_to) -> DataFrame:

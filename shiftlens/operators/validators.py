@@ -1,8 +1,8 @@
 """Cross-feed validators.
 
 The per-day rules (hours mismatch, orphan sessions, insufficient hours, missing reports)
-all look at one (employee, day) at a time, so they share one ledger: every feed is
-reduced per (employee, day), the reduced rows are united and aggregated once.  Absences
+all look at one (employee, day) at a time, so they share one ledger: every feed is projected
+to (employee, day) rows, which are united and aggregated with a single exchange.  Absences
 are exploded to days instead of being joined by range.  Overlaps are counted with a sweep
 over distinct instants and travel is compared on distinct clients per day, so no rule
 ever builds the pairs of a crowded day.
@@ -36,14 +36,19 @@ def mentions_remote(description: Column, words: list[str] | None = None) -> Colu
     return low.rlike("|".join(words or REMOTE_WORDS))
 
 
-def absence_days(absences: DataFrame, date_from=None, date_to=None) -> DataFrame:
-    """Days covered by approved absences, with the number of absences that cover each."""
+def _approved_days(absences: DataFrame, date_from=None, date_to=None) -> DataFrame:
     approved = absences.where(F.col("state") == "approved")
-    spread = T.explode_days(
+    return T.explode_days(
         approved, F.col("from_date"), F.col("to_date"), "work_date",
         as_date(date_from), as_date(date_to),
     )
-    return spread.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("absences"))
+
+
+def absence_days(absences: DataFrame, date_from=None, date_to=None) -> DataFrame:
+    """Days covered by approved absences, with the number of absences that cover each."""
+    return _approved_days(absences, date_from, date_to).groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("absences")
+    )
 
 
 def day_ledger(
@@ -59,32 +64,21 @@ def day_ledger(
     the day they start.  One exchange for all five feeds."""
     started = F.to_date("start_ts")
     in_period = within(started, date_from, date_to)
-    sheet = (
-        timesheets.where(within("work_date", date_from, date_to))
-        .groupBy(*KEYS)
-        .agg(F.sum(_micro(F.col("hours"))).alias("ts"), F.count(F.lit(1)).alias("punches"))
+    one = F.lit(1)
+    day = ["employee_id", started.alias("work_date")]
+    sheet = timesheets.where(within("work_date", date_from, date_to)).select(
+        *KEYS, _micro(F.col("hours")).alias("ts"), one.alias("punches")
     )
-    work = (
-        activities.where(in_period)
-        .groupBy("employee_id", started.alias("work_date"))
-        .agg(
-            F.sum(_micro(F.col("duration_hours"))).alias("act"),
-            F.count(F.lit(1)).alias("activities"),
-            F.count(F.when(mentions_remote(F.col("description")), F.lit(1))).alias("remote_activities"),
-        )
+    work = activities.where(in_period).select(
+        *day,
+        _micro(F.col("duration_hours")).alias("act"),
+        one.alias("activities"),
+        mentions_remote(F.col("description")).cast("int").alias("remote_activities"),
     )
     minutes = T.minutes_between(F.col("start_ts"), F.col("end_ts")).cast("double")
-    planned = (
-        calendar.where(in_period)
-        .groupBy("employee_id", started.alias("work_date"))
-        .agg(F.sum(N.to_micro(minutes / F.lit(60.0))).alias("cal"))
-    )
-    remote = (
-        remote_sessions.where(in_period)
-        .groupBy("employee_id", started.alias("work_date"))
-        .agg(F.count(F.lit(1)).alias("sessions"))
-    )
-    covered = absence_days(absences, date_from, date_to)
+    planned = calendar.where(in_period).select(*day, N.to_micro(minutes / F.lit(60.0)).alias("cal"))
+    remote = remote_sessions.where(in_period).select(*day, one.alias("sessions"))
+    covered = _approved_days(absences, date_from, date_to).select(*KEYS, one.alias("absences"))
     names = ["ts", "punches", "act", "activities", "remote_activities", "cal", "sessions", "absences"]
     return (
         union_all([sheet, work, planned, remote, covered], fill=True)

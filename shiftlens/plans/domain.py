@@ -1,27 +1,24 @@
 """Workforce frames derived from the test tables.
 
-The same rules, as SQL, are the ``FRAMES`` of ``oracles.py``.  Every frame covers its
-whole source table.
+The same rules, as SQL for the comparison engine, are the ``FRAMES`` of ``oracles.py``.
+Every frame covers its whole source table.  Seconds and cents are cut off with floor: a
+plain rule that every engine agrees on.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shiftlens.session import use_utc
 
-HOURS = "decimal(5,2)"
+CENTS = "cast(cast(floor({0} * 100D) as decimal(18,0)) * cast(0.01 as decimal(3,2)) as decimal(5,2))"
+SHIFT = "least(value / 20D, 12D)"
 
 
-def _cents(value: Column) -> Column:
-    """Two decimals, cut off: a plain rule that every engine agrees on."""
-    return (F.floor(value * F.lit(100.0)).cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(HOURS)
-
-
-def _plus_seconds(ts: Column, seconds: Column) -> Column:
-    return F.timestamp_add("SECOND", F.floor(seconds).cast("bigint"), ts)
+def _later(seconds: str) -> str:
+    return f"timestampadd(SECOND, cast(floor({seconds}) as bigint), ts0)"
 
 
 class Domain:
@@ -30,146 +27,144 @@ class Domain:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = use_utc(spark)
         self.dir = sf_dir.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._tables[name]
 
     def _events(self, kind: str) -> DataFrame:
-        e = self.table("events").where(F.col("event_type") == kind)
-        return e.withColumn("ts0", F.date_trunc("second", F.col("ts").cast("timestamp")))
+        return (
+            self.table("events")
+            .where(f"event_type = '{kind}'")
+            .selectExpr("*", "date_trunc('second', cast(ts as timestamp)) as ts0")
+        )
 
     @cached_property
     def employees(self) -> DataFrame:
-        """People seen in the events, named from the customer table."""
-        seen = self.table("events").select(F.col("user_id").alias("employee_id")).distinct()
-        c = self.table("customer").alias("c")
-        n = self.table("nation").alias("n")
-        named = (
-            seen.join(c, F.col("employee_id") == F.col("c.c_custkey"), "left")
-            .join(n, F.col("c.c_nationkey") == F.col("n.n_nationkey"), "left")
-        )
-        k = F.col("employee_id")
-        segment = F.lower("c.c_mktsegment")
-        return named.select(
+        """People seen in the events, named from the customer and nation tables."""
+        seen = self.table("events").selectExpr("user_id as employee_id").distinct()
+        named = seen.join(
+            self.table("customer"), F.expr("employee_id = c_custkey"), "left"
+        ).join(self.table("nation"), F.expr("c_nationkey = n_nationkey"), "left")
+        return named.selectExpr(
             "employee_id",
-            F.initcap(segment).alias("first_name"),
-            F.concat(
-                F.lit("Zz"),
-                F.translate(k.cast("string"), "0123456789", "abcdefghij"),
-                F.lit(" "),
-                F.initcap(F.translate(F.lower("n.n_name"), "_0123456789", "xabcdefghij")),
-            ).alias("last_name"),
-            F.col("c.c_name").alias("full_name"),
-            F.when(k % 7 != 0, (80 + (k % 3) * 60).cast("decimal(8,2)")).alias("daily_cost"),
-            (k % 10 != 0).alias("active"),
+            "initcap(lower(c_mktsegment)) as first_name",
+            "concat('Zz', translate(cast(employee_id as string), '0123456789', 'abcdefghij'), ' ', "
+            "initcap(translate(lower(n_name), '_0123456789', 'xabcdefghij'))) as last_name",
+            "c_name as full_name",
+            "case when employee_id % 7 <> 0 then cast(80 + (employee_id % 3) * 60 as decimal(8,2)) end as daily_cost",
+            "employee_id % 10 <> 0 as active",
         )
 
     @cached_property
     def clients(self) -> DataFrame:
-        return self.table("supplier").select(
-            F.col("s_suppkey").alias("client_id"), F.col("s_name").alias("client_name")
-        )
+        return self.table("supplier").selectExpr("s_suppkey as client_id", "s_name as client_name")
 
     @cached_property
     def vehicles(self) -> DataFrame:
         """One vehicle per part size."""
-        return (
-            self.table("part")
-            .select(F.col("p_size").cast("bigint").alias("vehicle_id"))
-            .distinct()
-            .select(
-                "vehicle_id",
-                F.concat(F.lit("Van "), F.col("vehicle_id").cast("string")).alias("vehicle_name"),
-                F.lit("0.35").cast("decimal(5,2)").alias("cost_km"),
-            )
+        sizes = self.table("part").selectExpr("cast(p_size as bigint) as vehicle_id").distinct()
+        return sizes.selectExpr(
+            "vehicle_id",
+            "concat('Van ', vehicle_id) as vehicle_name",
+            "cast(0.35 as decimal(5,2)) as cost_km",
         )
 
     @cached_property
     def timesheets(self) -> DataFrame:
-        hours = F.least(F.col("value") / F.lit(20.0), F.lit(12.0))
-        k = F.col("event_id")
-        return self._events("view").select(
-            k.alias("id"),
-            F.col("user_id").alias("employee_id"),
-            F.when(k % 4 != 0, k % 10).alias("client_id"),
-            F.to_date("ts0").alias("work_date"),
-            F.col("ts0").alias("start_ts"),
-            _plus_seconds(F.col("ts0"), hours * F.lit(3600.0)).alias("end_ts"),
-            _cents(hours).alias("hours"),
+        return self._events("view").selectExpr(
+            "event_id as id",
+            "user_id as employee_id",
+            "case when event_id % 4 <> 0 then event_id % 10 end as client_id",
+            "to_date(ts0) as work_date",
+            "ts0 as start_ts",
+            f"{_later(SHIFT + ' * 3600D')} as end_ts",
+            f"{CENTS.format(SHIFT)} as hours",
         )
 
     @cached_property
     def activities(self) -> DataFrame:
         parts = self.table("part")
         part_count = parts.agg(F.count(F.lit(1))).scalar()
-        k = F.col("event_id")
-        ticket = F.regexp_extract("props", r"([0-9]+)", 1).cast("int")
-        a = self._events("click").select(
-            k.alias("id"),
-            F.col("user_id").alias("employee_id"),
-            (k % 10).alias("client_id"),
-            F.when(ticket % 10 != 0, ticket).alias("ticket_id"),
-            F.col("ts0").alias("start_ts"),
-            _plus_seconds(F.col("ts0"), F.col("value") * F.lit(600.0)).alias("end_ts"),
-            _cents(F.greatest(F.col("value") / F.lit(60.0), F.lit(0.01))).alias("duration_hours"),
-            (k % 5 != 0).alias("billable"),
-            (k % part_count).alias("part_key"),
+        rows = self._events("click").selectExpr(
+            "event_id as id",
+            "user_id as employee_id",
+            "event_id % 10 as client_id",
+            "cast(regexp_extract(props, '([0-9]+)', 1) as int) as ticket",
+            "ts0 as start_ts",
+            f"{_later('value * 600D')} as end_ts",
+            f"{CENTS.format('greatest(value / 60D, 0.01D)')} as duration_hours",
+            "event_id % 5 <> 0 as billable",
         )
-        where = F.when(F.col("id") % 3 == 0, "Remote support: ").otherwise("On-site visit: ")
-        text = F.concat(
-            where, F.col("p_name"), F.lit(", "), F.col("p_type"), F.lit(", "), F.col("p_brand")
+        rows = rows.withColumn("part_key", F.col("id") % part_count)
+        texts = parts.selectExpr("p_partkey", "concat_ws(', ', p_name, p_type, p_brand) as words")
+        return rows.join(texts, F.expr("part_key = p_partkey"), "left").selectExpr(
+            "id",
+            "employee_id",
+            "client_id",
+            "case when ticket % 10 <> 0 then ticket end as ticket_id",
+            "start_ts",
+            "end_ts",
+            "duration_hours",
+            "case when id % 11 <> 0 then concat(case when id % 3 = 0 then 'Remote support: ' "
+            "else 'On-site visit: ' end, words) end as description",
+            "billable",
         )
-        p = parts.select("p_partkey", "p_name", "p_type", "p_brand")
-        return a.join(p, F.col("part_key") == F.col("p_partkey"), "left").select(
-            "id", "employee_id", "client_id", "ticket_id", "start_ts", "end_ts",
+
+    @cached_property
+    def activities_reimported(self) -> DataFrame:
+        """The activities and a second import of all of them.  By id, the second copy is
+        exact, two minutes later, or four minutes later with one word less."""
+        k = "id % 3"
+        again = self.activities.selectExpr(
+            "2 * id + 1 as id",
+            "employee_id",
+            "client_id",
+            "ticket_id",
+            f"timestampadd(MINUTE, cast(({k}) * 2 as int), start_ts) as start_ts",
+            f"timestampadd(MINUTE, cast(({k}) * 2 as int), end_ts) as end_ts",
             "duration_hours",
-            F.when(F.col("id") % 11 != 0, text).alias("description"),
+            f"case when {k} = 2 then regexp_replace(description, ' [^ ]+$', '') else description end as description",
             "billable",
-        )
+        )
+        return self.activities.withColumn("id", F.expr("2 * id")).unionByName(again)
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return self._events("signup").select(
-            F.col("event_id").alias("id"),
-            F.col("user_id").alias("employee_id"),
-            F.col("ts0").alias("start_ts"),
-            _plus_seconds(F.col("ts0"), F.col("value") * F.lit(60.0)).alias("end_ts"),
+        return self._events("signup").selectExpr(
+            "event_id as id",
+            "user_id as employee_id",
+            "ts0 as start_ts",
+            f"{_later('value * 60D')} as end_ts",
         )
 
     @cached_property
     def remote_sessions(self) -> DataFrame:
-        return self._events("error").select(
-            F.col("event_id").alias("id"),
-            F.col("user_id").alias("employee_id"),
-            F.col("ts0").alias("start_ts"),
+        return self._events("error").selectExpr(
+            "event_id as id", "user_id as employee_id", "ts0 as start_ts"
         )
 
     @cached_property
     def vehicle_log(self) -> DataFrame:
-        k = F.col("event_id")
-        return self._events("purchase").select(
-            k.alias("id"),
-            F.col("user_id").alias("employee_id"),
-            (k % 60).alias("vehicle_id"),
-            (k % 10).alias("client_id"),
-            F.to_date("ts0").alias("work_date"),
-            F.col("ts0").alias("pickup_ts"),
-            F.when(k % 5 != 0, _plus_seconds(F.col("ts0"), F.col("value") * F.lit(60.0))).alias("return_ts"),
-            F.when(k % 9 != 0, F.floor("value").cast("int")).alias("km"),
+        return self._events("purchase").selectExpr(
+            "event_id as id",
+            "user_id as employee_id",
+            "event_id % 60 as vehicle_id",
+            "event_id % 10 as client_id",
+            "to_date(ts0) as work_date",
+            "ts0 as pickup_ts",
+            f"case when event_id % 5 <> 0 then {_later('value * 60D')} end as return_ts",
+            "case when event_id % 9 <> 0 then cast(floor(value) as int) end as km",
         )
 
     @cached_property
     def absences(self) -> DataFrame:
-        k = F.col("event_id")
-        day = F.to_date("ts0")
-        state = F.element_at(
-            F.array(*[F.lit(x) for x in ("pending", "approved", "approved", "rejected")]),
-            (k % 4 + 1).cast("int"),
-        )
-        return self._events("signup").select(
-            k.alias("id"),
-            F.col("user_id").alias("employee_id"),
-            day.alias("from_date"),
-            F.date_add(day, (k % 3).cast("int")).alias("to_date"),
-            state.alias("state"),
+        return self._events("signup").selectExpr(
+            "event_id as id",
+            "user_id as employee_id",
+            "to_date(ts0) as from_date",
+            "date_add(to_date(ts0), cast(event_id % 3 as int)) as to_date",
+            "case event_id % 4 when 0 then 'pending' when 3 then 'rejected' else 'approved' end as state",
         )

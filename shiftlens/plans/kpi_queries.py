@@ -76,7 +76,7 @@ QUERIES = {
     ),
     "activity_and_billable_hours": Query(
         "employee_id work_date:text activity_micro billable_micro",
-        lambda d: K.activity_measures(d.activities),
+        lambda d: K.activity_hours(d.activities),
         "select employee_id, work_date, act as activity_micro, bill as billable_micro from k_act",
         ["k_act"],
     ),
