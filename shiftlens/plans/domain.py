@@ -116,21 +116,37 @@ class Domain:
     @cached_property
     def activities_reimported(self) -> DataFrame:
         """The activities and a second import of all of them.  By id, the second copy is
-        exact, two minutes later, or four minutes later with one word less."""
-        k = "id % 3"
+        exact, two minutes later with one word less and a longer duration, two minutes
+        later, or four minutes later."""
+        k = "id % 4"
+        shift = f"case {k} when 0 then 0 when 3 then 4 else 2 end"
         again = self.activities.selectExpr(
             "2 * id + 1 as id",
             "employee_id",
             "client_id",
             "ticket_id",
-            f"timestampadd(MINUTE, cast(({k}) * 2 as int), start_ts) as start_ts",
-            f"timestampadd(MINUTE, cast(({k}) * 2 as int), end_ts) as end_ts",
-            "duration_hours",
-            f"case when {k} = 2 then regexp_replace(description, ' [^ ]+$', '') else description end as description",
+            f"timestampadd(MINUTE, {shift}, start_ts) as start_ts",
+            f"timestampadd(MINUTE, {shift}, end_ts) as end_ts",
+            f"cast(duration_hours + case when {k} = 1 then 0.01 else 0.00 end as decimal(5,2)) as duration_hours",
+            f"case when {k} = 1 then regexp_replace(description, ' [^ ]+$', '') else description end as description",
             "billable",
         )
         return self.activities.withColumn("id", F.expr("2 * id")).unionByName(again)
 
+    @cached_property
+    def timesheets_reimported(self) -> DataFrame:
+        """The timesheets and a second import of them, some with a later end."""
+        again = self.timesheets.selectExpr(
+            "2 * id + 1 as id",
+            "employee_id",
+            "client_id",
+            "work_date",
+            "start_ts",
+            "timestampadd(MINUTE, case when id % 3 = 2 then 5 else 0 end, end_ts) as end_ts",
+            "hours",
+        )
+        return self.timesheets.withColumn("id", F.expr("2 * id")).unionByName(again)
+
     @cached_property
     def calendar(self) -> DataFrame:
         return self._events("signup").selectExpr(

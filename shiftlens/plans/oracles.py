@@ -145,6 +145,70 @@ FRAMES: dict[str, tuple[list[str], str]] = {
                (travel::decimal(20,0) * 0.000001)::decimal(18,2) as travel_hours,
                (uses > 0)::int as vehicle_usage
         from measures"""),
+    # -------------------------------------------------------------- second imports
+    "activities_re": (["activities"], """
+        select * replace (2 * id as id) from activities
+        union all
+        select 2 * id + 1, employee_id, client_id, ticket_id,
+               start_ts + to_minutes(case id % 4 when 0 then 0 when 3 then 4 else 2 end),
+               end_ts + to_minutes(case id % 4 when 0 then 0 when 3 then 4 else 2 end),
+               (duration_hours + case when id % 4 = 1 then 0.01 else 0.00 end)::decimal(5,2),
+               case when id % 4 = 1 then regexp_replace(description, ' [^ ]+$', '') else description end,
+               billable
+        from activities"""),
+    "timesheets_re": (["timesheets"], """
+        select * replace (2 * id as id) from timesheets
+        union all
+        select 2 * id + 1, employee_id, client_id, work_date, start_ts,
+               end_ts + to_minutes(case when id % 3 = 2 then 5 else 0 end), hours
+        from timesheets"""),
+    "first_rows": (["activities_re"], """
+        select a.employee_id, a.ticket_id, a.start_ts, a.duration_hours, f.id, f.n,
+               epoch(a.start_ts)::bigint as s, a.duration_hours::double as dur,
+               lower(trim(a.description)) as txt, strlen(trim(a.description)) as len,
+               row_number() over (partition by a.employee_id, a.ticket_id order by a.id) as rk
+        from activities_re a join (
+          select min(id) as id, count(*) as n from activities_re
+          group by employee_id, start_ts, duration_hours, ticket_id) f using (id)"""),
+    "near_best": (["first_rows"], """
+        with recursive steps as (
+          select employee_id, ticket_id, rk, id, [{'id': id, 's': s, 'dur': dur, 'txt': txt, 'len': len}] as kept,
+                 null::struct(gap bigint, id bigint, score double) as best
+          from first_rows where ticket_id is not null and rk = 1
+          union all
+          select employee_id, ticket_id, rk, id,
+                 case when hits = [] then list_append(kept, {'id': id, 's': s, 'dur': dur, 'txt': txt, 'len': len}) else kept end,
+                 list_sort(hits)[1]
+          from (
+            select r.*, g.kept,
+                   list_filter(list_transform(list_filter(g.kept, lambda k: abs(r.s - k.s) <= 180),
+                     lambda k: {'gap': abs(r.s - k.s) // 60, 'id': k.id, 'score':
+                       least(1.0::double,
+                         (case when r.dur > 0 and k.dur > 0
+                               then greatest(0.0::double, 1.0::double - abs(r.dur - k.dur) / greatest(r.dur, k.dur) * 10.0::double)
+                               else 0.0::double end) * 0.3::double
+                         + (case when r.len > 0 and k.len > 0
+                                 then greatest(0.0::double, 1.0::double - levenshtein(r.txt, k.txt)::double / greatest(r.len, k.len)::double)
+                                 else 0.0::double end) * 0.4::double
+                         + 1.0::double * 0.3::double)}),
+                     lambda h: h.score >= 0.85::double) as hits
+            from steps g join first_rows r
+              on r.employee_id = g.employee_id and r.ticket_id = g.ticket_id and r.rk = g.rk + 1))
+        select id, best from steps where best is not null"""),
+    "decisions": (["activities_re", "first_rows", "near_best"], """
+        select a.id,
+               md5(concat_ws('|', a.employee_id::varchar, strftime(a.start_ts, '%Y-%m-%d %H:%M:%S'),
+                             a.duration_hours::varchar, coalesce(a.ticket_id::varchar, ''))) as activity_hash,
+               case when a.id <> f.id then 'mark' when b.best.score > 0.9::double then 'merge'
+                    when b.best is not null then 'mark' else 'insert' end as action,
+               case when a.id <> f.id then 'exact' when b.best is not null then 'near' end as duplicate_type,
+               case when a.id <> f.id then coalesce(b.best.id, f.id) else b.best.id end as original_id,
+               case when a.id <> f.id then 1.0::double else b.best.score end as confidence,
+               case when a.id = f.id then b.best.gap end as minutes_apart
+        from activities_re a
+        join first_rows f on f.employee_id = a.employee_id and f.start_ts = a.start_ts
+          and f.duration_hours = a.duration_hours and f.ticket_id is not distinct from a.ticket_id
+        left join near_best b on b.id = f.id"""),
     # -------------------------------------------------------------- validators
     "abs_days": (["absences"], """
         select employee_id, work_date, count(*)::bigint as absences

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Options that make the plans below behave at scale: AQE coalesces small shuffle
@@ -52,3 +54,22 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str | None:
     """The shared folder the cluster names for checkpoints and intermediate tables."""
     return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def cut_lineage(df):
+    """Write ``df`` to the reliable checkpoint folder and go on from there.
+
+    The cluster names the folder in ``spark.checkpoint.dir``.  Only a local session
+    without that setting gets a temporary folder; elsewhere the setting is required,
+    since a folder of one machine would be lost with it.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = checkpoint_root(spark)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="shiftlens-checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
