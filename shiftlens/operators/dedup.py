@@ -139,8 +139,8 @@ def greedy_matches(
     """``first`` (block, id, s, dur, txt, len, tic, n) plus ``best``: the nearest kept row
     each row falls to, NULL for kept rows.
 
-    Starts one small job to see whether any chunks meet at a border, and one job per round
-    only when some do.
+    Starts a job that looks for chunks that meet at a border, and two per round when there
+    are some.
     """
     if chunk_s < 2 * window_s:
         raise ValueError("a chunk must be at least twice as long as the comparison window")
@@ -159,33 +159,32 @@ def greedy_matches(
         )
         .where("after and before")
     )
-    touching = live.select(*block, F.explode(F.expr("array(border - 1, border)")).alias("chunk")).distinct()
-    touching = cut_lineage(touching)
-    if touching.isEmpty():
+    touching = live.select(*block, F.explode(F.expr("array(border - 1, border)")).alias("chunk"))
+    linked = cut_lineage(rows.join(touching.distinct(), [*block, "chunk"], "left_semi"))
+    if linked.isEmpty():
         return _decide(rows, block, condition, score)
-    alone = rows.join(touching, [*block, "chunk"], "left_anti")
-    linked = cut_lineage(rows.join(touching, [*block, "chunk"], "left_semi"))
+    occupied = linked.select(*block, "chunk").distinct()
+    alone = rows.join(occupied, [*block, "chunk"], "left_anti")
+
+    def kept_at_border(decided: DataFrame) -> DataFrame:
+        return decided.where("best is null").withColumn("border", border).where("border is not null")
+
     current = cut_lineage(_decide(linked, block, condition, score))
-    while True:
+    settled = False
+    while not settled:
         halo = (
-            current.where("best is null")
-            .withColumn("border", border)
-            .where("border is not null")
+            kept_at_border(current)
             .withColumn("chunk", F.expr("case when chunk = border then chunk - 1 else chunk + 1 end"))
             .drop("border", "best")
             .withColumn("seen", F.lit(True))
-            .join(touching, [*block, "chunk"], "left_semi")
+            .join(occupied, [*block, "chunk"], "left_semi")
         )
         redone = cut_lineage(_decide(linked.unionByName(halo), block, condition, score))
-        before = current.where("best is null").withColumn("border", border).where("border is not null")
-        after = redone.where("best is null").withColumn("border", border).where("border is not null")
-        changed = not (
-            before.join(after, [*block, "id"], "left_anti").isEmpty()
-            and after.join(before, [*block, "id"], "left_anti").isEmpty()
-        )
+        before = kept_at_border(current).select(*block, "id", F.lit(1).alias("side"))
+        after = kept_at_border(redone).select(*block, "id", F.lit(-1).alias("side"))
+        differences = before.unionByName(after).groupBy(*block, "id").agg(F.sum("side").alias("side"))
+        settled = differences.where("side <> 0").isEmpty()
         current = redone
-        if not changed:
-            break
     return _decide(alone, block, condition, score).unionByName(current)
 
 
