@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from shiftlens.plans import dedup_queries, kpi_queries, report_queries, validation_queries
+from shiftlens.plans import (
+    dedup_queries,
+    kpi_queries,
+    people_queries,
+    quality_queries,
+    report_queries,
+    validation_queries,
+)
 from shiftlens.plans.registry import Query
 
-MODULES = [kpi_queries, validation_queries, report_queries, dedup_queries]
+MODULES = [
+    kpi_queries,
+    validation_queries,
+    report_queries,
+    dedup_queries,
+    people_queries,
+    quality_queries,
+]
 
 
 def all_queries() -> dict[str, Query]:

@@ -184,3 +184,79 @@ class Domain:
             "date_add(to_date(ts0), cast(event_id % 3 as int)) as to_date",
             "case event_id % 4 when 0 then 'pending' when 3 then 'rejected' else 'approved' end as state",
         )
+
+    # ------------------------------------------------------------ names and master data
+
+    @cached_property
+    def stored_people(self) -> DataFrame:
+        """Customers as stored people, with the faults that hand-typed names show."""
+        k = "c_custkey % 12"
+        return self.table("customer").selectExpr(
+            "c_custkey as employee_id",
+            f"""case {k} when 0 then 'Punto' when 1 then 'Admin' when 2 then 'Al' when 3 then concat('u', c_custkey, '@example.com')
+                when 4 then repeat('Lungo', 11) when 5 then cast(c_custkey as string) when 6 then 'Anna/Bruno'
+                when 7 then 'Carla, Dino' when 8 then 'Elio' else initcap(lower(c_mktsegment)) end as first_name""",
+            f"""case {k} when 0 then '' when 2 then '' when 8 then 'Ferri; Gatti - Lodi'
+                else concat('Zz', translate(cast(c_custkey as string), '0123456789', 'abcdefghij')) end as last_name""",
+        )
+
+    @cached_property
+    def linked_people(self) -> DataFrame:
+        """Stored counterparts of the employees, most of them linked, some spelled otherwise."""
+        k = "employee_id"
+        return self.employees.selectExpr(
+            f"{k} + 1000000 as employee_id",
+            "first_name",
+            f"case when {k} % 5 = 0 then concat(last_name, ' jr') else last_name end as last_name",
+            f"case when {k} % 3 <> 0 then {k} end as master_id",
+        )
+
+    @cached_property
+    def raw_names(self) -> DataFrame:
+        """The person field of every event, in the spellings feeds use."""
+        e = self.table("events").selectExpr("event_id", "user_id as employee_id", "ts")
+        p = self.employees.select("employee_id", "first_name", "last_name")
+        full = "concat(first_name, ' ', last_name)"
+        return e.join(p, "employee_id").selectExpr(
+            "event_id",
+            "ts",
+            f"""case event_id % 10 when 0 then {full} when 1 then upper({full})
+                when 2 then concat(last_name, ', ', first_name)
+                when 3 then concat(first_name, ' ', substring(last_name, 1, 4))
+                when 4 then concat('Info / ', {full}) when 5 then last_name when 6 then 'Van 12'
+                when 7 then concat('u', employee_id, '@example.com')
+                when 8 then concat('Nuovo Tecnico', translate(cast(employee_id as string), '0123456789', 'abcdefghij'))
+                else concat({full}, ' e Altro Collega') end as name""",
+        )
+
+    @cached_property
+    def aliases(self) -> DataFrame:
+        from shiftlens.operators.people import generate_aliases
+
+        return generate_aliases(self.employees, {"Building": "Bill", "Machinery": "Mac"})
+
+    @cached_property
+    def raw_clients(self) -> DataFrame:
+        """The client field of every order, in the spellings feeds use."""
+        o = self.table("orders")
+        return o.selectExpr(
+            "o_orderkey",
+            """case o_orderkey % 5 when 0 then concat('Supplier#', lpad(cast(o_custkey as string), 9, '0'))
+               when 1 then concat('supplier#', lpad(cast(o_custkey as string), 9, '0'), ' ')
+               when 2 then concat('Supplier ', lpad(cast(o_custkey as string), 9, '0'), ' Italia')
+               when 3 then concat('Azienda ', translate(cast(o_custkey as string), '0123456789', 'abcdefghij'))
+               else '' end as client_name""",
+        )
+
+    @cached_property
+    def queue(self) -> DataFrame:
+        """Review queue: one entry per order whose client is known by key."""
+        return self.table("orders").selectExpr(
+            "o_orderkey as id",
+            "concat('client ', o_custkey) as client_name",
+            "case when o_orderkey % 3 <> 0 then o_custkey % 120 end as suggested_id",
+            "case when o_orderkey % 4 = 0 then o_custkey % 100 end as assigned_id",
+            "case when o_orderkey % 3 <> 0 then 0.7D else 0.0D end as confidence",
+            "case o_orderstatus when 'P' then 'pending' when 'F' then 'assigned' else 'rejected' end as status",
+            "cast(o_orderdate as timestamp) as created_at",
+        )

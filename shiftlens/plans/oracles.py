@@ -145,6 +145,124 @@ FRAMES: dict[str, tuple[list[str], str]] = {
                (travel::decimal(20,0) * 0.000001)::decimal(18,2) as travel_hours,
                (uses > 0)::int as vehicle_usage
         from measures"""),
+    # -------------------------------------------------------------- names and master data
+    "stored_people": ([], """
+        select c_custkey as employee_id,
+               case c_custkey % 12 when 0 then 'Punto' when 1 then 'Admin' when 2 then 'Al'
+                 when 3 then 'u' || c_custkey::varchar || '@example.com' when 4 then repeat('Lungo', 11)
+                 when 5 then c_custkey::varchar when 6 then 'Anna/Bruno' when 7 then 'Carla, Dino' when 8 then 'Elio'
+                 else upper(left(lower(c_mktsegment), 1)) || substr(lower(c_mktsegment), 2) end as first_name,
+               case c_custkey % 12 when 0 then '' when 2 then '' when 8 then 'Ferri; Gatti - Lodi'
+                 else 'Zz' || translate(c_custkey::varchar, '0123456789', 'abcdefghij') end as last_name
+        from customer"""),
+    "linked_people": (["employees"], """
+        select employee_id + 1000000 as employee_id, first_name,
+               case when employee_id % 5 = 0 then last_name || ' jr' else last_name end as last_name,
+               case when employee_id % 3 <> 0 then employee_id end as master_id
+        from employees"""),
+    "raw_names": (["employees"], """
+        select event_id, ts,
+               case event_id % 10 when 0 then first_name || ' ' || last_name
+                 when 1 then upper(first_name || ' ' || last_name)
+                 when 2 then last_name || ', ' || first_name
+                 when 3 then first_name || ' ' || left(last_name, 4)
+                 when 4 then 'Info / ' || first_name || ' ' || last_name
+                 when 5 then last_name when 6 then 'Van 12'
+                 when 7 then 'u' || employee_id::varchar || '@example.com'
+                 when 8 then 'Nuovo Tecnico' || translate(employee_id::varchar, '0123456789', 'abcdefghij')
+                 else first_name || ' ' || last_name || ' e Altro Collega' end as name
+        from events join employees on employee_id = user_id"""),
+    "aliases": (["employees"], """
+        select alias_first, alias_last, min(employee_id) as employee_id from (
+          select employee_id, first_name, last_name, unnest(list_filter([first_name,
+                   case first_name when 'Building' then 'Bill' when 'Machinery' then 'Mac' end], lambda x: x is not null)) as alias_first,
+                 ls as lasts
+          from (select *, list_filter([last_name, case when strlen(last_name) > 4 then left(last_name, 4) end],
+                                      lambda x: x is not null) as ls from employees)) a
+        cross join lateral (select unnest(a.lasts) as alias_last)
+        where alias_first <> first_name or alias_last <> last_name
+        group by alias_first, alias_last"""),
+    "raw_clients": ([], """
+        select o_orderkey,
+               case o_orderkey % 5 when 0 then 'Supplier#' || lpad(o_custkey::varchar, 9, '0')
+                 when 1 then 'supplier#' || lpad(o_custkey::varchar, 9, '0') || ' '
+                 when 2 then 'Supplier ' || lpad(o_custkey::varchar, 9, '0') || ' Italia'
+                 when 3 then 'Azienda ' || translate(o_custkey::varchar, '0123456789', 'abcdefghij')
+                 else '' end as client_name
+        from orders"""),
+    "queue": ([], """
+        select o_orderkey as id, 'client ' || o_custkey::varchar as client_name,
+               case when o_orderkey % 3 <> 0 then o_custkey % 120 end as suggested_id,
+               case when o_orderkey % 4 = 0 then o_custkey % 100 end as assigned_id,
+               case when o_orderkey % 3 <> 0 then 0.7::double else 0.0::double end as confidence,
+               case o_orderstatus when 'P' then 'pending' when 'F' then 'assigned' else 'rejected' end as status,
+               o_orderdate as created_at
+        from orders"""),
+    "master_words": (["employees"], """
+        select employee_id, list_distinct(list_filter(regexp_split_to_array(lower(first_name || ' ' || last_name), '[^a-z0-9]+'),
+                                                      lambda w: length(w) >= 3)) as words
+        from employees where active"""),
+    "word_weights": (["master_words"], """
+        select word, count(*) as df from (select unnest(words) as word from master_words) group by word"""),
+    "candidates": (["raw_names"], """
+        select name, pos, candidate from (
+          select name, unnest(parts) as candidate, generate_subscripts(parts, 1) - 1 as pos from (
+            select name, case when len(p) > 1 then list_append(p, trim(name)) else [trim(name)] end as parts from (
+              select name,
+                coalesce(
+                  case when len(sl) > 1 then sl end, case when len(cm) > 1 then cm end, case when len(an) > 1 then an end, [name]) as p
+              from (select name,
+                           list_filter(list_transform(string_split(name, '/'), lambda x: trim(x)), lambda x: x <> '') as sl,
+                           list_filter(list_transform(string_split(name, ','), lambda x: trim(x)), lambda x: x <> '') as cm,
+                           list_filter(list_transform(string_split(name, ' e '), lambda x: trim(x)), lambda x: x <> '') as an
+                    from (select distinct trim(name) as t, name from raw_names where trim(name) <> '')))))"""),
+    "cand_words": (["candidates", "word_weights", "master_words"], """
+        select candidate, word, floor(ln(1.0::double + (select count(*) from master_words)::double
+                                         / coalesce(df, 1)::double) * 1000000.0::double + 0.5::double)::bigint as wt
+        from (select candidate, unnest(list_distinct(list_filter(regexp_split_to_array(lower(candidate), '[^a-z0-9]+'),
+                                                                 lambda w: length(w) >= 3))) as word
+              from (select distinct candidate from candidates))
+        left join word_weights using (word)"""),
+    "fuzzy": (["cand_words", "master_words"], """
+        select candidate, employee_id, s::double / total::double as score from (
+          select *, row_number() over (partition by candidate order by s desc, employee_id) as rk from (
+            select c.candidate, m.employee_id, sum(c.wt)::bigint as s, any_value(total) as total
+            from (select *, sum(wt) over (partition by candidate) as total from cand_words) c
+            join (select employee_id, unnest(words) as word from master_words) m using (word)
+            group by c.candidate, m.employee_id)
+          where s > 0.5::double * total) where rk = 1"""),
+    "resolved": (["candidates", "employees", "aliases", "fuzzy", "linked_people", "vehicles"], """
+        with c as (select distinct candidate from candidates),
+        answers as (
+          select candidate, 1 as rank, 'master' as method, min(employee_id) as employee_id
+          from c join employees on lower(first_name || ' ' || last_name) = lower(candidate) group by candidate
+          union all
+          select candidate, 2, 'alias', min(employee_id)
+          from c join aliases on trim(lower(alias_first || ' ' || alias_last)) = trim(lower(candidate)) group by candidate
+          union all
+          select candidate, 3, 'fuzzy', employee_id from fuzzy
+          union all
+          select candidate, 4, 'stored', min(employee_id) from c join linked_people
+            on lower(first_name || ' ' || last_name) = lower(candidate)
+              or lower(last_name || ', ' || first_name) = lower(candidate) group by candidate
+          union all
+          select candidate, 5, 'new', -1 from c
+          where strlen(candidate) between 2 and 50 and not contains(candidate, '@')
+            and not regexp_matches(candidate, '^[0-9]+$') and regexp_matches(candidate, '^[a-zA-ZÀ-ÿ ''-]')
+            and not regexp_matches(lower(candidate), '^(pc|nb|server|host|www|http|ftp)')
+            and not regexp_matches(lower(candidate), '[.](com|it|org|net|gov)$')
+            and lower(candidate) not in ('punto', 'fiesta', 'peugeot', 'auto', 'veicolo', 'info', 'system', 'admin', 'test',
+              'user', 'guest', 'true', 'false', 'null', 'aurora', 'reminder', 'meeting', 'riunione', 'supporto', 'backup',
+              'cliente', 'fornitore', 'ufficio', 'sede', 'filiale')
+            and lower(candidate) not in (select lower(vehicle_name) from vehicles)),
+        best as (select * from answers qualify row_number() over (partition by candidate order by rank) = 1),
+        chosen as (
+          select c.name, c.candidate, b.method, b.employee_id
+          from candidates c join best b using (candidate)
+          qualify row_number() over (partition by c.name order by c.pos) = 1)
+        select n.name, candidate, coalesce(method, 'rejected') as method,
+               case when employee_id >= 0 then employee_id end as employee_id
+        from (select distinct name from raw_names where trim(name) <> '') n left join chosen using (name)"""),
     # -------------------------------------------------------------- second imports
     "activities_re": (["activities"], """
         select * replace (2 * id as id) from activities
