@@ -73,13 +73,11 @@ def surname_first(name: Column) -> tuple[Column, Column]:
 
 
 def split_full_name(name: Column) -> tuple[Column, Column]:
-    """Name and surname of a new person: the blank form first, then the comma form."""
-    given, family = first_and_rest(name)
-    return given, family
-
-
-def normalised(name: Column) -> Column:
-    return match_key(name)
+    """Name and surname of a new person: ``Surname, Name``, else first word and rest."""
+    t = F.trim(name)
+    given, family = surname_first(t)
+    first, rest = first_and_rest(t)
+    return F.coalesce(given, first), F.coalesce(family, rest)
 
 
 def _is_in(column: Column, words: list[str]) -> Column:

@@ -8,6 +8,7 @@ from shiftlens.plans import (
     people_queries,
     quality_queries,
     report_queries,
+    sink_queries,
     validation_queries,
 )
 from shiftlens.plans.registry import Query
@@ -19,6 +20,7 @@ MODULES = [
     dedup_queries,
     people_queries,
     quality_queries,
+    sink_queries,
 ]
 
 
