@@ -49,31 +49,22 @@ def is_single_day(start: Column, end: Column) -> Column:
     return F.to_date(start) == F.to_date(end)
 
 
-# Accepted date and date-time spellings, in the order they are tried.
-DATE_FORMATS = ["d/M/yyyy", "yyyy-M-d", "d/M/yyyy H:mm", "yyyy-M-d H:mm:ss"]
-DATETIME_FORMATS = [
-    "d/M/yyyy H:mm:ss",
-    "yyyy-M-d H:mm:ss",
-    "d/M/yyyy H:mm",
-    "yyyy-M-d H:mm",
-    "d/M/yyyy",
-    "yyyy-M-d",
-]
+# Accepted spellings, day first or year first, the time of day optional.
+# Each pattern holds several formats, so a text is named twice only, not once per format.
+DATETIME_FORMATS = ["d/M/yyyy[ H:mm[:ss]]", "yyyy-M-d[ H:mm[:ss]]"]
+DATE_FORMATS = ["d/M/yyyy[ H:mm]", "yyyy-M-d[ H:mm:ss]"]
 TIME_FORMAT = "d/M/yyyy H:mm"
 
 
 def parse_datetime(text: Column) -> Column:
     """First format that fits; blank or unreadable text gives NULL, no time means midnight."""
-    clean = F.nullif(F.trim(text), F.lit(""))
-    return F.coalesce(*[F.try_to_timestamp(clean, F.lit(f)) for f in DATETIME_FORMATS])
+    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in DATETIME_FORMATS])
 
 
 def parse_date(text: Column) -> Column:
-    clean = F.nullif(F.trim(text), F.lit(""))
-    return F.coalesce(*[F.try_to_timestamp(clean, F.lit(f)) for f in DATE_FORMATS]).cast("date")
+    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in DATE_FORMATS]).cast("date")
 
 
 def parse_time(text: Column) -> Column:
     """``HH:mm:ss`` taken from a day/month/year hour:minute text."""
-    clean = F.nullif(F.trim(text), F.lit(""))
-    return F.date_format(F.try_to_timestamp(clean, F.lit(TIME_FORMAT)), "HH:mm:ss")
+    return F.date_format(F.try_to_timestamp(F.trim(text), F.lit(TIME_FORMAT)), "HH:mm:ss")

@@ -14,11 +14,11 @@ def clean_value(text: Column) -> Column:
 
 
 def first_filled(*texts: Column, default: Column | None = None) -> Column:
-    """First value that is not blank after cleaning; else the default."""
-    choices = [F.nullif(clean_value(t), F.lit("")) for t in texts]
-    if default is not None:
-        choices.append(default)
-    return F.coalesce(*choices)
+    """First value that is not blank after cleaning; else the default.  Every text is named
+    once, which keeps the plans of wide feeds small."""
+    filled = F.array_remove(F.array(*[clean_value(t) for t in texts]), "")
+    value = F.try_element_at(filled, F.lit(1))
+    return value if default is None else F.coalesce(value, default)
 
 
 def zero_as_missing(text: Column) -> Column:

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from shiftlens.functions.text import clean_value, first_filled, repair_encoding
+from shiftlens.functions.text import first_filled, repair_encoding
+from shiftlens.operators.common import union_all
 
 CORRUPT = "_corrupt_record"
 
@@ -188,14 +189,19 @@ def feed_type_of(file_name: Column, header: Column) -> Column:
 
 
 def file_headers(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: name, size, header line, separator, number of columns, feed type.
+    """One row per file: name, size, header line, separator, number of columns, feed type, and
+    whether all of it is valid UTF-8.
 
-    Reads the text of the files once; pass ``sep`` to ``read_feed`` to do without."""
+    Reads the text of the files once; pass ``sep`` and ``header`` to ``read_feed`` to do
+    without."""
+    at_start = F.when(F.col("block") == 0, F.col("position"))
     first = (
         file_lines(spark, path)
-        .where("block = 0")
         .groupBy("file_path", "file_name", "file_size")
-        .agg(F.min_by("value", "position").alias("raw"))
+        .agg(
+            F.min_by("value", at_start).alias("raw"),
+            F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        )
     )
     header = F.regexp_replace(raw_text(F.col("raw")), "^﻿", "")
     return (
@@ -209,6 +215,7 @@ def file_headers(spark: SparkSession, path: str) -> DataFrame:
             "separator",
             F.size(F.split("header", F.concat(F.lit("\\Q"), "separator", F.lit("\\E")))).alias("columns"),
             feed_type_of(F.col("file_name"), F.col("header")).alias("feed"),
+            "utf8",
         )
     )
 
@@ -253,17 +260,21 @@ def _columns_of(header: str, sep: str) -> list[str]:
 
 
 def read_layout(
-    spark: SparkSession, paths: list[str], columns: list[str], sep: str, multiline: bool = False
+    spark: SparkSession, paths: list[str], columns: list[str], sep: str, multiline: bool = False, utf8: bool = True
 ) -> DataFrame:
     """Files of one layout as text columns, plus the corrupt-record and file-name columns.
 
-    Bytes are taken one to one and repaired per value later.  Column pruning is off, or a
-    row with a wrong number of columns could pass unnoticed.
+    Files that are not UTF-8 throughout are taken byte for byte and repaired per value.
+    Column pruning is off, or a row with a wrong number of columns could pass unnoticed.
+    Spark refuses a query that reads nothing but the corrupt-record column, so that column
+    also reads the first one.
     """
+    first = F.col(f"`{columns[0]}`")
+    corrupt = F.coalesce(F.col(CORRUPT), F.nullif(first, first)).alias(CORRUPT)
     schema = T.StructType(
         [T.StructField(c, T.StringType()) for c in columns] + [T.StructField(CORRUPT, T.StringType())]
     )
-    return (
+    raw = (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", True)
@@ -271,21 +282,25 @@ def read_layout(
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
-        .option("encoding", "ISO-8859-1")
+        .option("encoding", "UTF-8" if utf8 else "ISO-8859-1")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("columnPruning", False)
         .csv(paths)
-        .select("*", F.col("_metadata.file_name").alias("_file"))
     )
 
+    def value(c: str) -> Column:
+        return F.col(f"`{c}`") if utf8 else repair_encoding(F.col(f"`{c}`")).alias(c)
+
+    return raw.select(*[value(c) for c in columns], corrupt, F.col("_metadata.file_name").alias("_file"))
+
 
 def to_fields(raw: DataFrame, feed: Feed) -> DataFrame:
     """Engine fields of a feed; spellings that are absent are skipped, blanks are NULL."""
     present = set(raw.columns)
 
     def field(spellings: list[str]) -> Column:
-        found = [repair_encoding(F.col(f"`{header_key(s)}`")) for s in spellings if header_key(s) in present]
+        found = [F.col(f"`{header_key(s)}`") for s in spellings if header_key(s) in present]
         return first_filled(*found) if found else F.lit(None).cast("string")
 
     return raw.select(
@@ -296,48 +311,65 @@ def to_fields(raw: DataFrame, feed: Feed) -> DataFrame:
 
 
 def read_feed(
-    spark: SparkSession, path: str, feed: str, sep: str | None = None, header: str | None = None
+    spark: SparkSession,
+    path: str,
+    feed: str,
+    sep: str | None = None,
+    header: str | None = None,
+    utf8: bool = True,
+    staging: str | None = None,
 ) -> DataFrame:
     """Rows of a feed with its engine fields.  Rows whose number of columns differs from the
     header carry the raw line in ``_corrupt_record``.
 
     Without ``sep`` and ``header`` the layouts of the files are looked up first: one row per
-    distinct layout comes to the driver, with the paths that have it.
+    distinct layout comes to the driver, with the paths that have it.  A job reads its feed
+    several times (names, clients, rows, rejects); with ``staging`` the text is parsed once
+    into a parquet table there and all further reads are columnar.
     """
     spec = FEEDS[feed]
     if sep is not None and header is not None:
-        return to_fields(read_layout(spark, [path], _columns_of(header, sep), sep, spec.multiline), spec)
-    layouts = (
-        file_headers(spark, path)
-        .where(F.trim("header") != "")
-        .groupBy("separator", "header")
-        .agg(F.collect_list("file_path").alias("paths"))
-        .collect()
-    )
-    frames = [
-        to_fields(
-            read_layout(spark, sorted(row["paths"]), _columns_of(row["header"], row["separator"]), row["separator"], spec.multiline),
-            spec,
+        frames = [to_fields(read_layout(spark, [path], _columns_of(header, sep), sep, spec.multiline, utf8), spec)]
+    else:
+        layouts = (
+            file_headers(spark, path)
+            .where(F.trim("header") != "")
+            .groupBy("separator", "header", "utf8")
+            .agg(F.collect_list("file_path").alias("paths"))
+            .orderBy("separator", "header", "utf8")
+            .collect()
         )
-        for row in sorted(layouts, key=lambda r: (r["separator"], r["header"]))
-    ]
+        frames = [
+            to_fields(
+                read_layout(
+                    spark, sorted(x["paths"]), _columns_of(x["header"], x["separator"]), x["separator"],
+                    spec.multiline, x["utf8"],
+                ),
+                spec,
+            )
+            for x in layouts
+        ]
     if not frames:
         fields = [T.StructField(n, T.StringType()) for n in [*spec.fields, CORRUPT, "_file"]]
         return spark.createDataFrame([], T.StructType(fields))
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    out = union_all(frames)
+    if staging is None:
+        return out
+    out.write.mode("overwrite").parquet(staging)
+    return spark.read.parquet(staging)
 
 
-def read_directory(spark: SparkSession, directory: str) -> dict[str, DataFrame | None]:
+def read_directory(
+    spark: SparkSession, directory: str, staging: str | None = None
+) -> dict[str, DataFrame | None]:
     """Every known feed of a folder; a feed without files is ``None``."""
     from pyspark.errors import AnalysisException
 
     out: dict[str, DataFrame | None] = {}
     for name, feed in FEEDS.items():
         try:
-            out[name] = read_feed(spark, f"{directory.rstrip('/')}/{feed.pattern}", name)
+            table = f"{staging.rstrip('/')}/{name}" if staging else None
+            out[name] = read_feed(spark, f"{directory.rstrip('/')}/{feed.pattern}", name, staging=table)
         except AnalysisException as missing:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
@@ -350,7 +382,3 @@ def split_corrupt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = rows.where(F.col(CORRUPT).isNotNull()).select("_file", F.col(CORRUPT).alias("line"))
     return good, bad
-
-
-def cleaned(column: str) -> Column:
-    return clean_value(F.col(column))

@@ -16,6 +16,7 @@ from shiftlens.functions.text import match_key
 from shiftlens.operators import people as P
 from shiftlens.operators.common import union_all
 from shiftlens.operators.groups import HOT_ROWS, attach_group
+from shiftlens.session import cut_lineage
 
 REASON = "reject_reason"
 
@@ -44,12 +45,17 @@ class Dimensions:
 
 
 def attach_by_name(
-    feed: DataFrame, name: str, resolved: DataFrame, salt: str, hot_rows: int = HOT_ROWS
+    rows: DataFrame, feed: DataFrame, name: str, resolved: DataFrame, salt: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Join a name map onto the feed rows, whatever share of them one name has."""
+    """Join a name map onto the rows of a feed, whatever share of them one name has.
+
+    The map is computed once and cut from its lineage: it is needed for hot and cold names
+    and by every output of the job.  Counts come from the plain feed, so a chain of such
+    joins does not repeat itself in the plan.
+    """
     counts = feed.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("_rows"))
-    groups = resolved.join(counts, name)
-    return attach_group(feed, [name], groups, "_rows", salt, hot_rows).drop("_rows")
+    groups = cut_lineage(resolved.join(counts, name))
+    return attach_group(rows, [name], groups, "_rows", salt, hot_rows).drop("_rows")
 
 
 def staff_map(
@@ -83,14 +89,16 @@ def _with_staff(
     feed: DataFrame, dims: Dimensions, name: str, salt: str, check: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     mapped, created = staff_map(feed, dims.employees, dims.vehicles, name, check)
-    return attach_by_name(feed, name, mapped, salt), created
+    return attach_by_name(feed, feed, name, mapped, salt), created
 
 
-def _with_clients(feed: DataFrame, dims: Dimensions, salt: str) -> tuple[DataFrame, DataFrame]:
+def _with_clients(
+    rows: DataFrame, feed: DataFrame, dims: Dimensions, salt: str
+) -> tuple[DataFrame, DataFrame]:
     mapped, created = P.get_or_create(
         feed.where("client_name is not null"), dims.clients, "client_name", "client_id", "client_name"
     )
-    return attach_by_name(feed, "client_name", mapped.drop("created"), salt), created
+    return attach_by_name(rows, feed, "client_name", mapped.drop("created"), salt), created
 
 
 def _tag(feed: DataFrame, *rules: tuple[Column, str]) -> DataFrame:
@@ -122,7 +130,7 @@ def timesheets(feed: DataFrame, dims: Dimensions) -> FeedResult:
         "person", F.nullif(F.concat_ws(" ", "first_name", "last_name"), F.lit(""))
     )
     staffed, people = _with_staff(named, dims, "person", "start", check=False)
-    joined, clients = _with_clients(staffed, dims, "start")
+    joined, clients = _with_clients(staffed, named, dims, "start")
     address = named.where("client_name is not null").groupBy(match_key(F.col("client_name")).alias("_k")).agg(
         F.min(F.struct("client_address", "client_city", "client_province")).alias("_a")
     )
@@ -185,12 +193,12 @@ def activities(feed: DataFrame, dims: Dimensions) -> FeedResult:
     """Activities.  Always billable; the project is looked up by code and made when new.
     De-duplicate the rows with ``operators.dedup`` before they are stored."""
     staffed, people = _with_staff(feed, dims, "person", "start")
-    joined, clients = _with_clients(staffed, dims, "start")
+    joined, clients = _with_clients(staffed, feed, dims, "start")
     created = {"employees": people, "clients": clients}
     if dims.projects is not None:
         codes = feed.where("project_code is not null")
         mapped, _ = P.get_or_create(codes, dims.projects, "project_code", "project_id", "code")
-        joined = attach_by_name(joined, "project_code", mapped.drop("created"), "start")
+        joined = attach_by_name(joined, codes, "project_code", mapped.drop("created"), "start")
         created["projects"] = P.new_projects(codes, dims.projects)
     else:
         joined = joined.withColumn("project_id", F.lit(None).cast("bigint"))
@@ -229,7 +237,7 @@ def calendar(feed: DataFrame, dims: Dimensions) -> FeedResult:
         .withColumn("is_vehicle", F.lit(True))
     )
     staffed, people = _with_staff(feed, dims, "person", "start")
-    joined = attach_by_name(staffed, "person", vehicles, "start")
+    joined = attach_by_name(staffed, feed, "person", vehicles, "start")
     tagged = _tag(
         joined,
         (F.col("person").isNull(), "no attendee"),
@@ -257,7 +265,7 @@ def calendar(feed: DataFrame, dims: Dimensions) -> FeedResult:
 def projects(feed: DataFrame, dims: Dimensions) -> FeedResult:
     """Projects; the lead and the client are looked up, the client is made when new."""
     staffed, people = _with_staff(feed, dims, "lead", "code")
-    joined, clients = _with_clients(staffed, dims, "code")
+    joined, clients = _with_clients(staffed, feed, dims, "code")
     good, bad = _split(_tag(joined, (F.col("code").isNull(), "no code")))
     rows = good.select(
         "code",
@@ -281,8 +289,8 @@ def vehicle_log(feed: DataFrame, dims: Dimensions) -> FeedResult:
     mapped, vehicles = P.get_or_create(
         feed.where("vehicle_name is not null"), dims.vehicles, "vehicle_name", "vehicle_id", "vehicle_name"
     )
-    driven = attach_by_name(staffed, "vehicle_name", mapped.drop("created"), "pickup")
-    joined, clients = _with_clients(driven, dims, "pickup")
+    driven = attach_by_name(staffed, feed, "vehicle_name", mapped.drop("created"), "pickup")
+    joined, clients = _with_clients(driven, feed, dims, "pickup")
     good, bad = _split(_tag(joined, (F.col("employee_id").isNull(), NO_PERSON)))
     rows = good.select(
         "employee_id",
