@@ -21,26 +21,22 @@ SYSTEM_NAMES = ["Info", "System", "Admin", "Test", "Aurora"]
 PEOPLE_SEPARATORS = ["/", ",", ";", "&", "+", " e ", " and ", " with ", " con "]
 # Separators looked for in stored names.
 STORED_SEPARATORS = ["/", ",", ";", "-", "+", "&"]
-# Forms that rule a person's name out.
-HOST_PREFIX = r"(?i)^(pc|nb|server|host|www|http|ftp)"
-DOMAIN_SUFFIX = r"(?i)\.(com|it|org|net|gov)$"
-BAD_FIRST_CHAR = r"^[^a-zA-ZÀ-ÿ\s'-]"
+# Forms that rule a person's name out (an at sign, digits only, a first
+# character that is no letter, host names, domain names), as one pattern.
+NOT_A_PERSON = (
+    r"(?i)@|^\d+$|^[^a-zA-ZÀ-ÿ\s'-]|^(?:pc|nb|server|host|www|http|ftp)|\.(?:com|it|org|net|gov)$"
+)
 
 
 def is_valid_person_name(name: Column, allow_empty: bool = False) -> Column:
     """Name rules that need no table; the vehicle list is an anti join (see operators)."""
     n = F.trim(F.coalesce(name, F.lit("")))
-    size = byte_length(n)
     ok = (
         ~F.lower(n).isin([w.lower() for w in NAME_BLACKLIST])
-        & size.between(2, 50)
-        & ~n.contains("@")
-        & ~n.rlike(r"^\d+$")
-        & ~n.rlike(BAD_FIRST_CHAR)
-        & ~n.rlike(HOST_PREFIX)
-        & ~n.rlike(DOMAIN_SUFFIX)
+        & byte_length(n).between(2, 50)
+        & ~n.rlike(NOT_A_PERSON)
     )
-    return F.when(n == "", F.lit(allow_empty)).otherwise(ok)
+    return (ok | (n == "")) if allow_empty else ok
 
 
 def split_people(name: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from shiftlens.plans import (
     dedup_queries,
+    feed_queries,
     kpi_queries,
     people_queries,
     quality_queries,
@@ -18,6 +19,7 @@ MODULES = [
     validation_queries,
     report_queries,
     dedup_queries,
+    feed_queries,
     people_queries,
     quality_queries,
     sink_queries,

@@ -13,6 +13,35 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shiftlens.session import use_utc
 
+# Column types of the test tables: stated here, so that opening a table starts no job.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+# The person field of a feed row, by event id, in the spellings feeds use.
+FULL = "concat(first_name, ' ', last_name)"
+PERSON = f"""case event_id % 10 when 0 then {FULL} when 1 then upper({FULL})
+    when 2 then concat(last_name, ', ', first_name) when 3 then concat(first_name, ' ', substring(last_name, 1, 4))
+    when 4 then concat('Info / ', {FULL}) when 5 then last_name when 6 then 'Van 12'
+    when 7 then concat('u', employee_id, '@example.com')
+    when 8 then concat('Nuovo Tecnico', translate(cast(employee_id as string), '0123456789', 'abcdefghij'))
+    else concat({FULL}, ' e Altro Collega') end"""
+CLIENT = """case o_orderkey % 5 when 0 then concat('Supplier#', lpad(cast(o_custkey as string), 9, '0'))
+    when 1 then concat('supplier#', lpad(cast(o_custkey as string), 9, '0'), ' ')
+    when 2 then concat('Supplier ', lpad(cast(o_custkey as string), 9, '0'), ' Italia')
+    when 3 then concat('Azienda ', translate(cast(o_custkey as string), '0123456789', 'abcdefghij'))
+    else '' end"""
+
 CENTS = "cast(cast(floor({0} * 100D) as decimal(18,0)) * cast(0.01 as decimal(3,2)) as decimal(5,2))"
 SHIFT = "least(value / 20D, 12D)"
 
@@ -31,7 +60,10 @@ class Domain:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            reader = self.spark.read
+            if name in SCHEMAS:
+                reader = reader.schema(SCHEMAS[name])
+            self._tables[name] = reader.parquet(f"{self.dir}/{name}.parquet")
         return self._tables[name]
 
     def _events(self, kind: str) -> DataFrame:
@@ -216,18 +248,7 @@ class Domain:
         """The person field of every event, in the spellings feeds use."""
         e = self.table("events").selectExpr("event_id", "user_id as employee_id", "ts")
         p = self.employees.select("employee_id", "first_name", "last_name")
-        full = "concat(first_name, ' ', last_name)"
-        return e.join(p, "employee_id").selectExpr(
-            "event_id",
-            "ts",
-            f"""case event_id % 10 when 0 then {full} when 1 then upper({full})
-                when 2 then concat(last_name, ', ', first_name)
-                when 3 then concat(first_name, ' ', substring(last_name, 1, 4))
-                when 4 then concat('Info / ', {full}) when 5 then last_name when 6 then 'Van 12'
-                when 7 then concat('u', employee_id, '@example.com')
-                when 8 then concat('Nuovo Tecnico', translate(cast(employee_id as string), '0123456789', 'abcdefghij'))
-                else concat({full}, ' e Altro Collega') end as name""",
-        )
+        return e.join(p, "employee_id").selectExpr("event_id", "ts", f"{PERSON} as name")
 
     @cached_property
     def aliases(self) -> DataFrame:
@@ -238,15 +259,7 @@ class Domain:
     @cached_property
     def raw_clients(self) -> DataFrame:
         """The client field of every order, in the spellings feeds use."""
-        o = self.table("orders")
-        return o.selectExpr(
-            "o_orderkey",
-            """case o_orderkey % 5 when 0 then concat('Supplier#', lpad(cast(o_custkey as string), 9, '0'))
-               when 1 then concat('supplier#', lpad(cast(o_custkey as string), 9, '0'), ' ')
-               when 2 then concat('Supplier ', lpad(cast(o_custkey as string), 9, '0'), ' Italia')
-               when 3 then concat('Azienda ', translate(cast(o_custkey as string), '0123456789', 'abcdefghij'))
-               else '' end as client_name""",
-        )
+        return self.table("orders").selectExpr("o_orderkey", f"{CLIENT} as client_name")
 
     @cached_property
     def queue(self) -> DataFrame:
@@ -260,3 +273,34 @@ class Domain:
             "case o_orderstatus when 'P' then 'pending' when 'F' then 'assigned' else 'rejected' end as status",
             "cast(o_orderdate as timestamp) as created_at",
         )
+
+    # ------------------------------------------------------------ feeds as text
+
+    def feed(self, kind: str) -> DataFrame:
+        """The events of a kind as the text fields of a feed: every event is a row."""
+        e = self._events(kind)
+        p = self.employees.select("employee_id", "first_name", "last_name")
+        rows = e.join(p, e["user_id"] == p["employee_id"]).join(
+            self.table("orders"), F.expr("event_id = o_orderkey"), "left"
+        )
+        end = "timestampadd(SECOND, cast(floor(value * 60D) as bigint), ts0)"
+        return rows.selectExpr(
+            "cast(event_id as string) as code",
+            f"{PERSON} as person",
+            "concat(last_name, ', ', first_name) as surname_first",
+            "case when event_id % 10 = 8 then 'Nuovo' else first_name end as first_name",
+            "last_name",
+            f"nullif(trim({CLIENT}), '') as client_name",
+            """case event_id % 3 when 0 then date_format(ts0, 'd/M/yyyy H:mm:ss') when 1 then date_format(ts0, 'yyyy-MM-dd HH:mm:ss')
+               else date_format(ts0, 'dd/MM/yyyy HH:mm') end as start""",
+            f"case when event_id % 5 <> 0 then date_format({end}, 'yyyy-MM-dd HH:mm') end as end",
+            "case when event_id % 2 = 0 then replace(cast(floor(value * 100) / 100 as string), '.', ',') "
+            "else cast(floor(value * 100) / 100 as string) end as amount",
+            """case event_id % 4 when 0 then concat(event_id % 97, 'm') when 1 then concat(event_id % 5, ':', lpad(event_id % 60, 2, '0'))
+               when 2 then cast(event_id % 200 as string) else concat(event_id % 3, 'h ', event_id % 60, 'm') end as duration""",
+            "regexp_extract(props, '([0-9]+)', 1) as ticket",
+            "element_at(array('Ferie', 'ROL', 'Malattia', 'Altro', 'Permessi'), cast(event_id % 5 + 1 as int)) as type",
+            "element_at(array('Approvata', 'Rifiutata', 'In attesa', '?'), cast(event_id % 4 + 1 as int)) as state",
+            "element_at(array('Alta', 'Media', 'Bassa', 'Critica', ''), cast(event_id % 5 + 1 as int)) as priority",
+            "concat('Van ', event_id % 60) as vehicle_name",
+        )

@@ -146,7 +146,7 @@ def timesheets(feed: DataFrame, dims: Dimensions) -> FeedResult:
     rows = good.select(
         "employee_id",
         "client_id",
-        TM.parse_date(F.col("start")).alias("work_date"),
+        F.to_date(TM.parse_datetime(F.col("start"))).alias("work_date"),
         TM.parse_datetime(F.col("start")).alias("start_ts"),
         TM.parse_datetime(F.col("end")).alias("end_ts"),
         _hours("hours").alias("hours"),
