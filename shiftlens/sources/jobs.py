@@ -65,8 +65,11 @@ def staff_map(
 
     Known people are found by their parts.  Unknown names become new people when whole name
     and parts are valid and no vehicle is called so; with ``check`` off, always.
+
+    The distinct names are cut from their lineage: several lookups use them, and the name
+    rules would otherwise be pushed below the distinct and run on every row of the feed.
     """
-    distinct = names.where(F.col(name).isNotNull()).select(name).distinct()
+    distinct = cut_lineage(names.where(F.col(name).isNotNull()).select(name).distinct())
     looked = P.lookup_by_parts(distinct, people, name)
     unknown = looked.where("employee_id is null").select(name)
     given, family = NM.split_full_name(F.col(name))
