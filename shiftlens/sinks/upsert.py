@@ -77,21 +77,19 @@ def resolve_anomalies(stored: DataFrame, resolutions: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- tables
 
 
-def _write(df: DataFrame, path: str, partition: str | None, mode: str = "overwrite", dynamic: bool = False) -> None:
-    writer = df.write.mode(mode)
+def _write(df: DataFrame, path: str, partition: str | None, mode: str = "static") -> None:
+    """Overwrite.  The mode is always stated: ``static`` replaces the whole table, ``dynamic``
+    only the partitions that occur in ``df``, whatever the session's default is."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", mode)
     if partition is not None:
         writer = writer.partitionBy(partition)
-    if dynamic:
-        writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
 
 
-def by_partition(df: DataFrame, partition: str, salts: int = 1) -> DataFrame:
-    """Cluster rows by partition value, so that a task writes few files; more than one salt
-    spreads a crowded day over as many tasks."""
-    if salts <= 1:
-        return df.repartition(partition)
-    return df.repartition(partition, F.pmod(F.xxhash64(*df.columns[:2]), F.lit(salts)))
+def by_partition(df: DataFrame, partition: str) -> DataFrame:
+    """Cluster rows by partition value, so that a task writes few files.  ``rebalance`` lets
+    adaptive execution split a crowded day over several tasks and join small ones."""
+    return df.hint("rebalance", partition)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -127,7 +125,7 @@ def upsert_table(
     """
     spark = updates.sparkSession
     if not table_exists(spark, path):
-        _write(updates, path, partition)
+        _write(by_partition(updates, partition), path, partition)
         return
     target = spark.read.parquet(path)
     touched = updates.select(partition).distinct()
@@ -135,5 +133,5 @@ def upsert_table(
     merged = (
         upsert(current, updates, keys) if refresh is None else upsert_columns(current, updates, keys, refresh)
     )
-    _write(merged, staging, partition)
-    _write(spark.read.parquet(staging), path, partition, dynamic=True)
+    _write(by_partition(merged, partition), staging, partition)
+    _write(spark.read.parquet(staging), path, partition, "dynamic")
