@@ -12,8 +12,8 @@ comparison, of one ticket) depend on each other.  So:
 2. first rows are cut into short time chunks and each chunk is decided on its own, with a
    fold that holds the kept rows of the chunk only; no pairs are materialised;
 3. rows near a chunk border can depend on the chunk next door.  Chunks that meet at a
-   border with rows on both sides are decided again, each seeing its neighbour's kept rows,
-   until nothing changes at the borders.  Every row depends on earlier rows only, so this
+   border with rows on both sides are decided again, each seeing its neighbour's kept rows;
+   from then on only chunks whose neighbour changed at the border are, until none does.  Every row depends on earlier rows only, so this
    ends, and it ends with exactly the sequential result.
 
 No chunk grows with the table: it holds distinct (second, duration, ticket) rows of one
@@ -139,7 +139,7 @@ def greedy_matches(
     """``first`` (block, id, s, dur, txt, len, tic, n) plus ``best``: the nearest kept row
     each row falls to, NULL for kept rows.
 
-    Starts a job that looks for chunks that meet at a border, and two per round when there
+    Starts a job that looks for chunks that meet at a border, and a few per round when there
     are some.
     """
     if chunk_s < 2 * window_s:
@@ -163,28 +163,32 @@ def greedy_matches(
     linked = cut_lineage(rows.join(touching.distinct(), [*block, "chunk"], "left_semi"))
     if linked.isEmpty():
         return _decide(rows, block, condition, score)
-    occupied = linked.select(*block, "chunk").distinct()
-    alone = rows.join(occupied, [*block, "chunk"], "left_anti")
+    chunk_key = [*block, "chunk"]
+    active = linked.select(*chunk_key).distinct()
+    alone = rows.join(active, chunk_key, "left_anti")
+    next_door = F.expr("case when chunk = border then chunk - 1 else chunk + 1 end")
 
     def kept_at_border(decided: DataFrame) -> DataFrame:
         return decided.where("best is null").withColumn("border", border).where("border is not null")
 
     current = cut_lineage(_decide(linked, block, condition, score))
-    settled = False
-    while not settled:
+    while not active.isEmpty():
         halo = (
             kept_at_border(current)
-            .withColumn("chunk", F.expr("case when chunk = border then chunk - 1 else chunk + 1 end"))
+            .withColumn("chunk", next_door)
             .drop("border", "best")
             .withColumn("seen", F.lit(True))
-            .join(occupied, [*block, "chunk"], "left_semi")
+            .join(active, chunk_key, "left_semi")
         )
-        redone = cut_lineage(_decide(linked.unionByName(halo), block, condition, score))
-        before = kept_at_border(current).select(*block, "id", F.lit(1).alias("side"))
-        after = kept_at_border(redone).select(*block, "id", F.lit(-1).alias("side"))
-        differences = before.unionByName(after).groupBy(*block, "id").agg(F.sum("side").alias("side"))
-        settled = differences.where("side <> 0").isEmpty()
-        current = redone
+        again = linked.join(active, chunk_key, "left_semi")
+        redone = cut_lineage(_decide(again.unionByName(halo), block, condition, score))
+        replaced = current.join(active, chunk_key, "left_semi")
+        marks = [*chunk_key, "border", "id"]
+        before = kept_at_border(replaced).select(*marks, F.lit(1).alias("side"))
+        after = kept_at_border(redone).select(*marks, F.lit(-1).alias("side"))
+        differs = before.unionByName(after).groupBy(*marks).agg(F.sum("side").alias("side")).where("side <> 0")
+        current = cut_lineage(current.join(active, chunk_key, "left_anti").unionByName(redone))
+        active = cut_lineage(differs.select(*block, next_door.alias("chunk")).distinct())
     return _decide(alone, block, condition, score).unionByName(current)
 
 
