@@ -109,27 +109,33 @@ def _score_match(rules: DedupRules) -> tuple[str, str]:
 
 def _decide(chunks: DataFrame, block: list[str], condition: str, score: str) -> DataFrame:
     """Decide the rows of every chunk.  Rows with ``seen`` come from a neighbour: they are
-    kept already and are not decided here."""
+    kept already and are not decided here.
+
+    One fold over the rows in id order holds the kept rows so far and the decisions.  The
+    best match ``b`` of a row is computed once and bound by a one-element transform.
+    """
     fields = ["id", "s", "dur", "txt", "len", "tic", "seen", "n"]
     rows = chunks.groupBy(*block, "chunk").agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("rows")
-    )
-    kept = (
-        "aggregate(rows, filter(rows, x -> false), (acc, r) -> case when r.seen then "
-        f"array_append(acc, r) when exists(acc, k -> {condition}) then acc else array_append(acc, r) end)"
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("rows")
     )
+    no_match = "cast(null as struct<gap: bigint, id: bigint, score: double>)"
     best = (
-        f"array_min(transform(filter(kept, k -> k.id < r.id and {condition}), k -> named_struct("
-        f"'gap', abs(r.s - k.s) div 60, 'id', k.id, 'score', {score})))"
+        f"case when r.seen then {no_match} else array_min(transform(filter(acc.kept, k -> {condition}), "
+        f"k -> named_struct('gap', abs(r.s - k.s) div 60, 'id', k.id, 'score', {score}))) end"
+    )
+    start = (
+        "named_struct('kept', filter(rows, x -> false), 'decided', "
+        f"transform(filter(rows, x -> false), x -> named_struct('row', x, 'best', {no_match})))"
+    )
+    step = (
+        f"element_at(transform(array({best}), b -> named_struct("
+        "'kept', case when b is null then array_append(acc.kept, r) else acc.kept end, "
+        "'decided', case when r.seen then acc.decided "
+        "else array_append(acc.decided, named_struct('row', r, 'best', b)) end)), 1)"
+    )
+    decided = rows.select(
+        *block, "chunk", F.explode(F.expr(f"aggregate(rows, {start}, (acc, r) -> {step}, acc -> acc.decided)")).alias("o")
     )
-    decided = (
-        rows.select(*block, "chunk", "rows", F.expr(kept).alias("kept"))
-        .selectExpr(
-            *block, "chunk",
-            f"transform(filter(rows, r -> not r.seen), r -> named_struct('row', r, 'best', {best})) as out",
-        )
-        .select(*block, "chunk", F.explode("out").alias("o"))
-    )
     return decided.select(*block, "chunk", "o.row.*", F.col("o.best").alias("best")).drop("seen")
 
 
