@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shiftlens.llm import extraction, quality, secret_scan, toxicity
+from shiftlens.llm import extraction, neardup, quality, secret_scan, toxicity
 from shiftlens.llm.shared import remainder, table
 
 QUALITY_CUT = 0.7
@@ -49,11 +49,20 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digests(secret_scan.scan_secrets(docs))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    params = neardup.NearParams(words=3, percent=85, bands=36, rows=7)
+    return neardup.near_duplicates(docs, params).withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    )
+
+
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_main_text": op3_main_text,
     "op7_toxicity": op7_toxicity,
     "op9_secrets": op9_secrets,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 SQL: dict[str, str] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from pathlib import Path
 
@@ -10,8 +11,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shiftlens.session import cut_lineage
 
 
+def importable_on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver found it.
+
+    Matters for sessions whose workers see the same path (local ones, shared installations); a
+    cluster that gets the package by --py-files does not need it.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of one input table; everything else is pruned at the scan."""
+    importable_on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
