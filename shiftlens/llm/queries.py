@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shiftlens.llm import extraction, neardup, quality, secret_scan, toxicity
-from shiftlens.llm.shared import remainder, table
+from shiftlens.llm import chat, extraction, mixing, neardup, packing, quality, secret_scan, toxicity
+from shiftlens.llm.shared import remainder, table, vocabulary_path
 
 QUALITY_CUT = 0.7
 TOXIC_CUT = 0.5
@@ -31,6 +31,30 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    return mixing.mix(docs).select(
+        "doc_id",
+        F.col("_source").alias("source"),
+        F.col("_lang").alias("lang"),
+        F.col("_topic").alias("topic"),
+        F.col("_tokens").alias("tokens"),
+        F.col("_weight").alias("weight"),
+        F.col("_probability").alias("probability"),
+        F.col("_kept").alias("kept"),
+    )
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame(
+        [(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)],
+        "conv_id long, turn long, role string, text string",
+    )
+    return chat.digests(chat.format_chats(said.unionByName(added)))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
@@ -44,6 +68,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack(docs, vocabulary_path("byte_bpe_50k.json")).select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return secret_scan.span_digests(secret_scan.scan_secrets(docs))
@@ -60,9 +97,36 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_main_text": op3_main_text,
+    "op5_mixing": op5_mixing,
+    "op6_chat": op6_chat,
     "op7_toxicity": op7_toxicity,
+    "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
-SQL: dict[str, str] = {}
+OP6_SQL = r"""
+with said as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all
+    select -7, turn, role, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) v(turn, role)
+), marked as (
+    select *, role = 'assistant' as learned,
+        contains(text, '[INST]') or contains(text, '<s>')
+            or (role = 'assistant' and contains(text, '</s>'))
+            or (role <> 'assistant' and contains(text, '[/INST]'))
+            or regexp_matches(text, '[\[<]\\+/?(INST\]|s>)') as conflict,
+        len(regexp_extract_all(text, '[\[<]\*/?(?:INST\]|s>)')) as controls
+    from said
+)
+select conv_id,
+    count(*)::bigint as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (learned), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (learned), '')) as loss_sha256,
+    (sum(length(role) + 1 + length(text) + case when learned then 7 else 13 end)
+        + case when bool_or(conflict) then sum(controls) else 0 end)::bigint as formatted_chars
+from marked group by conv_id
+"""
+
+SQL: dict[str, str] = {"op6_chat": OP6_SQL}
