@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shiftlens.llm import chat, extraction, mixing, neardup, packing, quality, secret_scan, toxicity
+from shiftlens.llm import ann, chat, extraction, mixing, neardup, packing, quality, secret_scan, toxicity
 from shiftlens.llm.shared import remainder, table, vocabulary_path
 
 QUALITY_CUT = 0.7
 TOXIC_CUT = 0.5
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return ann.nearest(vectors, F.col("id") % 20 == 0)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
@@ -95,6 +100,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_neighbours": op1_neighbours,
     "op2_quality": op2_quality,
     "op3_main_text": op3_main_text,
     "op5_mixing": op5_mixing,
@@ -116,7 +122,7 @@ with said as (
             or (role = 'assistant' and contains(text, '</s>'))
             or (role <> 'assistant' and contains(text, '[/INST]'))
             or regexp_matches(text, '[\[<]\\+/?(INST\]|s>)') as conflict,
-        len(regexp_extract_all(text, '[\[<]\*/?(?:INST\]|s>)')) as controls
+        len(regexp_extract_all(text, '[\[<]\\*/?(?:INST\]|s>)')) as controls
     from said
 )
 select conv_id,
