@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shiftlens.llm import ann, chat, extraction, mixing, neardup, packing, quality, secret_scan, toxicity
+from shiftlens.llm import ann, chat, extraction, fingerprint, mixing, neardup, packing, quality, secret_scan, toxicity
 from shiftlens.llm.shared import remainder, table, vocabulary_path
 
 QUALITY_CUT = 0.7
@@ -36,6 +36,21 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return fingerprint.compare_versions(docs).select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+        F.col("to_edited.ok").alias("peeled_edited"),
+        F.col("to_next.ok").alias("peeled_next"),
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     return mixing.mix(docs).select(
@@ -103,6 +118,7 @@ QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_quality": op2_quality,
     "op3_main_text": op3_main_text,
+    "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
     "op6_chat": op6_chat,
     "op7_toxicity": op7_toxicity,
