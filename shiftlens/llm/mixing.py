@@ -34,7 +34,7 @@ DRAWS = 1 << 52
 @dataclass(frozen=True)
 class MixParams:
     flatten: float = 0.7  # default target of a value: its share to this power
-    rate: float = 0.6  # expected share of all tokens that is kept
+    rate: float = 0.75  # expected share of all tokens that is kept
     iterations: int = 20
     error: float = 1e-6  # largest relative miss of a margin
     seed: int = 17

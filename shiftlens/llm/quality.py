@@ -280,8 +280,8 @@ def score_ids(model: QualityModel, ids: np.ndarray) -> float:
     return float(sigmoid(z / model.temperature))
 
 
-def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``docs`` with ``score``, the calibrated probability of label 1 of its whole text; no shuffle."""
+def score(docs: DataFrame, model: QualityModel, name: str = "score") -> DataFrame:
+    """``docs`` with ``name``, the calibrated probability of label 1 of its whole text; no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.DoubleType())
@@ -291,4 +291,4 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
         for batch in texts:
             yield pd.Series([score_ids(fitted, hasher(t or "")) for t in batch], dtype=float)
 
-    return docs.withColumn("score", scored(F.col("text")))
+    return docs.withColumn(name, scored(F.col("text")))

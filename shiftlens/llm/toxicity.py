@@ -255,8 +255,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out, params: FmParams = FmPar
     return FmModel(bias, zeros, np.zeros((params.buckets + 1, params.rank), np.float32), params.window)
 
 
-def score(docs: DataFrame, model: FmModel) -> DataFrame:
-    """``docs`` with ``score``, the probability of label 1 of its whole text; no shuffle.
+def score(docs: DataFrame, model: FmModel, name: str = "score") -> DataFrame:
+    """``docs`` with ``name``, the probability of label 1 of its whole text; no shuffle.
 
     The model (5 MB with the default sizes, whatever the corpus) goes out as a broadcast
     variable and is read once per Python worker.
@@ -269,4 +269,4 @@ def score(docs: DataFrame, model: FmModel) -> DataFrame:
         for batch in texts:
             yield pd.Series([scorer(t) for t in batch], dtype=float)
 
-    return docs.withColumn("score", scored(F.col("text")))
+    return docs.withColumn(name, scored(F.col("text")))
