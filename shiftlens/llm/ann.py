@@ -90,7 +90,7 @@ class BlockIndex:
         self.ids, self.x, self.params, self.n_probes = ids[order], x[order], params, probes
         wide = widened(self.x, longest, True)
         self.flips = signs(params, wide.shape[1])
-        n1, n2 = params.axes
+        n1, n2 = self.axes = [min(a, wide.shape[1]) for a in params.axes]
         self.rows, self.starts = [], []
         for table in range(params.tables):
             first = np.concatenate(
@@ -101,7 +101,7 @@ class BlockIndex:
             )
             code = first * 2 * n2 + second
             self.rows.append(np.argsort(code, kind="stable").astype(np.int32))
-            self.starts.append(np.r_[0, np.cumsum(np.bincount(code, minlength=params.codes))])
+            self.starts.append(np.r_[0, np.cumsum(np.bincount(code, minlength=4 * n1 * n2))])
 
     @staticmethod
     def parts(x: np.ndarray, rows: int = 8192) -> list[np.ndarray]:
@@ -110,13 +110,14 @@ class BlockIndex:
     def probed(self, queries: np.ndarray, longest: float) -> np.ndarray:
         """(tables, queries, probes) codes in falling order of summed projections."""
         wide = widened(queries, longest, False)
-        n1, n2 = self.params.axes
+        n1, n2 = self.axes
+        most = min(self.n_probes, 4 * n1 * n2)
         out = []
         for table in range(self.params.tables):
             a = projections(wide, self.flips[table, 0], n1)
             b = projections(wide, self.flips[table, 1], n2)
             both = (a[:, :, None] + b[:, None, :]).reshape(len(wide), -1)
-            out.append(np.argpartition(-both, self.n_probes - 1, axis=1)[:, : self.n_probes])
+            out.append(np.argpartition(-both, most - 1, axis=1)[:, :most])
         return np.array(out)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, longest: float):
