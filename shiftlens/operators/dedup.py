@@ -1,23 +1,26 @@
 """De-duplication of activities.
 
-Rows are taken in insertion order (``id``).  A row is an exact duplicate when an earlier
-row has the same employee, start, duration and ticket.  Otherwise it is compared with the
-earlier rows that were *kept*, of the same employee and near in time: with A, B, C each
-near the next only, B falls to A and C stays, because B is no longer there.
+Rows are taken in insertion order (``id``).  A row is an exact duplicate when a row that was
+*kept* has the same employee, start, duration and ticket.  Otherwise it is compared with the
+kept rows of the same employee and near in time: with A, B, C each near the next only, B falls
+to A and C stays, because B is no longer there.  A row that is merged into a kept row may
+lengthen that row's description; later rows are compared with the new one.  A copy of a row
+that fell to another one finds no kept twin, so it is compared again, at its own turn.
 
 That rule looks sequential, but only nearby rows of one employee (and, for the scored
 comparison, of one ticket) depend on each other.  So:
 
-1. exact copies collapse to their first row with an aggregation (map-side combine);
-2. first rows are cut into short time chunks and each chunk is decided on its own, with a
-   fold that holds the kept rows of the chunk only; no pairs are materialised;
-3. rows near a chunk border can depend on the chunk next door.  Chunks that meet at a
-   border with rows on both sides are decided again, each seeing its neighbour's kept rows;
-   from then on only chunks whose neighbour changed at the border are, until none does.  Every row depends on earlier rows only, so this
-   ends, and it ends with exactly the sequential result.
-
-No chunk grows with the table: it holds distinct (second, duration, ticket) rows of one
-employee and a fixed span of time.
+1. exact copies collapse to their first row with an aggregation (map-side combine); only copies
+   of first rows that were not kept take part one by one;
+2. rows are cut into short time chunks and each chunk is decided on its own, with a fold that
+   holds the kept rows of the chunk only; no pairs are materialised;
+3. rows near a chunk border can depend on the chunk next door.  Chunks whose rows come within
+   the window of each other across a border are decided again, each seeing what happened to the
+   kept rows at its neighbour's side (kept at this id, rewritten at that id); from then on only
+   chunks whose neighbour changed at the border are, until none does.  Every row depends on
+   earlier rows only, so this ends, and it ends with exactly the sequential result.
+
+A chunk holds rows of one employee and a fixed span of time.
 """
 
 from __future__ import annotations
@@ -78,17 +81,21 @@ def _text_bytes(description: str, limit: int | None) -> str:
     return text if limit is None else f"left({text}, {limit})"
 
 
-def similarity_sql(a: str, b: str) -> str:
+def similarity_sql(a: str, b: str, least_text: float = 0.0) -> str:
     """Weighted similarity of two rows with fields dur, txt, len and tic; a part that is
-    missing on either side scores 0."""
+    missing on either side scores 0.  A text similarity under ``least_text`` may count as 0,
+    so that the distance of texts too far apart need not be finished."""
     duration = (
         f"case when {a}.dur > 0 and {b}.dur > 0 then greatest(0D, 1D - abs({a}.dur - {b}.dur) "
         f"/ greatest({a}.dur, {b}.dur) * 10D) else 0D end"
     )
+    longest = f"greatest({a}.len, {b}.len)"
+    most = f"cast(ceil({1 - least_text}D * {longest}) as int) + 1"
+    distance = f"levenshtein({a}.txt, {b}.txt, {most})"
     text = (
         f"case when {a}.len > 0 and {b}.len > 0 then case when {a}.txt = {b}.txt and {a}.len = {b}.len "
-        f"then 1D else greatest(0D, 1D - cast(levenshtein({a}.txt, {b}.txt) as double) / "
-        f"cast(greatest({a}.len, {b}.len) as double)) end else 0D end"
+        f"then 1D else greatest(0D, 1D - cast(case when {distance} < 0 then {longest} else {distance} end as double) / "
+        f"cast({longest} as double)) end else 0D end"
     )
     ticket = f"case when {a}.tic = {b}.tic then 1D else 0D end"
     return (
@@ -99,7 +106,8 @@ def similarity_sql(a: str, b: str) -> str:
 def _score_match(rules: DedupRules) -> tuple[str, str]:
     """(condition, score) for lambda variables k, the kept row, and r.  The duration is
     tested first: it is cheap and rules most pairs out before any text distance."""
-    score = similarity_sql("r", "k")
+    least_text = max(0.0, (rules.threshold - W_DURATION - W_TICKET) / W_TEXT - 1e-9)
+    score = similarity_sql("r", "k", least_text)
     need = (rules.threshold - W_TEXT - W_TICKET) / W_DURATION - 1e-9
     near = f"abs(r.s - k.s) <= {rules.window_minutes * 60}"
     alike = f"abs(r.dur - k.dur) * 10D <= (1D - {need}D) * greatest(r.dur, k.dur)" if need > 0 else "true"
@@ -107,95 +115,130 @@ def _score_match(rules: DedupRules) -> tuple[str, str]:
     return condition, score
 
 
-def _decide(chunks: DataFrame, block: list[str], condition: str, score: str) -> DataFrame:
-    """Decide the rows of every chunk.  Rows with ``seen`` come from a neighbour: they are
-    kept already and are not decided here.
+ROW = ["at", "kind", "id", "s", "dur", "txt", "len", "tic", "twin"]
+HIT = "cast(null as struct<gap: bigint, id: bigint, score: double, exact: boolean>)"
+
+
+def _decide(chunks: DataFrame, block: list[str], condition: str, score: str, merge_above: float | None) -> DataFrame:
+    """Decide the rows of every chunk.  Rows of kind 1 are news from a neighbour: the state of
+    one of its kept rows as of ``at``; they are not decided here.
 
-    One fold over the rows in id order holds the kept rows so far and the decisions.  The
-    best match ``b`` of a row is computed once and bound by a one-element transform.
+    One fold over the rows in order of ``at`` holds the kept rows so far and the decisions:
+    ``hit``, the kept row a row falls to, and ``changed``, that row after a merge.
     """
-    fields = ["id", "s", "dur", "txt", "len", "tic", "seen", "n"]
-    rows = chunks.groupBy(*block, "chunk").agg(
-        F.sort_array(F.collect_list(F.struct(*fields))).alias("rows")
-    )
-    no_match = "cast(null as struct<gap: bigint, id: bigint, score: double>)"
+    rows = chunks.groupBy(*block, "chunk").agg(F.sort_array(F.collect_list(F.struct(*ROW))).alias("rows"))
+    twin = "array_min(transform(filter(acc.kept, k -> k.twin = r.twin), k -> k.id))"
     best = (
-        f"case when r.seen then {no_match} else array_min(transform(filter(acc.kept, k -> {condition}), "
-        f"k -> named_struct('gap', abs(r.s - k.s) div 60, 'id', k.id, 'score', {score}))) end"
+        f"array_min(transform(filter(acc.kept, k -> {condition}), "
+        f"k -> named_struct('gap', abs(r.s - k.s) div 60, 'id', k.id, 'score', {score}, 'exact', false)))"
+    )
+    hit = f"coalesce(case when {twin} is not null then named_struct('gap', 0L, 'id', {twin}, 'score', 1D, 'exact', true) end, {best})"
+    changed = (
+        "element_at(transform(filter(acc.kept, k -> k.id = h.id), k -> named_struct('at', r.at, 'kind', 1, 'id', k.id, "
+        "'s', k.s, 'dur', k.dur, 'txt', case when r.len > coalesce(k.len, 0) then r.txt else k.txt end, "
+        "'len', case when r.len > coalesce(k.len, 0) then r.len else k.len end, "
+        "'tic', coalesce(r.tic, k.tic), 'twin', k.twin)), 1)"
     )
+    merges = f"h is not null and not h.exact and h.score > {merge_above}D" if merge_above is not None else "false"
+    none = "case when false then rows[0] end"
+    decision = "named_struct('row', r, 'hit', h, 'changed', c)"
     start = (
         "named_struct('kept', filter(rows, x -> false), 'decided', "
-        f"transform(filter(rows, x -> false), x -> named_struct('row', x, 'best', {no_match})))"
+        f"transform(filter(rows, x -> false), x -> named_struct('row', x, 'hit', {HIT}, 'changed', case when x.kind = 1 then x end)))"
     )
-    step = (
-        f"element_at(transform(array({best}), b -> named_struct("
-        "'kept', case when b is null then array_append(acc.kept, r) else acc.kept end, "
-        "'decided', case when r.seen then acc.decided "
-        "else array_append(acc.decided, named_struct('row', r, 'best', b)) end)), 1)"
+    own = (
+        f"element_at(transform(array({hit}), h -> element_at(transform(array(case when {merges} then {changed} else {none} end), "
+        "c -> named_struct("
+        "'kept', case when h is null then array_append(acc.kept, r) "
+        "when c is not null then transform(acc.kept, k -> case when k.id = c.id then c else k end) else acc.kept end, "
+        f"'decided', array_append(acc.decided, {decision}))), 1)), 1)"
+    )
+    news = (
+        "named_struct('kept', array_append(filter(acc.kept, k -> k.id <> r.id), r), 'decided', acc.decided)"
     )
     decided = rows.select(
-        *block, "chunk", F.explode(F.expr(f"aggregate(rows, {start}, (acc, r) -> {step}, acc -> acc.decided)")).alias("o")
+        *block,
+        "chunk",
+        F.explode(
+            F.expr(
+                f"aggregate(rows, {start}, (acc, r) -> case when r.kind = 1 then {news} else {own} end, acc -> acc.decided)"
+            )
+        ).alias("o"),
     )
-    return decided.select(*block, "chunk", "o.row.*", F.col("o.best").alias("best")).drop("seen")
+    return decided.select(*block, "chunk", "o.row.*", "o.hit", "o.changed")
 
 
 def greedy_matches(
-    first: DataFrame, block: list[str], window_s: int, condition: str, score: str, chunk_s: int
+    rows: DataFrame,
+    block: list[str],
+    window_s: int,
+    condition: str,
+    score: str,
+    chunk_s: int,
+    merge_above: float | None = None,
 ) -> DataFrame:
-    """``first`` (block, id, s, dur, txt, len, tic, n) plus ``best``: the nearest kept row
-    each row falls to, NULL for kept rows.
+    """``rows`` (block, id, s, dur, txt, len, tic, twin) plus ``hit``: the kept row each row
+    falls to (gap, id, score, exact), NULL for kept rows.
 
     Starts a job that looks for chunks that meet at a border, and a few per round when there
     are some.
     """
-    if chunk_s < 2 * window_s:
-        raise ValueError("a chunk must be at least twice as long as the comparison window")
-    rows = first.withColumn("chunk", F.expr(f"s div {chunk_s}")).withColumn("seen", F.lit(False))
-    offset = F.expr(f"s - chunk * {chunk_s}")
-    # border b lies before chunk b: rows of chunk b near its start, of chunk b-1 near its end
-    border = F.when(offset <= window_s, F.col("chunk")).when(
-        offset >= chunk_s - window_s, F.col("chunk") + 1
+    if chunk_s <= 2 * window_s:
+        raise ValueError("a chunk must be more than twice as long as the comparison window")
+    rows = rows.select(
+        *block, F.expr(f"s div {chunk_s}").alias("chunk"), F.col("id").alias("at"), F.lit(0).alias("kind"), *ROW[2:]
     )
-    at_border = rows.withColumn("border", border).where("border is not null")
+
+    def border_of(s: str) -> Column:
+        # Border b lies before chunk b: rows of chunk b near its start, of chunk b - 1 near its end.
+        offset = F.expr(f"{s} - {s} div {chunk_s} * {chunk_s}")
+        return F.when(offset <= window_s, F.expr(f"{s} div {chunk_s}")).when(
+            offset >= chunk_s - window_s, F.expr(f"{s} div {chunk_s} + 1")
+        )
+
+    at_border = rows.withColumn("border", border_of("s")).where("border is not null")
     live = (
         at_border.groupBy(*block, "border")
         .agg(
-            F.max(F.col("chunk") == F.col("border")).alias("after"),
-            F.max(F.col("chunk") < F.col("border")).alias("before"),
+            F.min(F.when(F.col("chunk") == F.col("border"), F.col("s"))).alias("after"),
+            F.max(F.when(F.col("chunk") < F.col("border"), F.col("s"))).alias("before"),
         )
-        .where("after and before")
+        .where(F.col("after") - F.col("before") <= window_s)
     )
     touching = live.select(*block, F.explode(F.expr("array(border - 1, border)")).alias("chunk"))
     linked = cut_lineage(rows.join(touching.distinct(), [*block, "chunk"], "left_semi"))
     if linked.isEmpty():
-        return _decide(rows, block, condition, score)
+        return _decide(rows, block, condition, score, merge_above)
     chunk_key = [*block, "chunk"]
     active = linked.select(*chunk_key).distinct()
     alone = rows.join(active, chunk_key, "left_anti")
-    next_door = F.expr("case when chunk = border then chunk - 1 else chunk + 1 end")
 
-    def kept_at_border(decided: DataFrame) -> DataFrame:
-        return decided.where("best is null").withColumn("border", border).where("border is not null")
+    def news_of(decided: DataFrame) -> DataFrame:
+        """What a chunk did to kept rows at its borders: (block, chunk, border, row as of at)."""
+        kept = decided.where("hit is null").select(*chunk_key, *ROW)
+        rewritten = decided.where("changed is not null").select(*chunk_key, "changed.*")
+        return kept.unionByName(rewritten).withColumn("border", border_of("s")).where("border is not null")
 
-    current = cut_lineage(_decide(linked, block, condition, score))
+    current = cut_lineage(_decide(linked, block, condition, score, merge_above))
     while not active.isEmpty():
         halo = (
-            kept_at_border(current)
-            .withColumn("chunk", next_door)
-            .drop("border", "best")
-            .withColumn("seen", F.lit(True))
+            news_of(current)
+            .withColumn("chunk", F.expr("border + border - 1 - chunk"))
+            .drop("border")
+            .withColumn("kind", F.lit(1))
             .join(active, chunk_key, "left_semi")
         )
         again = linked.join(active, chunk_key, "left_semi")
-        redone = cut_lineage(_decide(again.unionByName(halo), block, condition, score))
+        redone = cut_lineage(_decide(again.unionByName(halo), block, condition, score, merge_above))
         replaced = current.join(active, chunk_key, "left_semi")
-        marks = [*chunk_key, "border", "id"]
-        before = kept_at_border(replaced).select(*marks, F.lit(1).alias("side"))
-        after = kept_at_border(redone).select(*marks, F.lit(-1).alias("side"))
+        marks = [*chunk_key, "border", "id", "at", "txt", "len", "tic"]
+        before = news_of(replaced).select(*marks, F.lit(1).alias("side"))
+        after = news_of(redone).select(*marks, F.lit(-1).alias("side"))
         differs = before.unionByName(after).groupBy(*marks).agg(F.sum("side").alias("side")).where("side <> 0")
         current = cut_lineage(current.join(active, chunk_key, "left_anti").unionByName(redone))
-        active = cut_lineage(differs.select(*block, next_door.alias("chunk")).distinct())
-    return _decide(alone, block, condition, score).unionByName(current)
+        next_door = F.expr("border + border - 1 - chunk").alias("chunk")
+        active = cut_lineage(differs.select(*block, next_door).distinct())
+    return _decide(alone, block, condition, score, merge_above).unionByName(current)
 
 
 def find_duplicates(
@@ -204,11 +247,11 @@ def find_duplicates(
     """One decision per activity.
 
     Columns: id, activity_hash, action (insert, mark, merge, skip), duplicate_type,
-    original_id, confidence, minutes_apart.  An exact copy points to the kept row its first
-    occurrence stands for.
+    original_id, confidence, minutes_apart.  ``original_id`` is always a kept row.
     """
     rules = rules or DedupRules()
     text = _text_bytes("description", rules.compare_bytes)
+    fields = ["id", "s", "dur", "txt", "len", "tic"]
     keyed = activities.select(
         *HASH_KEYS,
         "id",
@@ -218,8 +261,7 @@ def find_duplicates(
         F.expr("octet_length(trim(description))").alias("len"),
         F.nullif(F.col("ticket_id").cast("string"), F.lit("0")).alias("tic"),
     )
-    fields = ["id", "s", "dur", "txt", "len", "tic"]
-    first = (
+    first = cut_lineage(
         keyed.groupBy(*HASH_KEYS)
         .agg(F.min(F.struct(*fields)).alias("f"), F.count(F.lit(1)).alias("n"))
         .select(*HASH_KEYS, "f.*", "n")
@@ -228,34 +270,58 @@ def find_duplicates(
     if "ticket_id" in rules.block:
         comparable = comparable & F.col("tic").isNotNull()
     condition, score = _score_match(rules)
-    matched = greedy_matches(
-        first.where(comparable).select(*rules.block, *fields, "n"),
-        rules.block,
-        rules.window_minutes * 60,
-        condition,
-        score,
-        max(rules.chunk_minutes, 2 * rules.window_minutes) * 60,
-    ).where("best is not null")
-    matched = matched.select(F.col("id").alias("m_id"), "best")
-    groups = first.join(matched, first["id"] == matched["m_id"], "left").select(
-        *HASH_KEYS, F.col("id").alias("first_id"), "n", "best"
-    )
+    own = ["id", "s", "dur", "txt", "len", "tic", F.xxhash64(*HASH_KEYS).alias("twin")]
+
+    def decided(rows: DataFrame) -> DataFrame:
+        return greedy_matches(
+            rows.where(comparable).select(*rules.block, *own),
+            rules.block,
+            rules.window_minutes * 60,
+            condition,
+            score,
+            max(60 * rules.chunk_minutes, 120 * rules.window_minutes + 1),
+            rules.merge_above,
+        )
+
+    # Copies of a kept row fall to it.  Copies of first rows that were not kept take part, and may
+    # change which other first rows are kept; so until no new ones turn up.
+    repeated = first.where(comparable & (F.col("n") > 1)).select(*HASH_KEYS, F.col("id").alias("first_id"))
+    matched, taken = cut_lineage(decided(first).where("hit is not null").select("id", "hit")), None
+    while True:
+        fallen = repeated.join(matched.select(F.col("id").alias("first_id")), "first_id", "left_semi")
+        if taken is not None:
+            fallen = fallen.unionByName(taken).distinct()
+        fallen = cut_lineage(fallen)
+        if fallen.count() == (0 if taken is None else taken.count()):
+            break
+        taken = fallen
+        same = [keyed[k].eqNullSafe(taken[k]) for k in HASH_KEYS]
+        copies = keyed.join(taken, same, "left_semi").join(taken.select(F.col("first_id").alias("id")), "id", "left_anti")
+        everyone = first.select(*HASH_KEYS, *fields).unionByName(copies.select(*HASH_KEYS, *fields))
+        matched = cut_lineage(decided(everyone).select("id", "hit"))
+        out, matched = matched, matched.where("hit is not null")
+    groups = first.select(*HASH_KEYS, F.col("id").alias("first_id"), "n")
     rows = activities.select(*HASH_KEYS, "id", activity_hash().alias("activity_hash"))
     joined = attach_group(rows, HASH_KEYS, groups, "n", "id", hot_rows)
-    copy = F.col("id") != F.col("first_id")
-    fuzzy = F.col("best").isNotNull()
+    # ``decided_here``: rows that took part; a copy that did not falls to its kept first row.
+    part = matched.withColumn("decided_here", F.lit(True)) if taken is None else out.withColumn("decided_here", F.lit(True))
+    part = part.withColumnRenamed("id", "m_id")
+    joined = joined.join(part, joined["id"] == part["m_id"], "left")
+    plain_copy = F.col("decided_here").isNull() & (F.col("id") != F.col("first_id"))
+    exact = plain_copy | F.coalesce(F.col("hit.exact"), F.lit(False))
+    near = F.col("hit").isNotNull() & ~exact
     return joined.select(
         "id",
         "activity_hash",
-        F.when(copy, "mark" if rules.soft else "skip")
-        .when(fuzzy & (F.col("best.score") > rules.merge_above), "merge")
-        .when(fuzzy, "mark")
+        F.when(exact, "mark" if rules.soft else "skip")
+        .when(near & (F.col("hit.score") > rules.merge_above), "merge")
+        .when(near, "mark")
         .otherwise("insert")
         .alias("action"),
-        F.when(copy, "exact").when(fuzzy, "near").alias("duplicate_type"),
-        F.when(copy, F.coalesce("best.id", "first_id")).when(fuzzy, F.col("best.id")).alias("original_id"),
-        F.when(copy, F.lit(1.0)).when(fuzzy, F.col("best.score")).alias("confidence"),
-        F.when(fuzzy & ~copy, F.col("best.gap")).alias("minutes_apart"),
+        F.when(exact, "exact").when(near, "near").alias("duplicate_type"),
+        F.when(plain_copy, F.col("first_id")).otherwise(F.col("hit.id")).alias("original_id"),
+        F.when(exact, F.lit(1.0)).when(near, F.col("hit.score")).alias("confidence"),
+        F.when(near, F.col("hit.gap")).alias("minutes_apart"),
     )
 
 
@@ -340,17 +406,18 @@ def near_repeats(
             F.lit("").alias("txt"),
             F.lit(0).alias("len"),
             F.lit("").alias("tic"),
+            F.col("id").alias("twin"),
             "n",
         )
     )
     window = (window_minutes + 1) * 60 - 1
     condition = f"abs(r.s - k.s) <= {window} and abs(r.dur - k.dur) < {max_gap_hours}D"
-    fields = ["id", "s", "dur", "txt", "len", "tic", "n"]
+    fields = ["id", "s", "dur", "txt", "len", "tic", "twin"]
     matched = greedy_matches(
         first.select("employee_id", *fields), ["employee_id"], window, condition, "1D",
-        max(chunk_minutes * 60, 2 * window),
-    ).where("best is not null")
-    matched = matched.select(F.col("id").alias("m_id"), F.col("best.id").alias("best_id"))
+        max(chunk_minutes * 60, 2 * window + 1),
+    ).where("hit is not null")
+    matched = matched.select(F.col("id").alias("m_id"), F.col("hit.id").alias("best_id"))
     groups = first.join(matched, first["id"] == matched["m_id"], "left").select(
         *keys, F.col("id").alias("first_id"), "n", "best_id"
     )

@@ -280,26 +280,31 @@ FRAMES: dict[str, tuple[list[str], str]] = {
         select 2 * id + 1, employee_id, client_id, work_date, start_ts,
                end_ts + to_minutes(case when id % 3 = 2 then 5 else 0 end), hours
         from timesheets"""),
-    "first_rows": (["activities_re"], """
-        select a.employee_id, a.ticket_id, a.start_ts, a.duration_hours, f.id, f.n,
-               epoch(a.start_ts)::bigint as s, a.duration_hours::double as dur,
-               lower(trim(a.description)) as txt, strlen(trim(a.description)) as len,
-               row_number() over (partition by a.employee_id, a.ticket_id order by a.id) as rk
-        from activities_re a join (
-          select min(id) as id, count(*) as n from activities_re
-          group by employee_id, start_ts, duration_hours, ticket_id) f using (id)"""),
-    "near_best": (["first_rows"], """
+    # Row by row in id order, per employee and ticket: an exact match with a kept row, else the nearest
+    # kept row that scores enough; a merge hands its longer description to the kept row.
+    "fold_rows": (["activities_re"], """
+        select id, employee_id, ticket_id, epoch(start_ts)::bigint as s, duration_hours::double as dur,
+               lower(trim(description)) as txt, strlen(trim(description))::bigint as len,
+               row_number() over (partition by employee_id, ticket_id order by id) as rk
+        from activities_re where ticket_id is not null and ticket_id <> 0"""),
+    "fold": (["fold_rows"], """
         with recursive steps as (
           select employee_id, ticket_id, rk, id, [{'id': id, 's': s, 'dur': dur, 'txt': txt, 'len': len}] as kept,
-                 null::struct(gap bigint, id bigint, score double) as best
-          from first_rows where ticket_id is not null and rk = 1
+                 null::struct(gap bigint, id bigint, score double) as best, null::bigint as twin
+          from fold_rows where rk = 1
           union all
           select employee_id, ticket_id, rk, id,
-                 case when hits = [] then list_append(kept, {'id': id, 's': s, 'dur': dur, 'txt': txt, 'len': len}) else kept end,
-                 list_sort(hits)[1]
+                 case when twin is not null then kept
+                      when best is null then list_append(kept, {'id': id, 's': s, 'dur': dur, 'txt': txt, 'len': len})
+                      when best.score > 0.9::double and coalesce(len, 0) > 0 then
+                        list_transform(kept, lambda k: case when k.id = best.id and len > coalesce(k.len, 0)
+                          then {'id': k.id, 's': k.s, 'dur': k.dur, 'txt': txt, 'len': len} else k end)
+                      else kept end,
+                 case when twin is null then best end, twin
           from (
             select r.*, g.kept,
-                   list_filter(list_transform(list_filter(g.kept, lambda k: abs(r.s - k.s) <= 180),
+                   list_min(list_transform(list_filter(g.kept, lambda k: k.s = r.s and k.dur = r.dur), lambda k: k.id)) as twin,
+                   list_sort(list_filter(list_transform(list_filter(g.kept, lambda k: abs(r.s - k.s) <= 180),
                      lambda k: {'gap': abs(r.s - k.s) // 60, 'id': k.id, 'score':
                        least(1.0::double,
                          (case when r.dur > 0 and k.dur > 0
@@ -309,24 +314,26 @@ FRAMES: dict[str, tuple[list[str], str]] = {
                                  then greatest(0.0::double, 1.0::double - levenshtein(r.txt, k.txt)::double / greatest(r.len, k.len)::double)
                                  else 0.0::double end) * 0.4::double
                          + 1.0::double * 0.3::double)}),
-                     lambda h: h.score >= 0.85::double) as hits
-            from steps g join first_rows r
+                     lambda h: h.score >= 0.85::double))[1] as best
+            from steps g join fold_rows r
               on r.employee_id = g.employee_id and r.ticket_id = g.ticket_id and r.rk = g.rk + 1))
-        select id, best from steps where best is not null"""),
-    "decisions": (["activities_re", "first_rows", "near_best"], """
+        select id, best, twin from steps"""),
+    "decisions": (["activities_re", "fold"], """
         select a.id,
                md5(concat_ws('|', a.employee_id::varchar, strftime(a.start_ts, '%Y-%m-%d %H:%M:%S'),
                              a.duration_hours::varchar, coalesce(a.ticket_id::varchar, ''))) as activity_hash,
-               case when a.id <> f.id then 'mark' when b.best.score > 0.9::double then 'merge'
-                    when b.best is not null then 'mark' else 'insert' end as action,
-               case when a.id <> f.id then 'exact' when b.best is not null then 'near' end as duplicate_type,
-               case when a.id <> f.id then coalesce(b.best.id, f.id) else b.best.id end as original_id,
-               case when a.id <> f.id then 1.0::double else b.best.score end as confidence,
-               case when a.id = f.id then b.best.gap end as minutes_apart
-        from activities_re a
-        join first_rows f on f.employee_id = a.employee_id and f.start_ts = a.start_ts
-          and f.duration_hours = a.duration_hours and f.ticket_id is not distinct from a.ticket_id
-        left join near_best b on b.id = f.id"""),
+               case when x.twin is not null then 'mark' when f.best.score > 0.9::double then 'merge'
+                    when f.best is not null then 'mark' else 'insert' end as action,
+               case when x.twin is not null then 'exact' when f.best is not null then 'near' end as duplicate_type,
+               coalesce(x.twin, f.best.id) as original_id,
+               case when x.twin is not null then 1.0::double else f.best.score end as confidence,
+               case when x.twin is null then f.best.gap end as minutes_apart
+        from activities_re a left join fold f using (id)
+        left join (
+          select id, twin from fold where twin is not null
+          union all
+          select id, f from (select id, min(id) over (partition by employee_id, start_ts, duration_hours, ticket_id) as f
+                             from activities_re where ticket_id is null or ticket_id = 0) where id <> f) x using (id)"""),
     # -------------------------------------------------------------- validators
     "abs_days": (["absences"], """
         select employee_id, work_date, count(*)::bigint as absences

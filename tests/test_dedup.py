@@ -36,32 +36,38 @@ def score(r, k):
     return min(1.0, s)
 
 
-def sequential(data, window, threshold):
-    """id -> (kind, original) by the row-at-a-time rule; copies follow their first row."""
-    first, kept, out = {}, [], {}
+def sequential(data, window, threshold, merge_above=0.9):
+    """id -> (kind, original) by the row-at-a-time rule: an exact match with a stored row that is
+    not a duplicate, else the nearest stored row that is similar enough; merging may lengthen the
+    stored description, and later rows meet the new one."""
+    kept, out = {}, {}
     for r in sorted(data):
         key = (r[1], r[3], r[5], r[2])
-        if key in first:
-            f = first[key]
-            out[r[0]] = ("exact", out[f][1] if out[f][0] == "near" else f)
+        twins = [i for i, k in kept.items() if (k[1], k[3], k[5], k[2]) == key]
+        if twins:
+            out[r[0]] = ("exact", min(twins))
             continue
-        first[key] = r[0]
         near = [
-            (int(abs((r[3] - k[3]).total_seconds())) // 60, k[0])
-            for k in kept
+            (int(abs((r[3] - k[3]).total_seconds())) // 60, i, score(r, k))
+            for i, k in kept.items()
             if k[1] == r[1] and abs((r[3] - k[3]).total_seconds()) <= window * 60 and score(r, k) >= threshold
         ]
         if near and r[2]:
-            out[r[0]] = ("near", min(near)[1])
+            _, target, s = min(near)
+            out[r[0]] = ("near", target)
+            old, new = (kept[target][6] or "").strip(), (r[6] or "").strip()
+            if s > merge_above and len(new.encode()) > len(old.encode()):
+                kept[target] = (*kept[target][:6], new)
         else:
             out[r[0]] = (None, None)
-            kept.append(r)
+            kept[r[0]] = r
     return out
 
 
 def made(seed, n=120, minutes=200):
     rnd = random.Random(seed)
-    texts = ["controllo del server di posta", "controllo del server di poste", "perché non stampa", "perche non stampa", None]
+    texts = ["controllo del server di posta", "controllo del server di poste", "controllo del server di posta e",
+             "controllo del server di posta ex", "controllo del server di posta exch", "perché non stampa", "perche non stampa", None]
     out = []
     for i in range(n):
         start = BASE + dt.timedelta(seconds=rnd.randrange(minutes * 60) // 20 * 20)
@@ -69,7 +75,7 @@ def made(seed, n=120, minutes=200):
     return out + [(n + i, *r[1:]) for i, r in enumerate(rnd.sample(out, 20))]
 
 
-@pytest.mark.parametrize("seed,chunk", [(1, 6), (2, 60), (3, 7)])
+@pytest.mark.parametrize("seed,chunk", [(1, 6), (2, 60), (3, 7), (4, 6)])
 def test_equals_the_sequential_rule(spark, seed, chunk):
     data = made(seed)
     rules = DD.DedupRules(window_minutes=3, threshold=0.85, chunk_minutes=chunk)
@@ -80,6 +86,36 @@ def test_equals_the_sequential_rule(spark, seed, chunk):
     assert got == sequential(data, 3, 0.85)
 
 
+def near_row(i, minutes, text, hours="1.00"):
+    return (i, 1, 5, BASE + dt.timedelta(minutes=minutes), BASE, D(hours), text)
+
+
+@pytest.mark.parametrize("chunk", [6, 60])
+def test_copy_of_a_merged_row_is_compared_itself(spark, chunk):
+    data = [near_row(1, 0, "controllo posta"), near_row(2, 1, "controllo posta"), near_row(3, 1, "controllo posta"),
+            near_row(4, 1, "tutto altro lavoro"), near_row(5, 1, "tutto altro lavoro")]
+    rules = DD.DedupRules(chunk_minutes=chunk)
+    got = {r.id: (r.action, r.duplicate_type, r.original_id) for r in DD.find_duplicates(spark.createDataFrame(data, SCHEMA), rules).collect()}
+    assert got == {1: ("insert", None, None), 2: ("merge", "near", 1), 3: ("merge", "near", 1),
+                   4: ("insert", None, None), 5: ("mark", "exact", 4)}
+
+
+@pytest.mark.parametrize("start", [0, 58])
+def test_later_rows_meet_the_merged_text(spark, start):
+    # 3 is near the text that 2 brought (0.88), not near the first one (0.84); also across a border
+    data = [near_row(1, start, "abcdefghij"), near_row(2, start + 1, "abcdefghijkl"), near_row(3, start + 2, "abcdefghijklmnopq")]
+    got = {r.id: (r.action, r.original_id) for r in DD.find_duplicates(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got == {1: ("insert", None), 2: ("merge", 1), 3: ("mark", 1)}
+
+
+def test_one_very_busy_employee(spark):
+    rnd = random.Random(8)
+    texts = ["giro di controllo", "giro di controllo notturno", "altro"]
+    data = [near_row(i, rnd.randrange(0, 2400) / 2, rnd.choice(texts), rnd.choice(["1.00", "1.02"])) for i in range(700)]
+    got = {r.id: (r.duplicate_type, r.original_id) for r in DD.find_duplicates(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got == sequential(data, 3, 0.85)
+
+
 def test_chain_across_chunk_borders(spark):
     # one row every two minutes for two hours: every second row falls to the one before
     data = [(i, 1, 5, BASE + dt.timedelta(minutes=2 * i), BASE, D("1.00"), "stesso testo") for i in range(60)]
