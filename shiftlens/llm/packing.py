@@ -16,10 +16,10 @@ and rows without doc_id are packed as often as they occur.
 from __future__ import annotations
 
 import os
-import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame, functions as F
 from shiftlens.llm.shared import stored
 
 END = b"\x00\x00\x00\x00"  # token id 0 closes every document
-NOT_PLAIN = re.compile(r"\s\s|[^\S \n]|\A\s|\s\Z")
 
 
 @dataclass(frozen=True)
@@ -44,19 +43,22 @@ class CachedTokenizer:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     Byte-level BPE never joins letters across a single blank or line feed between two other
-    characters, so plain texts are put together from the ids of their words; texts with any other
-    white space go through the tokenizer whole.
+    characters, nor a letter or figure with the marks behind it, so plain texts are put together
+    from the ids of their words; texts with any other white space go through the tokenizer whole.
+    The memory of words is bounded and starts anew when it is full.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    MARKS = """.,!?;:*#$%&|"'()-"""
+
+    def __init__(self, path: str, most: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.most = most
-        self.first: dict[str, bytes] = {}  # words at the start of a line
-        self.inner: dict[str, bytes] = {}  # words after a blank
+        self.words: dict[str, bytes] = {}  # strings behind a blank; with "\n" in front, behind a line feed
+        self.stems: dict[str, bytes] = {}  # without the marks at their end
         self.feed = self.whole("\n")
 
     def batch(self, texts: list[str]) -> list[bytes]:
@@ -66,25 +68,51 @@ class CachedTokenizer:
     def whole(self, text: str) -> bytes:
         return self.batch([text])[0]
 
+    def learn(self, words: set[str]) -> None:
+        cuts, stems = {}, self.stems
+        for w in words:
+            body = w[1:] if w[0] == "\n" else " " + w
+            stem = body.rstrip(self.MARKS)
+            if not stem or not stem[-1].isalnum():
+                stem = body
+            cuts[w] = (stem, body[len(stem) :])
+        new = {x for cut in cuts.values() for x in cut if x}.difference(stems)
+        if len(stems) + len(new) > self.most:
+            stems.clear()
+            new = {x for cut in cuts.values() for x in cut if x}
+        if new:
+            new = list(new)
+            stems.update(zip(new, self.batch(new)))
+        for w, (stem, marks) in cuts.items():
+            ids = stems[stem] + stems[marks] if marks else stems[stem]
+            self.words[w] = self.feed + ids if w[0] == "\n" else ids
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return END
-        if NOT_PLAIN.search(text):
+        first, *words = text.replace("\n", " \n").split(" ")
+        used = set(words)
+        plain = first and "" not in used and "\n" not in used and first[0] != "\n"
+        if not plain or len(text.split()) != len(words) + 1:
             return self.whole(text) + END
-        lines = [line.split(" ") for line in text.split("\n")]
-        starts = {w[0] for w in lines}
-        rest = set().union(*(w[1:] for w in lines))
-        for known, words, lead in ((self.first, starts, ""), (self.inner, rest, " ")):
-            new = words.difference(known)
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = words
-            if new:
-                new = list(new)
-                known.update(zip(new, self.batch([lead + w for w in new])))
-        first, inner = self.first.__getitem__, self.inner.__getitem__
-        ids = [first(w[0]) + b"".join(map(inner, w[1:])) for w in lines]
-        return self.feed.join(ids) + END
+        known = self.words
+        new = used.difference(known)
+        start = "\n" + first
+        if start not in known:
+            new.add(start)
+        if len(known) + len(new) > self.most:
+            known.clear()
+            new = used | {start}
+        if new:
+            self.learn(new)
+        get = known.__getitem__
+        return get(start)[len(self.feed) :] + b"".join(map(get, words)) + END
+
+
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> CachedTokenizer:
+    """One per Python worker, so that tasks share the words seen."""
+    return CachedTokenizer(path)
 
 
 class Packer:
@@ -184,7 +212,7 @@ def pack(docs: DataFrame, vocabulary: str, params: PackParams = PackParams()) ->
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        tokens, packer = CachedTokenizer(vocabulary), Packer(params)
+        tokens, packer = tokenizer_of(vocabulary), Packer(params)
         for batch in batches:
             ids = batch["doc_id"].astype("Int64")
             for at in range(0, len(batch), 500):  # small output batches, whatever the input's
