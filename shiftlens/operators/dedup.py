@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shiftlens.operators.groups import HOT_ROWS, attach_group
+from shiftlens.operators.groups import attach_group
 from shiftlens.session import cut_lineage
 
 HASH_KEYS = ["employee_id", "start_ts", "duration_hours", "ticket_id"]
@@ -241,9 +241,7 @@ def greedy_matches(
     return _decide(alone, block, condition, score, merge_above).unionByName(current)
 
 
-def find_duplicates(
-    activities: DataFrame, rules: DedupRules | None = None, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def find_duplicates(activities: DataFrame, rules: DedupRules | None = None) -> DataFrame:
     """One decision per activity.
 
     Columns: id, activity_hash, action (insert, mark, merge, skip), duplicate_type,
@@ -300,9 +298,9 @@ def find_duplicates(
         everyone = first.select(*HASH_KEYS, *fields).unionByName(copies.select(*HASH_KEYS, *fields))
         matched = cut_lineage(decided(everyone).select("id", "hit"))
         out, matched = matched, matched.where("hit is not null")
-    groups = first.select(*HASH_KEYS, F.col("id").alias("first_id"), "n")
+    groups = first.select(*HASH_KEYS, F.col("id").alias("first_id"))
     rows = activities.select(*HASH_KEYS, "id", activity_hash().alias("activity_hash"))
-    joined = attach_group(rows, HASH_KEYS, groups, "n", "id", hot_rows)
+    joined = attach_group(rows, HASH_KEYS, groups)
     # ``decided_here``: rows that took part; a copy that did not falls to its kept first row.
     part = matched.withColumn("decided_here", F.lit(True)) if taken is None else out.withColumn("decided_here", F.lit(True))
     part = part.withColumnRenamed("id", "m_id")
@@ -388,7 +386,6 @@ def near_repeats(
     window_minutes: int = 3,
     max_gap_hours: float = 0.1,
     chunk_minutes: int = 60,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The simple rule: dropped when a kept activity of the employee starts within so many
     whole minutes and its duration differs by less than the gap.  Columns: id, original_id
@@ -419,10 +416,10 @@ def near_repeats(
     ).where("hit is not null")
     matched = matched.select(F.col("id").alias("m_id"), F.col("hit.id").alias("best_id"))
     groups = first.join(matched, first["id"] == matched["m_id"], "left").select(
-        *keys, F.col("id").alias("first_id"), "n", "best_id"
+        *keys, F.col("id").alias("first_id"), "best_id"
     )
     rows = activities.select(*keys, "id")
-    joined = attach_group(rows, keys, groups, "n", "id", hot_rows)
+    joined = attach_group(rows, keys, groups)
     copy = F.col("id") != F.col("first_id")
     return joined.select(
         "id", F.coalesce("best_id", F.when(copy, F.col("first_id"))).alias("original_id")

@@ -4,47 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A key with at least this many rows is hot.  There can be at most rows / HOT_ROWS hot
-# keys: 10^12 rows bound the broadcast list to 200,000 keys.
-HOT_ROWS = 5_000_000
-SPREAD = 256
-
-
-def attach_group(
-    df: DataFrame,
-    keys: list[str],
-    groups: DataFrame,
-    size: str,
-    row_id: str = "id",
-    hot_rows: int = HOT_ROWS,
-    spread: int = SPREAD,
-) -> DataFrame:
-    """Left join of one summary row per key onto all rows of that key, safe for hot keys.
 
-    ``groups`` has the key columns, the row count in ``size`` and the values to attach.
-    Hot keys, of which there are few by the bound above, are broadcast and answered on the
-    map side; their rows then take a random salt, so the shuffle join that serves all
-    other keys sees neither side crowded.  NULL keys match each other, as in a grouping.
+def attach_group(df: DataFrame, keys: list[str], groups: DataFrame) -> DataFrame:
+    """Left join of one summary row per key onto all rows of that key.
+
+    ``groups`` has the key columns and the values to attach, one row per key.  Whether the
+    groups are broadcast is decided by their measured size; in a shuffle join a hot key crowds
+    the row side only, which adaptive execution splits.  NULL keys match each other, as in a
+    grouping.
     """
     values = [c for c in groups.columns if c not in keys]
-    packed = groups.select(*keys, F.struct(*values).alias("_v"), F.col(size).alias("_n"))
-    hot = packed.where(F.col("_n") >= hot_rows).select(
-        *[F.col(k).alias(f"_h_{k}") for k in keys], F.col("_v").alias("_hot")
-    )
-    cold = packed.where(F.col("_n") < hot_rows).select(
-        *[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_v").alias("_cold"), F.lit(0).alias("_c_salt")
-    )
-    on_hot = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-    on_cold = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys]
-    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(
-        F.pmod(F.xxhash64(row_id), F.lit(spread)).cast("int") + 1
-    )
-    out = (
-        df.join(F.broadcast(hot), on_hot, "left")
-        .withColumn("_salt", salt)
-        .join(cold, [*on_cold, F.col("_salt") == F.col("_c_salt")], "left")
-        .withColumn("_got", F.coalesce("_hot", "_cold"))
-    )
+    packed = groups.select(*[F.col(k).alias(f"_g_{k}") for k in keys], F.struct(*values).alias("_got"))
+    out = df.join(packed, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys], "left")
     return out.select(*df.columns, *[F.col(f"_got.{v}").alias(v) for v in values])
 
 
@@ -70,14 +41,10 @@ def duplicate_groups(
     return out
 
 
-def duplicate_members(
-    df: DataFrame, keys: list[str], row_id: str = "id", hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def duplicate_members(df: DataFrame, keys: list[str], row_id: str = "id") -> DataFrame:
     """Every row of a duplicate group with the group's first id and size."""
     groups = duplicate_groups(df, keys, row_id).drop("last_id")
-    return attach_group(df, keys, groups, "duplicates", row_id, hot_rows).where(
-        F.col("duplicates").isNotNull()
-    )
+    return attach_group(df, keys, groups).where(F.col("duplicates").isNotNull())
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str | list[str] = "id") -> DataFrame:
@@ -94,15 +61,11 @@ def keep_first(df: DataFrame, keys: list[str], order: str | list[str] = "id") ->
 
 
 def mark_duplicates(
-    df: DataFrame,
-    keys: list[str],
-    row_id: str = "id",
-    reason: str = "exact duplicate",
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: list[str], row_id: str = "id", reason: str = "exact duplicate"
 ) -> DataFrame:
     """Keep every row; all but the lowest id of a group are flagged with their original."""
-    groups = duplicate_groups(df, keys, row_id).select(*keys, "duplicates", "first_id")
-    joined = attach_group(df, keys, groups, "duplicates", row_id, hot_rows)
+    groups = duplicate_groups(df, keys, row_id).select(*keys, "first_id")
+    joined = attach_group(df, keys, groups)
     dup = F.col("first_id").isNotNull() & (F.col(row_id) != F.col("first_id"))
     return joined.select(
         *df.columns,

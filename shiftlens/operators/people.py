@@ -14,7 +14,6 @@ from shiftlens.functions import names as NM
 from shiftlens.functions.text import byte_length, match_key
 from shiftlens.operators.common import union_all
 
-MIN_TOKEN = 3
 FUZZY_THRESHOLD = 0.5
 
 
@@ -163,10 +162,10 @@ def lookup_alias(names: DataFrame, aliases: DataFrame, name: str = "name") -> Da
 # ---------------------------------------------------------------- fuzzy lookup
 
 
-def tokens(text: Column) -> Column:
-    """Distinct words of at least three characters."""
+def tokens(text: Column, shortest: int = 1) -> Column:
+    """Distinct words of at least ``shortest`` characters."""
     words = F.split(match_key(text), r"[^\p{L}\p{N}]+")
-    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= MIN_TOKEN))
+    return F.array_distinct(F.filter(words, lambda w: F.length(w) >= shortest))
 
 
 def fuzzy_match(
@@ -176,6 +175,7 @@ def fuzzy_match(
     target_id: str,
     target_name: Column,
     threshold: float = FUZZY_THRESHOLD,
+    shortest: int = 1,
 ) -> DataFrame:
     """Best target per distinct name by the weight of shared words; only above the threshold.
 
@@ -186,14 +186,14 @@ def fuzzy_match(
     on whose weights do not exceed the threshold cannot qualify, so only the words before
     that position are looked up.  That skips the common words and misses nothing.
     """
-    indexed = targets.select(F.col(target_id).alias("_t"), tokens(target_name).alias("_tt"))
+    indexed = targets.select(F.col(target_id).alias("_t"), tokens(target_name, shortest).alias("_tt"))
     postings = indexed.select("_t", "_tt", F.explode("_tt").alias("_w"))
     total = targets.agg(F.count(F.lit(1))).scalar()
     seen = postings.groupBy(F.col("_w").alias("_fw")).agg(F.count(F.lit(1)).alias("_df"))
     words = (
         names.select(name)
         .distinct()
-        .select(name, F.explode(tokens(F.col(name))).alias("_q"))
+        .select(name, F.explode(tokens(F.col(name), shortest)).alias("_q"))
         .join(seen, F.col("_q") == F.col("_fw"), "left")
     )
     idf = F.log(F.lit(1.0) + total.cast("double") / F.coalesce("_df", F.lit(1)).cast("double"))

@@ -137,7 +137,10 @@ def _job(columns: str, run, kind: str, select: str, person: str = "person", chec
 
 def _rejects(run, kind: str, person: str = "person") -> Query:
     sql = f"""with feed as materialized ({_feed_sql(kind)}), {_staff_sql(person, True)}
-      select code, 'unknown person' as reject_reason from feed where {person} not in (select name from staff)"""
+      select * from (
+        select code, case when {person} not in (select name from staff) then 'unknown person'
+                          when s is null then 'no readable start' when e is null then 'no readable end' end as reject_reason
+        from feed) where reject_reason is not null"""
     return Query("code:text reject_reason:text", run, sql, FRAMES)
 
 
@@ -157,12 +160,14 @@ QUERIES = {
         "employee_id, type, s as start_ts, e as end_ts, state, code as note",
         person="surname_first",
         check=False,
+        where="and e is not null",
     ),
     "load_activities": _job(
         "employee_id client_id ticket_id:text start_ts:text end_ts:text duration_hours:num description:text billable:bool",
         activities_feed,
         "click",
         "employee_id, client_id, nullif(ticket, '0') as ticket_id, s as start_ts, e as end_ts, amount as duration_hours, code as description, true as billable",
+        where="and e is not null",
     ),
     "rejected_activities_of_feed": _rejects(
         lambda d: activities_feed(d).rejects.withColumnRenamed("description", "code"), "click"
@@ -172,6 +177,7 @@ QUERIES = {
         calendar_feed,
         "signup",
         "employee_id, code as title, s as start_ts, e as end_ts, coalesce(nullif(ticket, '0'), '5') as priority",
+        where="and e is not null",
     ),
     "load_projects": Query(
         "code:text state:text priority:text client_id lead_id started_at:text due_date:text hours_budget:num",
@@ -198,6 +204,7 @@ QUERIES = {
         "error",
         """employee_id, client_name, code as session_code, 'Controllo remoto' as session_type, s as start_ts, e as end_ts,
            minutes as duration_minutes, amount as rate, 'Fattura' as billing_mode""",
+        where="and e is not null",
     ),
     "parsed_fields": Query(
         "code:text day:text clock:text amount:num minutes",

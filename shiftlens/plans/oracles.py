@@ -200,7 +200,7 @@ FRAMES: dict[str, tuple[list[str], str]] = {
         from orders"""),
     "master_words": (["employees"], """
         select employee_id, list_distinct(list_filter(regexp_split_to_array(lower(first_name || ' ' || last_name), '[^a-z0-9]+'),
-                                                      lambda w: length(w) >= 3)) as words
+                                                      lambda w: length(w) >= 1)) as words
         from employees where active"""),
     "word_weights": (["master_words"], """
         select word, count(*) as df from (select unnest(words) as word from master_words) group by word"""),
@@ -220,7 +220,7 @@ FRAMES: dict[str, tuple[list[str], str]] = {
         select candidate, word, floor(ln(1.0::double + (select count(*) from master_words)::double
                                          / coalesce(df, 1)::double) * 1000000.0::double + 0.5::double)::bigint as wt
         from (select candidate, unnest(list_distinct(list_filter(regexp_split_to_array(lower(candidate), '[^a-z0-9]+'),
-                                                                 lambda w: length(w) >= 3))) as word
+                                                                 lambda w: length(w) >= 1))) as word
               from (select distinct candidate from candidates))
         left join word_weights using (word)"""),
     "fuzzy": (["cand_words", "master_words"], """

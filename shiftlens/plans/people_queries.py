@@ -231,7 +231,7 @@ QUERIES = {
         "client_name:text source_type:text suggested_id confidence:num status:text",
         lambda d: P.review_queue(d.raw_clients, d.clients, _pending(d), "activities"),
         f"""with words as (select client_id, list_distinct(list_filter(regexp_split_to_array(lower(client_name), '[^a-z0-9]+'),
-                                                              lambda w: length(w) >= 3)) as words from clients),
+                                                              lambda w: length(w) >= 1)) as words from clients),
             weights as (select word, count(*) as df from (select unnest(words) as word from words) group by word),
             wanted as (
               select min(trim(client_name)) as client_name from raw_clients where trim(client_name) <> '' group by {KEY}
@@ -242,7 +242,7 @@ QUERIES = {
               select client_name, word, floor(ln(1.0::double + (select count(*) from clients)::double / coalesce(df, 1)::double)
                                               * 1000000.0::double + 0.5::double)::bigint as wt
               from (select client_name, unnest(list_distinct(list_filter(regexp_split_to_array(lower(client_name), '[^a-z0-9]+'),
-                      lambda w: length(w) >= 3))) as word from wanted) left join weights using (word)),
+                      lambda w: length(w) >= 1))) as word from wanted) left join weights using (word)),
             best as (
               select client_name, client_id from (
                 select n.client_name, w.client_id, sum(wt) as s, any_value(total) as total

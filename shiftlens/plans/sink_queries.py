@@ -22,11 +22,11 @@ def _kpi_upsert(d: Domain) -> DataFrame:
 
 
 def _stored_anomalies(d: Domain) -> DataFrame:
-    """Anomalies of every third employee as an earlier run left them, some resolved."""
+    """Anomalies of all employees as an earlier run left them, those of every second one resolved."""
     old = U.one_per_anomaly_key(raw_anomalies(d)).where("type <> 'travel_mismatch'")
     done = "employee_id % 2 = 0"
     return old.selectExpr(
-        "employee_id", "work_date", "type", "'low' as severity", "'old' as description", "cast(null as string) as details",
+        "employee_id", "work_date", "type", "'low' as severity", "'old' as description", "cast(null as string) as details", "1L as findings",
         f"{done} as resolved", f"case when {done} then 'seen' end as note",
         f"case when {done} then 1L end as resolved_by",
         f"case when {done} then timestamp'2024-02-01 10:00:00' end as resolved_at",
@@ -84,9 +84,10 @@ LOG_SQL = """(select event_type || '.log' as file_name, strftime(ts, '%Y-%m-%d %
        event_id::double as elapsed_s,
        case when event_id % 6 = 0 then '=== Avvio sessione import (ID: x)' else 'riga' end as message from events)"""
 
-ONE_ANOMALY = """(select employee_id, work_date, type, severity, description, details from anomalies_raw
-  qualify row_number() over (partition by employee_id, work_date, type
-    order by case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 else 3 end, description, details) = 1)"""
+ONE_ANOMALY = """(select employee_id, work_date, type, first(severity order by rank, description) as severity,
+         string_agg(description, '; ' order by rank, description) as description, count(*) as findings
+  from (select *, case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 else 3 end as rank from anomalies_raw)
+  group by employee_id, work_date, type)"""
 
 QUERIES = {
     "upsert_daily_kpi": Query(
@@ -97,9 +98,9 @@ QUERIES = {
         ["kpi"],
     ),
     "upsert_anomalies": Query(
-        "employee_id work_date:text type:text severity:text description:text resolved:bool note:text resolved_by resolved_at:text",
+        "employee_id work_date:text type:text severity:text description:text findings resolved:bool note:text resolved_by resolved_at:text",
         lambda d: U.upsert_anomalies(_stored_anomalies(d), raw_anomalies(d)),
-        f"""select employee_id, work_date, type, severity, description,
+        f"""select employee_id, work_date, type, severity, description, findings,
                    type <> 'travel_mismatch' and employee_id % 2 = 0 as resolved,
                    case when type <> 'travel_mismatch' and employee_id % 2 = 0 then 'seen' end as note,
                    case when type <> 'travel_mismatch' and employee_id % 2 = 0 then 1 end as resolved_by,

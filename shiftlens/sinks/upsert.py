@@ -44,18 +44,31 @@ def upsert_columns(target: DataFrame, updates: DataFrame, keys: list[str], refre
 # ---------------------------------------------------------------- anomalies
 
 ANOMALY_KEYS = ["employee_id", "work_date", "type"]
-ANOMALY_REFRESH = ["severity", "description", "details"]
+ANOMALY_REFRESH = ["severity", "description", "details", "findings"]
 
 
 def one_per_anomaly_key(found: DataFrame) -> DataFrame:
-    """Found anomalies, one per (employee, day, type): the most severe, then the first text."""
+    """Found anomalies, one row per (employee, day, type), with all findings of the key.
+
+    The severity is that of the most severe finding; ``description`` and ``details`` hold the
+    texts of every finding, most severe first, then by text, and ``findings`` their number.  A
+    key's findings are what one rule says of one person's day.
+    """
     from shiftlens.functions.text import severity_rank
 
     packed = F.struct(
         (-severity_rank(F.col("severity"))).alias("rank"), "description", "severity", "details"
     )
-    return found.groupBy(*ANOMALY_KEYS).agg(F.min(packed).alias("_r")).select(
-        *ANOMALY_KEYS, "_r.severity", "_r.description", "_r.details"
+    every = found.groupBy(*ANOMALY_KEYS).agg(F.sort_array(F.collect_list(packed)).alias("_r"))
+    return every.select(
+        *ANOMALY_KEYS,
+        F.col("_r")[0]["severity"].alias("severity"),
+        F.array_join(F.transform("_r", lambda r: r["description"]), "; ").alias("description"),
+        F.when(
+            F.exists("_r", lambda r: r["details"].isNotNull()),
+            F.array_join(F.transform("_r", lambda r: r["details"]), "; "),
+        ).alias("details"),
+        F.size("_r").cast("bigint").alias("findings"),
     )
 
 

@@ -15,7 +15,7 @@ from shiftlens.functions import names as NM, temporal as TM, text as TX
 from shiftlens.functions.text import match_key
 from shiftlens.operators import people as P
 from shiftlens.operators.common import union_all
-from shiftlens.operators.groups import HOT_ROWS, attach_group
+from shiftlens.operators.groups import attach_group
 from shiftlens.session import cut_lineage
 
 REASON = "reject_reason"
@@ -44,18 +44,17 @@ class Dimensions:
 # ---------------------------------------------------------------- attaching ids
 
 
-def attach_by_name(
-    rows: DataFrame, feed: DataFrame, name: str, resolved: DataFrame, salt: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def attach_by_name(rows: DataFrame, name: str, resolved: DataFrame, spread: str) -> DataFrame:
     """Join a name map onto the rows of a feed, whatever share of them one name has.
 
-    The map is computed once and cut from its lineage: it is needed for hot and cold names
-    and by every output of the job.  Counts come from the plain feed, so a chain of such
-    joins does not repeat itself in the plan.
+    Rows without a name find nothing; they are dealt out by the hash of column ``spread``
+    instead of meeting in one task.  A name that fills much of the feed, known or not, crowds
+    the row side of the join only, which adaptive execution splits.
     """
-    counts = feed.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("_rows"))
-    groups = cut_lineage(resolved.join(counts, name))
-    return attach_group(rows, [name], groups, "_rows", salt, hot_rows).drop("_rows")
+    nowhere = F.concat(F.lit("\u0000"), F.xxhash64(spread).cast("string"))
+    keyed = rows.withColumn("_name", F.coalesce(F.col(name).cast("string"), nowhere))
+    known = resolved.where(F.col(name).isNotNull()).withColumn("_name", F.col(name).cast("string")).drop(name)
+    return attach_group(keyed, ["_name"], known).drop("_name")
 
 
 def staff_map(
@@ -92,7 +91,7 @@ def _with_staff(
     feed: DataFrame, dims: Dimensions, name: str, salt: str, check: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     mapped, created = staff_map(feed, dims.employees, dims.vehicles, name, check)
-    return attach_by_name(feed, feed, name, mapped, salt), created
+    return attach_by_name(feed, name, mapped, salt), created
 
 
 def _with_clients(
@@ -101,7 +100,7 @@ def _with_clients(
     mapped, created = P.get_or_create(
         feed.where("client_name is not null"), dims.clients, "client_name", "client_id", "client_name"
     )
-    return attach_by_name(rows, feed, "client_name", mapped.drop("created"), salt), created
+    return attach_by_name(rows, "client_name", mapped.drop("created"), salt), created
 
 
 def _tag(feed: DataFrame, *rules: tuple[Column, str]) -> DataFrame:
@@ -122,6 +121,20 @@ def _hours(column: str) -> Column:
 
 NO_PERSON = "unknown person"
 NO_START = "no readable start"
+NO_END = "no readable end"
+OUT_OF_RANGE = "number out of range"
+
+
+def _unreadable(column: str) -> Column:
+    return TM.parse_datetime(F.col(column)).isNull()
+
+
+def _too_large(*columns: str) -> Column:
+    """A number is there, but the stored type cannot hold it."""
+    out = F.lit(False)
+    for c in columns:
+        out = out | (TX.parse_decimal(F.col(c)).isNotNull() & _hours(c).isNull())
+    return out
 
 
 # ---------------------------------------------------------------- the jobs
@@ -143,7 +156,8 @@ def timesheets(feed: DataFrame, dims: Dimensions) -> FeedResult:
     tagged = _tag(
         joined,
         (F.col("employee_id").isNull(), NO_PERSON),
-        (TM.parse_datetime(F.col("start")).isNull(), NO_START),
+        (_unreadable("start"), NO_START),
+        (_too_large("hours", "rounded_hours", "net_hours"), OUT_OF_RANGE),
     )
     good, bad = _split(tagged)
     rows = good.select(
@@ -172,7 +186,8 @@ def absences(feed: DataFrame, dims: Dimensions) -> FeedResult:
     tagged = _tag(
         joined,
         (F.col("employee_id").isNull(), NO_PERSON),
-        (TM.parse_datetime(F.col("from")).isNull(), NO_START),
+        (_unreadable("from"), NO_START),
+        (_unreadable("to"), NO_END),
     )
     good, bad = _split(tagged)
     start, end = TM.parse_datetime(F.col("from")), TM.parse_datetime(F.col("to"))
@@ -201,14 +216,16 @@ def activities(feed: DataFrame, dims: Dimensions) -> FeedResult:
     if dims.projects is not None:
         codes = feed.where("project_code is not null")
         mapped, _ = P.get_or_create(codes, dims.projects, "project_code", "project_id", "code")
-        joined = attach_by_name(joined, codes, "project_code", mapped.drop("created"), "start")
+        joined = attach_by_name(joined, "project_code", mapped.drop("created"), "start")
         created["projects"] = P.new_projects(codes, dims.projects)
     else:
         joined = joined.withColumn("project_id", F.lit(None).cast("bigint"))
     tagged = _tag(
         joined,
         (F.col("employee_id").isNull(), NO_PERSON),
-        (TM.parse_datetime(F.col("start")).isNull(), NO_START),
+        (_unreadable("start"), NO_START),
+        (_unreadable("end"), NO_END),
+        (_too_large("duration"), OUT_OF_RANGE),
     )
     good, bad = _split(tagged)
     rows = good.select(
@@ -240,13 +257,14 @@ def calendar(feed: DataFrame, dims: Dimensions) -> FeedResult:
         .withColumn("is_vehicle", F.lit(True))
     )
     staffed, people = _with_staff(feed, dims, "person", "start")
-    joined = attach_by_name(staffed, feed, "person", vehicles, "start")
+    joined = attach_by_name(staffed, "person", vehicles, "start")
     tagged = _tag(
         joined,
         (F.col("person").isNull(), "no attendee"),
         (F.coalesce("is_vehicle", F.lit(False)), "attendee is a vehicle"),
         (F.col("employee_id").isNull(), NO_PERSON),
-        (TM.parse_datetime(F.col("start")).isNull(), NO_START),
+        (_unreadable("start"), NO_START),
+        (_unreadable("end"), NO_END),
     )
     good, bad = _split(tagged)
     priority = TX.zero_as_missing(F.col("priority")).try_cast("int")
@@ -269,7 +287,8 @@ def projects(feed: DataFrame, dims: Dimensions) -> FeedResult:
     """Projects; the lead and the client are looked up, the client is made when new."""
     staffed, people = _with_staff(feed, dims, "lead", "code")
     joined, clients = _with_clients(staffed, feed, dims, "code")
-    good, bad = _split(_tag(joined, (F.col("code").isNull(), "no code")))
+    tagged = _tag(joined, (F.col("code").isNull(), "no code"), (_too_large("hours_budget"), OUT_OF_RANGE))
+    good, bad = _split(tagged)
     rows = good.select(
         "code",
         "name",
@@ -292,7 +311,7 @@ def vehicle_log(feed: DataFrame, dims: Dimensions) -> FeedResult:
     mapped, vehicles = P.get_or_create(
         feed.where("vehicle_name is not null"), dims.vehicles, "vehicle_name", "vehicle_id", "vehicle_name"
     )
-    driven = attach_by_name(staffed, feed, "vehicle_name", mapped.drop("created"), "pickup")
+    driven = attach_by_name(staffed, "vehicle_name", mapped.drop("created"), "pickup")
     joined, clients = _with_clients(driven, feed, dims, "pickup")
     good, bad = _split(_tag(joined, (F.col("employee_id").isNull(), NO_PERSON)))
     rows = good.select(
@@ -316,7 +335,9 @@ def remote_sessions(feed: DataFrame, dims: Dimensions) -> FeedResult:
         joined,
         (F.col("person").isNull(), "no person"),
         (F.col("employee_id").isNull(), NO_PERSON),
-        (TM.parse_datetime(F.col("start")).isNull(), NO_START),
+        (_unreadable("start"), NO_START),
+        (_unreadable("end"), NO_END),
+        (_too_large("rate"), OUT_OF_RANGE),
     )
     good, bad = _split(tagged)
     rows = good.select(

@@ -202,11 +202,24 @@ def test_loading_twice_inserts_nothing_new(spark, tmp_path):
     assert again["inserted"] == 0 and again["updated"] == 1
 
 
-def test_hot_name_takes_the_broadcast_path(spark):
-    feed = spark.range(300).select(
-        F.when(F.col("id") % 3 == 0, "Anna Verdi").otherwise(F.concat(F.lit("Luca De Santis"))).alias("person"),
+def test_most_rows_without_a_known_name(spark):
+    feed = spark.range(1000).select(
+        F.when(F.col("id") % 10 == 0, "Anna Verdi").when(F.col("id") % 3 == 0, None).otherwise("pc-17").alias("person"),
         F.col("id").cast("string").alias("start"),
     )
-    mapped, _ = J.staff_map(feed, dims(spark).employees, dims(spark).vehicles)
-    out = J.attach_by_name(feed, feed, "person", mapped, "start", hot_rows=150)
-    assert rows(out.groupBy("employee_id").count()) == [(1, 100), (2, 200)]
+    mapped, created = J.staff_map(feed, dims(spark).employees, dims(spark).vehicles)
+    out = J.attach_by_name(feed, "person", mapped, "start")
+    assert created.count() == 0 and out.columns == ["person", "start", "employee_id"]
+    assert rows(out.groupBy("employee_id").count()) == [(1, 100), (None, 900)]
+
+
+def test_rows_without_a_readable_end_or_number_are_rejected(spark):
+    raw = spark.createDataFrame(
+        [("Anna Verdi", "2025-06-01 08:00", None, "1", "a"), ("Anna Verdi", "2025-06-01 08:00", "soon", "1", "b"),
+         ("Anna Verdi", "2025-06-01 08:00", "2025-06-01 09:00", "123456789", "c"), ("Anna Verdi", "2025-06-01 08:00", "2025-06-01 09:00", "1", "d")],
+        "person string, start string, end string, duration string, description string",
+    ).withColumns({c: F.lit(None).cast("string") for c in ("client_name", "ticket", "project_code")})
+    out = J.activities(raw, dims(spark))
+    assert rows(out.rows, "description") == [("d",)]
+    assert rows(out.rejects, "description", J.REASON) == [
+        ("a", "no readable end"), ("b", "no readable end"), ("c", "number out of range")]

@@ -92,8 +92,8 @@ def test_upsert_table_replaces_only_touched_days(spark, tmp_path):
 def test_resolution_columns_survive(spark):
     d = day("2025-06-01")
     stored = spark.createDataFrame(
-        [(1, d, "overlaps", "low", "old", None, True, "seen", 9, ts("2025-06-02 10:00"))],
-        "employee_id long, work_date date, type string, severity string, description string, details string, "
+        [(1, d, "overlaps", "low", "old", None, 1, True, "seen", 9, ts("2025-06-02 10:00"))],
+        "employee_id long, work_date date, type string, severity string, description string, details string, findings long, "
         "resolved boolean, note string, resolved_by long, resolved_at timestamp",
     )
     found = spark.createDataFrame(
@@ -101,9 +101,9 @@ def test_resolution_columns_survive(spark):
         "employee_id long, work_date date, type string, severity string, description string, details string",
     )
     out = U.upsert_anomalies(stored, found)
-    assert rows(out.select("employee_id", "severity", "description", "resolved", "note")) == [
-        (1, "critical", "worse", True, "seen"),
-        (2, "high", "n", False, None),
+    assert rows(out.select("employee_id", "severity", "description", "details", "findings", "resolved", "note")) == [
+        (1, "critical", "worse; new", "{}; {}", 2, True, "seen"),
+        (2, "high", "n", "{}", 1, False, None),
     ]
     assert rows(U.upsert_anomalies(out, found)) == rows(out)
 
