@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from shiftlens.session import cut_lineage
+
 
 def last_per_key(updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the greatest by ``order``; an aggregation with map-side combine."""
@@ -122,6 +124,30 @@ def rebuild_table(df: DataFrame, path: str, partition: str | None = None) -> Non
     _write(df, path, partition)
 
 
+# So many touched partitions are named in the filter on the target; beyond, the target is scanned.
+MOST_NAMED = 10_000
+
+
+def in_partitions(target: DataFrame, touched: DataFrame, partition: str, most: int = MOST_NAMED) -> DataFrame:
+    """The rows of ``target`` in the partitions that occur in ``touched``.
+
+    Up to ``most`` of them their values become a filter on the partition column, so other
+    partitions are not even listed for the scan.  With more, a semi join gives the same rows.
+    """
+    values = touched.select(partition).distinct()
+    named = [r[0] for r in values.limit(most + 1).collect()]
+    if len(named) > most:
+        return target.join(values, target[partition].eqNullSafe(values[partition]), "left_semi")
+    hit = target[partition].isin([v for v in named if v is not None])
+    return target.where(hit | target[partition].isNull() if None in named else hit)
+
+
+def check_unique(rows: DataFrame, keys: list[str]) -> None:
+    twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"updates hold a key more than once: {twice[0].asDict()}")
+
+
 def upsert_table(
     updates: DataFrame,
     path: str,
@@ -135,14 +161,15 @@ def upsert_table(
     Only the touched partitions are read, merged and replaced.  The merged rows go to the
     staging path first and are copied from there: a plan that reads a path never overwrites
     it, and a copy that dies can be run again.  The staging path is reused by the next call.
+    ``updates`` is computed once; a key that occurs twice in it is an error.
     """
     spark = updates.sparkSession
+    updates = cut_lineage(updates)
+    check_unique(updates, keys)
     if not table_exists(spark, path):
         _write(by_partition(updates, partition), path, partition)
         return
-    target = spark.read.parquet(path)
-    touched = updates.select(partition).distinct()
-    current = target.join(touched, partition, "left_semi")
+    current = in_partitions(spark.read.parquet(path), updates, partition)
     merged = (
         upsert(current, updates, keys) if refresh is None else upsert_columns(current, updates, keys, refresh)
     )

@@ -9,8 +9,10 @@ from pyspark.sql.streaming import DataStreamWriter
 from shiftlens.operators.dedup import activity_hash
 from shiftlens.operators.kpi import _decimal_micro
 from shiftlens.functions.numeric import micro_to_decimal
+from shiftlens.session import cut_lineage
 from shiftlens.sinks.upsert import last_per_key, upsert_table
 from shiftlens.sources.feeds import CORRUPT, FEEDS, _columns_of, to_fields
+from shiftlens.sources.jobs import FeedResult
 
 
 def stream_feed(
@@ -35,6 +37,23 @@ def stream_feed(
     return to_fields(raw, FEEDS[feed])
 
 
+def store_created(result: FeedResult, dimensions: dict[str, str]) -> bool:
+    """Append the rows a batch creates to their dimension tables; whether there were any."""
+    some = False
+    for name, path in dimensions.items():
+        if name not in result.created:
+            continue
+        stored = result.created[name].sparkSession.read.parquet(path)
+        new = cut_lineage(result.created[name])  # it reads the table it is appended to
+        if new.isEmpty():
+            continue
+        some = True
+        new.select(
+            *[(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in stored.schema]
+        ).write.mode("append").parquet(path)
+    return some
+
+
 def upsert_stream(
     rows: DataFrame,
     path: str,
@@ -44,13 +63,22 @@ def upsert_stream(
     partition: str,
     checkpoint: str,
     prepare=None,
+    dimensions: dict[str, str] | None = None,
 ) -> DataStreamWriter:
     """Upsert every micro batch into a table.  ``prepare`` turns a batch of feed rows into
-    table rows.  A batch that is run again after a failure changes nothing, since the
-    upsert is by key."""
+    table rows, or into a ``FeedResult``, reading the dimensions as they are then.
+
+    ``dimensions`` names the table paths of dimensions a ``FeedResult`` may create rows for.
+    Those are stored first and the batch is prepared again, so facts get the stored ids and
+    the next batch goes on from there.  A batch that is run again after a failure changes
+    nothing: its names are known by then, and the upsert is by key."""
 
     def write(batch: DataFrame, _batch_id: int) -> None:
         ready = prepare(batch) if prepare is not None else batch
+        if isinstance(ready, FeedResult):
+            if store_created(ready, dimensions or {}):
+                ready = prepare(batch)
+            ready = ready.rows
         upsert_table(last_per_key(ready, keys, order), path, staging, keys, partition)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

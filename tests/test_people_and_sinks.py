@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from conftest import day, rows, ts
 from shiftlens.operators import people as P, quality as Q
 from shiftlens.sinks import json_output as J, upsert as U
@@ -89,6 +91,23 @@ def test_upsert_table_replaces_only_touched_days(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_upsert_reads_touched_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    schema = "employee_id long, work_date date, hours int"
+    days = [day(f"2025-06-{k:02d}") for k in range(1, 21)]
+    table = spark.createDataFrame([(1, d, 1) for d in days], schema)
+    U.rebuild_table(table, path, "work_date")
+    updates = spark.createDataFrame([(1, days[3], 2), (2, days[3], 2), (1, days[5], 2)], schema)
+    pruned = U.in_partitions(spark.read.parquet(path), updates, "work_date")
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: ")[1].split("]")[0]
+    assert "2025-06-04" in filters and "2025-06-06" in filters and len(pruned.inputFiles()) == 20
+    assert rows(pruned) == rows(U.in_partitions(spark.read.parquet(path), updates, "work_date", most=1))
+    assert pruned.count() == 2
+    with pytest.raises(ValueError, match="more than once"):
+        U.upsert_table(updates.union(updates), str(tmp_path / "new"), str(tmp_path / "s"), ["employee_id", "work_date"], "work_date")
+
+
 def test_resolution_columns_survive(spark):
     d = day("2025-06-01")
     stored = spark.createDataFrame(

@@ -89,3 +89,37 @@ def test_drop_folder_upserts_by_key(spark, tmp_path):
     run()
     got = spark.read.parquet(table).collect()
     assert len(got) == 1 and got[0].return_ts == dt.datetime(2025, 6, 3, 10, 0)
+
+
+def test_new_people_of_two_batches_get_different_ids(spark, tmp_path):
+    header = "Dipendente;Data;Auto;Presa Data e Ora;Riconsegna Data e Ora;Cliente"
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    table, staging = str(tmp_path / "table"), str(tmp_path / "staging")
+    paths = {n: str(tmp_path / n) for n in ("employees", "clients", "vehicles")}
+    d = dims(spark)
+    for name, path in paths.items():
+        getattr(d, name).write.parquet(path)
+    before = d.employees.count()
+
+    def prepare(batch):
+        return J.vehicle_log(batch, J.Dimensions(**{n: spark.read.parquet(p) for n, p in paths.items()}))
+
+    def run(name, person):
+        line = f"{person};03/06/2025;Punto;03/06/2025 08:00;03/06/2025 10:00;Nuova Srl\n"
+        (drop / name).write_text(header + "\n" + line)
+        feed = L.stream_feed(spark, str(drop), "vehicle_log", header, ";")
+        q = L.upsert_stream(
+            feed, table, staging, ["employee_id", "vehicle_id", "work_date", "pickup_ts"], ["return_ts"],
+            "work_date", str(tmp_path / "cp"), prepare=prepare, dimensions=paths,
+        ).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        q.stop()
+
+    run("one.csv", "Ugo Neri")
+    run("two.csv", "Ada Bruni")
+    people = spark.read.parquet(paths["employees"])
+    assert people.count() == before + 2 and people.select("employee_id").distinct().count() == before + 2
+    facts = spark.read.parquet(table)
+    assert facts.select("employee_id").distinct().count() == 2 and facts.select("client_id").distinct().count() == 1
+    assert facts.join(people, "employee_id").count() == 2
