@@ -42,6 +42,10 @@ HEADLINES = [
     "review_queue",
     "upsert_daily_kpi",
     "integrity_summary",
+    "load_timesheets",
+    "load_activities",
+    "load_calendar",
+    "load_vehicle_log",
 ]
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from shiftlens.functions.text import byte_length, match_key
@@ -119,7 +117,3 @@ def stored_separators(given: Column, family: Column) -> Column:
         F.when(given.contains(s) | family.contains(s), F.lit(s)) for s in STORED_SEPARATORS
     ]
     return F.filter(F.array(*found), lambda s: s.isNotNull())
-
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -25,6 +25,31 @@ def within(column: str | Column, date_from=None, date_to=None) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
+def _day_after(value) -> Column:
+    return F.date_add(as_date(value), 1).cast("timestamp")
+
+
+def starts_within(column: str, date_from=None, date_to=None) -> Column:
+    """Like ``within`` for the day of a timestamp, as bounds on the timestamp itself: a scan
+    can skip row groups by them."""
+    conditions = []
+    if date_from is not None:
+        conditions.append(F.col(column) >= as_date(date_from).cast("timestamp"))
+    if date_to is not None:
+        conditions.append(F.col(column) < _day_after(date_to))
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def meets(start: str, end: str, date_from=None, date_to=None) -> Column:
+    """Spans that may touch the period; those without an end are kept."""
+    conditions = []
+    if date_from is not None:
+        conditions.append(F.col(end).isNull() | (F.col(end) >= as_date(date_from).cast("timestamp")))
+    if date_to is not None:
+        conditions.append(F.col(start) < _day_after(date_to))
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
 def filtered(
     df: DataFrame, employee_id=None, date_from=None, date_to=None, day: str = "work_date"
 ) -> DataFrame:

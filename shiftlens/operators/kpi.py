@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shiftlens.functions import numeric as N, temporal as T
-from shiftlens.operators.common import as_date, union_all, within
+from shiftlens.operators.common import as_date, meets, starts_within, union_all, within
 from shiftlens.operators.spine import employee_days, period_bounds
 from shiftlens.settings import Settings
 
@@ -245,13 +245,14 @@ def daily_measures(
         *KEYS, F.col("daily_cost").alias("own_cost"), F.lit(1).alias("on_spine")
     )
     in_period = within("work_date", date_from, date_to)
-    started = within(F.to_date("start_ts"), date_from, date_to)
+    started = starts_within("start_ts", date_from, date_to)
+    touching = meets("start_ts", "end_ts", date_from, date_to)
     parts = [
         spine,
         timesheet_rows(timesheets.where(in_period)),
         onsite_rows(timesheets.where(in_period), clients),
-        activity_rows(activities, date_from, date_to),
-        calendar_rows(calendar, date_from, date_to),
+        activity_rows(activities.where(touching), date_from, date_to),
+        calendar_rows(calendar.where(touching), date_from, date_to),
         remote_rows(remote_sessions.where(started)),
         vehicle_rows(vehicle_log.where(in_period)),
     ]

@@ -249,7 +249,3 @@ def kpi_rows_per_employee(employees: DataFrame, kpi: DataFrame) -> DataFrame:
     return employees.join(counts, "employee_id", "left").select(
         "employee_id", "full_name", F.coalesce("n", F.lit(0)).alias("kpi_rows")
     )
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shiftlens.functions import numeric as N, temporal as T
 from shiftlens.functions.text import severity_rank
-from shiftlens.operators.common import as_date, filtered, union_all, within
+from shiftlens.operators.common import as_date, filtered, starts_within, union_all, within
 from shiftlens.settings import Settings
 
 KEYS = ["employee_id", "work_date"]
@@ -63,7 +63,7 @@ def day_ledger(
     """What each feed says about an (employee, day); activities and appointments count on
     the day they start.  One exchange for all five feeds."""
     started = F.to_date("start_ts")
-    in_period = within(started, date_from, date_to)
+    in_period = starts_within("start_ts", date_from, date_to)
     one = F.lit(1)
     day = ["employee_id", started.alias("work_date")]
     sheet = timesheets.where(within("work_date", date_from, date_to)).select(

@@ -61,6 +61,13 @@ CORRELATION_SQL = f"""
     select employee_id, floor(sum({SCORE})::double / count(*)::double * 100.0::double + 0.5::double) / 100.0::double as correlation_score
     from kpi where timesheet_hours > 0 group by employee_id"""
 
+VEHICLE_SQL = """
+    select v.vehicle_id, v.vehicle_name, count(distinct l.employee_id) as users, count(l.id) as uses,
+           coalesce(sum(coalesce(floor(date_sub('minute', pickup_ts, return_ts)::double / 60.0::double * 1000000.0::double + 0.5::double)::bigint, 0))::double
+                    / nullif(count(l.id) * 1000000, 0)::double, 0) as avg_hours,
+           coalesce(sum(km), 0) * any_value(cost_km) as estimated_cost
+    from vehicles v left join {log} l using (vehicle_id) group by v.vehicle_id, v.vehicle_name"""
+
 QUERIES = {
     "active_employees": Query(
         "employee_id first_name:text last_name:text",
@@ -100,11 +107,15 @@ QUERIES = {
     "vehicle_efficiency": Query(
         "vehicle_id vehicle_name:text users uses avg_hours:num estimated_cost:num",
         lambda d: R.vehicle_efficiency(d.vehicles, d.vehicle_log),
-        """select v.vehicle_id, v.vehicle_name, count(distinct l.employee_id) as users, count(l.id) as uses,
-                  coalesce(sum(coalesce(floor(date_sub('minute', pickup_ts, return_ts)::double / 60.0::double * 1000000.0::double + 0.5::double)::bigint, 0))::double
-                           / nullif(count(l.id) * 1000000, 0)::double, 0) as avg_hours,
-                  coalesce(sum(km), 0) * any_value(cost_km) as estimated_cost
-           from vehicles v left join vehicle_log l using (vehicle_id) group by v.vehicle_id, v.vehicle_name""",
+        VEHICLE_SQL.format(log="vehicle_log"),
+        ["vehicles", "vehicle_log"],
+    ),
+    "vehicle_efficiency_period": Query(
+        "vehicle_id vehicle_name:text users uses avg_hours:num estimated_cost:num",
+        lambda d: R.vehicle_efficiency(d.vehicles, d.vehicle_log, "2024-01-08", "2024-01-14"),
+        VEHICLE_SQL.format(
+            log="(select * from vehicle_log where work_date between date '2024-01-08' and date '2024-01-14')"
+        ),
         ["vehicles", "vehicle_log"],
     ),
     "monthly_trends": Query(

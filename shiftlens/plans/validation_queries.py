@@ -21,10 +21,10 @@ def _rule(d: Domain, rule: Column) -> DataFrame:
     return V.day_rule_anomalies(_ledger(d), d.employees, [rule])
 
 
-def raw_anomalies(d: Domain) -> DataFrame:
+def raw_anomalies(d: Domain, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
     return V.validate_all(
         d.employees, d.timesheets, d.activities, d.calendar, d.remote_sessions, d.vehicle_log,
-        d.absences, d.clients,
+        d.absences, d.clients, date_from, date_to,
     )
 
 
@@ -79,6 +79,12 @@ QUERIES = {
         ["abs_days"],
     ),
     "validate_all": Query(ANOMALY, raw_anomalies, "select * from anomalies_raw", ["anomalies_raw"]),
+    "validate_all_period": Query(
+        ANOMALY,
+        lambda d: raw_anomalies(d, "2024-01-08", "2024-01-14"),
+        "select * from anomalies_raw where work_date between date '2024-01-08' and date '2024-01-14'",
+        ["anomalies_raw"],
+    ),
     "open_anomalies": Query(
         ANOMALY,
         lambda d: V.open_anomalies(anomalies_of(d)),

@@ -17,6 +17,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Checkpoints go once nothing refers to them; else every lineage cut stays on the shared store.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -6,6 +6,7 @@ from decimal import Decimal as D
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from conftest import day, rows, ts
+from shiftlens.operators.common import meets, starts_within
 from shiftlens.operators import validators as V
 from shiftlens.settings import Settings
 
@@ -113,3 +114,19 @@ def test_travel(spark):
     df = V.travel_mismatches(sheets, cars, clients, people(spark))
     got = rows(df.select("employee_id", "worked_client", "car_client", "occurrences"))
     assert got == [(1, "A", "B", 4), (2, "B", None, 1)]
+
+
+def test_period_bounds_reach_the_scan(spark, tmp_path):
+    schema = "employee_id long, start_ts timestamp, end_ts timestamp, duration_hours decimal(5,2), description string, billable boolean"
+    row = (1, ts("2025-06-03 08:00"), ts("2025-06-03 09:00"), None, "x", True)
+    spark.createDataFrame([row], schema).write.parquet(str(tmp_path / "a"))
+    stored = spark.read.parquet(str(tmp_path / "a"))
+    starts = stored.where(starts_within("start_ts", "2025-06-03", "2025-06-03"))
+    spans = stored.where(meets("start_ts", "end_ts", "2025-06-03", "2025-06-03"))
+    for df, wanted in ((starts, ["GreaterThanOrEqual(start_ts", "LessThan(start_ts"]), (spans, ["Or(IsNull(end_ts),GreaterThanOrEqual(end_ts", "LessTh"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        pushed = plan.split("PushedFilters: ")[1].split("]")[0]
+        assert all(w in pushed for w in wanted), pushed
+        assert df.count() == 1
+    assert stored.where(starts_within("start_ts", "2025-06-04", None)).count() == 0
+    assert stored.where(starts_within("start_ts", None, "2025-06-02")).count() == 0
