@@ -8,9 +8,10 @@
 2. Texts with equal sets form one class, represented by its smallest doc_id.
 3. Representatives that agree on a whole band share a bucket.  Each member is compared with the
    bucket's smallest member only, so a bucket of n texts costs n - 1 comparisons.
-4. Where a bucket then still holds more than one component, members of different components are
-   compared directly; large buckets of this kind are first split by a second band, since similar
-   texts agree on several bands.
+4. Where a bucket then still holds more than one component, members of different components meet
+   directly, in blocks of bounded size, and only those whose sketches agree about as often as the
+   threshold asks (2 bits of each of 1,024 values; the margin is over four standard deviations)
+   leave the join as candidates.
 5. All comparisons are made on the full sets; components of the confirmed links are found by
    star contraction.
 
@@ -45,11 +46,18 @@ class NearParams:
     percent: int = 80
     bands: int = 40
     rows: int = 6
-    split_over: int = 12  # residual buckets with more members are split by a second band
+    compared: int = 1024  # sketch values of which two bits estimate a pair's likeness
+    block: int = 2000  # members of an open bucket that meet in one task
 
     @property
     def bins(self) -> int:
-        return self.bands * self.rows
+        return max(self.compared, self.bands * self.rows)
+
+    @property
+    def least_agreeing(self) -> int:
+        """Two-bit values a pair at the threshold shares, less 4.5 standard deviations."""
+        same = 0.25 + 0.75 * self.percent / 100
+        return int(self.compared * same - 4.5 * (self.compared * same * (1 - same)) ** 0.5)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -108,8 +116,26 @@ def sketch(shingles: np.ndarray, bins: int) -> np.ndarray:
     return filled
 
 
+def low_bits(values: np.ndarray, params: NearParams) -> np.ndarray:
+    """The lowest two bits of the first ``compared`` values, 32 to a long."""
+    pairs = mix(values[: params.compared]).reshape(-1, 32) & np.uint64(3)
+    return np.bitwise_or.reduce(pairs << np.arange(0, 64, 2, dtype=np.uint64), axis=1).view(np.int64)
+
+
+def agreeing(a: str, b: str) -> F.Column:
+    """How many two-bit values two columns of ``low_bits`` share."""
+
+    def differing(x):
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+    apart = F.aggregate(
+        F.zip_with(a, b, lambda x, y: differing(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n
+    )
+    return 32 * F.size(a) - apart
+
+
 def band_keys(values: np.ndarray, params: NearParams) -> np.ndarray:
-    rows = values.reshape(params.bands, params.rows)
+    rows = values[: params.bands * params.rows].reshape(params.bands, params.rows)
     key = np.arange(params.bands, dtype=np.uint64) + np.uint64(1)
     for k in range(params.rows):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
@@ -117,20 +143,22 @@ def band_keys(values: np.ndarray, params: NearParams) -> np.ndarray:
 
 
 def sketch_table(docs: DataFrame, params: NearParams) -> DataFrame:
-    """(doc_id, n, digest, bands), one row per document; rows without doc_id stay apart."""
+    """(doc_id, n, digest, bands, bits), one row per document; rows without doc_id stay apart."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(params.words)
         for batch in batches:
-            n, digest, bands = [], [], []
+            n, digest, bands, bits = [], [], [], []
             for text in batch["text"]:
                 s = shingler(text)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                bands.append(band_keys(sketch(s, params.bins), params) if len(s) else [])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "digest": digest, "bands": bands})
+                values = sketch(s, params.bins) if len(s) else None
+                bands.append([] if values is None else band_keys(values, params))
+                bits.append([] if values is None else low_bits(values, params))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "digest": digest, "bands": bands, "bits": bits})
 
-    found = docs.mapInPandas(rows, "doc_id long, n long, digest binary, bands array<long>").withColumn(
+    found = docs.mapInPandas(rows, "doc_id long, n long, digest binary, bands array<long>, bits array<long>").withColumn(
         "alone", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
     )
     one = Window.partitionBy("doc_id", "alone").orderBy(F.desc("n"), "digest")
@@ -202,29 +230,32 @@ def open_buckets(members: DataFrame) -> DataFrame:
     )
 
 
-def residual_pairs(members: DataFrame, params: NearParams) -> DataFrame:
-    """Pairs of different components within a bucket; members: (key, id, n, component, bands)."""
-    open_ = members.join(open_buckets(members), "key")
-    small = open_.where(F.col("size") <= params.split_over).select("key", "id", "n", "component")
-    large = open_.where(F.col("size") > params.split_over)
-    split = large.select("key", "id", "n", "component", F.explode("bands").alias("other")).where(
-        F.col("other") != F.col("key")
-    )
-    # Each pair of bands meets twice, once from either side; one of them is enough.
-    split = split.select(
-        F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id", "n", "component"
-    ).distinct()
-    split = split.join(open_buckets(split).select("key"), "key")
-    near = small.union(split)
-    left = near.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = near.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    return (
-        left.join(right, "key")
-        .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
-        .where(close_sizes(F.col("na"), F.col("nb"), params.percent))
-        .select("a", "b")
-        .distinct()
+def residual_pairs(members: DataFrame, sketches: DataFrame, params: NearParams) -> DataFrame:
+    """Candidate pairs of different components within a bucket.
+
+    ``members``: (key, id, n, component).  A pair that shares several bands comes from the
+    smallest of them only.
+    """
+    sizes = open_buckets(members).select("key", F.ceil(F.col("size") / params.block).cast("int").alias("blocks"))
+    near = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    near = near.join(sketches.select(F.col("doc_id").alias("id"), "bands", "bits"), "id")
+
+    def side(block, x: str) -> DataFrame:
+        names = {"id": x, "n": f"n{x}", "component": f"c{x}", "bands": f"bands{x}", "bits": f"bits{x}"}
+        return near.select("key", block.alias("block"), *[F.col(k).alias(v) for k, v in names.items()])
+
+    left = side(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "a")
+    right = side(F.col("block"), "b")
+    pair = (
+        (left["key"] == right["key"])
+        & (left["block"] == right["block"])
+        & (F.col("a") < F.col("b"))
+        & (F.col("ca") != F.col("cb"))
+        & close_sizes(F.col("na"), F.col("nb"), params.percent)
+        & (agreeing("bitsa", "bitsb") >= params.least_agreeing)
+        & (F.array_min(F.array_intersect("bandsa", "bandsb")) == left["key"])
     )
+    return left.join(right, pair).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
@@ -243,10 +274,8 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
     sets = shingle_sets(docs, wanted, params)
     links = cut_lineage(confirmed(star_pairs(members, params), sets, params))
     first = connected_components(links)
-    labelled = with_component(members, first).join(
-        sketches.select(F.col("doc_id").alias("id"), "bands"), "id"
-    )
-    more = cut_lineage(confirmed(residual_pairs(labelled, params), sets, params))
+    labelled = with_component(members, first)
+    more = cut_lineage(confirmed(residual_pairs(labelled, sketches, params), sets, params))
     found = connected_components(links.union(more))
     by_class = with_component(classes, found).select("digest", "component")
     return (

@@ -313,7 +313,7 @@ def test_near_copies_against_brute_force(spark, words, percent, bands, rows):
         chain = chain[2:] + [rng.choice(WORDS), rng.choice(WORDS)]
         texts[i] = " ".join(chain)
     texts |= {400: texts[3], 401: (texts[5] or "").upper(), 402: None, 403: "", 404: " \n", 405: texts[3]}
-    params = neardup.NearParams(words, percent, bands, rows, split_over=6)
+    params = neardup.NearParams(words, percent, bands, rows, block=16)
     df = spark.createDataFrame([(i, t, 0) for i, t in texts.items()], DOC + ", component_id int")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, params).collect()}
     assert got == brute_components(texts, words, percent)
