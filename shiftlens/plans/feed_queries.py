@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from shiftlens.functions import temporal as TM, text as TX
 from shiftlens.plans.domain import Domain
 from shiftlens.plans.registry import Query
-from shiftlens.sources import jobs as J
+from shiftlens.sources import feeds as FD, jobs as J
 
 
 
@@ -125,6 +125,21 @@ CLIENTS_SQL = """
                from feed f left join clients c on lower(c.client_name) = lower(f.client_name)
                left join newc n on n.k = lower(f.client_name) where f.client_name is not null)"""
 
+# Header lines, file names and field texts as they come in files, made from events and documents.
+_HEADER = r"""case when event_id % 7 = 0 then '' when event_id % 11 = 0 then 'a,b;c' else concat_ws(
+  case event_id % 4 when 0 then ',' when 1 then ';' when 2 then chr(9) else '|' end,
+  event_type, concat('"x', case when event_id % 3 = 0 then ',' else '' end, '"'), 'value', 'note', cast(user_id as string)) end"""
+_FILE = """case event_id % 6 when 0 then 'Attivita_1.csv' when 1 then 'TIMBRATURE.csv' when 2 then 'log_teamviewer.csv'
+  when 3 then 'calendario 2.csv' else concat(event_type, '.csv') end"""
+_HEAD = """case event_id % 4 when 0 then 'ID;Creato da;Durata' when 1 then 'Ora_Inizio,ora_fine' when 2 then 'Computer;x' else 'y' end"""
+_FIELD = r"""case event_id % 4 when 0 then concat('  "', event_type, '  ', chr(9), cast(user_id as string), '" ')
+  when 1 then concat('"', event_type) when 2 then concat(chr(10), event_type, chr(13), chr(10), ' x ') else '   ' end"""
+
+
+def _duck(expression: str) -> str:
+    return expression.replace("as string", "as varchar")
+
+
 FRAMES = ["employees", "raw_names", "raw_clients", "clients", "vehicles"]
 
 
@@ -206,6 +221,37 @@ QUERIES = {
            minutes as duration_minutes, amount as rate, 'Fattura' as billing_mode""",
         where="and e is not null",
     ),
+    "header_separators": Query(
+        "event_id separator:text",
+        lambda d: d.table("events").select("event_id", FD.separator_of(F.expr(_HEADER)).alias("separator")),
+        f"""select event_id, case when h = '' then ';'
+              when c >= greatest(s, t, p) then ',' when s >= greatest(t, p) then ';' when t >= p then chr(9) else '|' end as separator
+            from (select event_id, h, len(h) - len(replace(h, ',', '')) as c, len(h) - len(replace(h, ';', '')) as s,
+                         len(h) - len(replace(h, chr(9), '')) as t, len(h) - len(replace(h, '|', '')) as p
+                  from (select event_id, {_duck(_HEADER)} as h from events))""",
+    ),
+    "feed_types": Query(
+        "event_id feed:text",
+        lambda d: d.table("events").select("event_id", FD.feed_type_of(F.expr(_FILE), F.expr(_HEAD)).alias("feed")),
+        """select event_id, case event_id % 6 when 0 then 'activities' when 1 then 'timesheets' when 2 then 'remote_sessions'
+             when 3 then 'calendar' else case event_id % 4 when 1 then 'timesheets' when 2 then 'remote_sessions'
+             else 'activities' end end as feed from events""",
+    ),
+    "cleaned_fields": Query(
+        "event_id field:text",
+        lambda d: d.table("events").select("event_id", TX.clean_value(F.expr(_FIELD)).alias("field")),
+        """select event_id, case event_id % 4 when 0 then event_type || ' ' || user_id::varchar when 1 then '"' || event_type
+             when 2 then event_type || ' x' else '' end as field from events""",
+    ),
+    "repaired_encoding": Query(
+        "doc_id utf8:text cp1252:text",
+        lambda d: d.table("documents").select(
+            "doc_id",
+            F.sha2(TX.repair_encoding(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")), 256).alias("utf8"),
+            TX.repair_encoding(F.concat("source", F.lit(" \u00e9\u0080"))).alias("cp1252"),
+        ),
+        "select doc_id, sha256(text) as utf8, source || ' é€' as cp1252 from documents",
+    ),
     "parsed_fields": Query(
         "code:text day:text clock:text amount:num minutes",
         lambda d: d.feed("click").select(
