@@ -151,4 +151,33 @@ select conv_id,
 from marked group by conv_id
 """
 
-SQL: dict[str, str] = {"op6_chat": OP6_SQL}
+OP10_SQL = r"""
+with recursive docs as (
+    select doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') as w
+    from documents
+), shingles as (
+    select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as shingle
+    from docs
+), sizes as (
+    select doc_id, count(shingle) as n from docs left join shingles using (doc_id) group by doc_id
+), pairs as (
+    select a.doc_id as a, b.doc_id as b, count(*) as common
+    from shingles a join shingles b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all
+), links as (
+    select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+    where 100 * common >= 85 * (x.n + y.n - common)
+), edges as (
+    select a, b from links union all select b, a from links
+), reached as (
+    select doc_id as id, doc_id as other from docs
+    union
+    select e.b, r.other from reached r join edges e on e.a = r.id
+)
+select id as doc_id, n as n_shingles, min(other) as component_id, min(other) = id as kept
+from reached join sizes on doc_id = id group by id, n
+"""
+
+SQL: dict[str, str] = {"op6_chat": OP6_SQL, "op10_near_duplicates": OP10_SQL}
