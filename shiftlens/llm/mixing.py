@@ -36,7 +36,7 @@ class MixParams:
     flatten: float = 0.7  # default target of a value: its share to this power
     rate: float = 0.75  # expected share of all tokens that is kept
     iterations: int = 20
-    error: float = 1e-6  # largest relative miss of a margin
+    error: float = 1e-4  # largest correction of a margin in the last round
     seed: int = 17
     broadcast_cells: int = 100_000  # the cell table is broadcast up to this measured size
 
@@ -118,18 +118,22 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], params: MixParams) ->
             m, F.when(F.col("have") > 0, F.coalesce("target", F.lit(0.0)) / F.col("have")).otherwise(1.0).alias("ratio")
         )
 
+    cells = cells.withColumn("miss", F.lit(0.0))
     for _ in range(params.iterations):
-        for m in MARGINS:
+        for k, m in enumerate(MARGINS):
             step = cells.join(ratios(cells, m), m)
+            off = F.abs(F.col("ratio") - 1)
             cells = cut_lineage(
-                step.select(*MARGINS, "tokens", (F.col("weight") * F.col("ratio")).alias("weight"))
+                step.select(
+                    *MARGINS,
+                    "tokens",
+                    (F.col("weight") * F.col("ratio")).alias("weight"),
+                    (off if k == 0 else F.greatest("miss", off)).alias("miss"),
+                )
             )
-        miss = ratios(cells, MARGINS[0]).select(F.abs(F.col("ratio") - 1).alias("miss"))
-        for m in MARGINS[1:]:
-            miss = miss.union(ratios(cells, m).select(F.abs(F.col("ratio") - 1)))
-        if (miss.agg(F.max("miss")).first()[0] or 0.0) <= params.error:
+        if (cells.agg(F.max("miss")).first()[0] or 0.0) <= params.error:
             break
-    return cells
+    return cells.drop("miss")
 
 
 def scale_for(cells: DataFrame, rate: float, steps: int = 50) -> float:
@@ -146,7 +150,7 @@ def scale_for(cells: DataFrame, rate: float, steps: int = 50) -> float:
         if not rest:
             return scale
         new = (rate * total - full) / rest
-        if abs(new - scale) <= 1e-9 * scale:
+        if abs(new - scale) <= 1e-7 * scale:
             return new
         scale = new
     return scale
