@@ -207,7 +207,7 @@ def nearest(
 
     local = (
         data.unionByName(asked)
-        .repartition(blocks, "block")
+        .repartitionById(blocks, F.col("block").cast("int"))
         .sortWithinPartitions("block", "asks")
         .mapInPandas(answered, "query_id long, ids array<long>, scores array<double>")
     )
