@@ -3,12 +3,14 @@
 A page is read once into blocks of text (runs between block-level tags), each with its path of
 tags from the root to the leaf.  Per distinct path the text length and the punctuation are summed
 and divided by the number of blocks; both ratios are smoothed along the page, multiplied, and
-paths over the threshold are content paths.  The element that holds nearly all content-path text
-is the article; its blocks are the result, short headings and lists of the article included.
+paths over the threshold are content paths.  Every block with a content path is in the result, and
+so is what stands around them in the innermost element that holds them all (or the marked article
+it lies in): short headings and lists.
 
-Two things never count: elements that are not article text by their own mark-up (scripts, forms,
-navigation, comment sections, adverts, hidden parts, told by tag, role, class or id), and blocks
-that mostly consist of links.
+Elements that are not article text by their own mark-up (scripts, forms, navigation, comment
+sections, adverts, hidden parts, told by tag, role, class or id) never count.  Blocks that mostly
+consist of links are left out only where they have no content path and stand in no marked article
+(``article`` or ``main``).
 
 Null, empty and text-free pages give an empty text.  Pages are answered row by row; broken
 mark-up (tags never closed, stray end tags, a page cut off inside a tag) is read as browsers do.
@@ -63,6 +65,7 @@ NOT_TEXT_WORDS = frozenset(
     teasers widget widgets toolbar pagination pager skip copyright outbrain taboola paywall""".split()
 )
 KEEPS_ITS_TEXT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+MARKED = frozenset({"article", "main"})
 
 PIECES = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -202,8 +205,7 @@ def blocks_of(page: str) -> list[Block]:
 class PathRules:
     smoothing: tuple[float, ...] = (0.25, 0.5, 0.25)
     threshold: float = 0.5  # times the mean fused ratio, weighted by text
-    root_share: float = 0.9  # of the content-path text that the article must hold
-    most_linked: float = 0.6
+    most_linked: float = 0.6  # outside content paths and marked articles
 
 
 def smoothed(values: np.ndarray, kernel: tuple[float, ...]) -> np.ndarray:
@@ -232,27 +234,18 @@ def content_paths(blocks: list[Block], rules: PathRules) -> set[str]:
     return {p for p in score if score[p] >= least and length[p] > 0}
 
 
-def article_of(blocks: list[Block], paths: set[str], share: float) -> Element | None:
-    """The deepest element that holds at least ``share`` of the content-path text."""
-    weight: dict[int, int] = defaultdict(int)
-    elements: dict[int, Element] = {}
-    total = 0
+def article_of(blocks: list[Block], paths: set[str]) -> Element | None:
+    """The innermost element that holds every block with a content path."""
+    best: Element | None = None
     for b in blocks:
         if b.path in paths:
-            total += len(b.text)
-            e = b.element
-            while e is not None:
-                weight[id(e)] += len(b.text)
-                elements[id(e)] = e
-                e = e.parent
-    fitting = [elements[k] for k, w in weight.items() if w >= share * total]
-    best = max(fitting, key=lambda e: e.depth, default=None)
+            best = b.element if best is None else common(best, b.element)
     # A single long paragraph is not the article: step out of leaves, and into the marked article.
     while best is not None and best.parent is not None:
-        if best.name in ("article", "main", "body"):
+        if best.name in (*MARKED, "body"):
             return best
         outer = best.parent
-        while outer is not None and outer.name not in ("article", "main"):
+        while outer is not None and outer.name not in MARKED:
             outer = outer.parent
         if outer is not None:
             return outer
@@ -263,6 +256,24 @@ def article_of(blocks: list[Block], paths: set[str], share: float) -> Element |
     return best
 
 
+def common(a: Element, b: Element) -> Element:
+    """The innermost element that holds both."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return a
+
+
+def in_marked_article(element: Element | None) -> bool:
+    while element is not None:
+        if element.name in MARKED:
+            return True
+        element = element.parent
+    return False
+
+
 def inside(element: Element | None, root: Element) -> bool:
     while element is not None:
         if element is root:
@@ -275,14 +286,18 @@ def main_text(page: str | None, rules: PathRules = PathRules()) -> str:
     blocks = blocks_of(page) if page else []
     if not blocks:
         return ""
-    root = article_of(blocks, content_paths(blocks, rules), rules.root_share)
+    paths = content_paths(blocks, rules)
+    root = article_of(blocks, paths)
     if root is None:
         return ""
-    kept = [
-        b.text
-        for b in blocks
-        if inside(b.element, root) and (b.linked <= rules.most_linked * len(b.text) or len(blocks) == 1)
-    ]
+
+    def belongs(b: Block) -> bool:
+        if b.path in paths:
+            return True
+        unlinked = b.linked <= rules.most_linked * len(b.text)
+        return inside(b.element, root) and (unlinked or in_marked_article(b.element))
+
+    kept = [b.text for b in blocks if belongs(b)]
     return "\n\n".join(kept)
 
 

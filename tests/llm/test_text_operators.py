@@ -119,6 +119,23 @@ def test_article_without_article_tag():
     ]
 
 
+def test_every_content_path_is_kept():
+    lead, text = "A lead, with marks; and more.", "A long text, with marks; and more, much more. " * 8
+    page = f"<body><div class=lead><p>{lead}</p></div><div class=text><p>{text}</p></div></body>"
+    assert extraction.main_text(page).split("\n\n") == [lead, text.strip()]
+    page = f"<body><div class=all><section><p>{text}</p></section><section><h2>Next</h2><p>{lead}</p></section></div></body>"
+    assert extraction.main_text(page).split("\n\n") == [text.strip(), "Next", lead]
+
+
+def test_links_inside_the_article_are_kept():
+    text = "Some longer text, with marks; and more."
+    page = f"""<body><p><a href=0>Elsewhere on the site</a></p><article><h1><a href=1>The title</a></h1><p>{text}</p>
+    <ul><li><a href=2>An entry that is a link</a></li></ul></article></body>"""
+    assert extraction.main_text(page).split("\n\n") == ["The title", text, "An entry that is a link"]
+    page = f"<body><p><a href=0>Elsewhere</a></p><p>{text}</p><div><a href=2>A link</a></div></body>"
+    assert "A link" not in extraction.main_text(page)
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<html>", "<script>x", "<!-- x", "<p", "<div hidden>x</div>", "</p></div>"])
 def test_pages_without_text(page):
     assert extraction.main_text(page) == ""
