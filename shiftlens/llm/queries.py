@@ -9,6 +9,7 @@ from shiftlens.llm.shared import remainder, table, vocabulary_path
 
 QUALITY_CUT = 0.7
 TOXIC_CUT = 0.5
+CUT = 4
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return fingerprint.compare_versions(docs).select(
+    return fingerprint.compare_versions(docs, fingerprint.SketchParams(cut=CUT)).select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),

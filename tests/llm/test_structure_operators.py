@@ -98,6 +98,21 @@ def test_fingerprints_against_brute_force(spark):
     assert got[108].fingerprint != got[106].fingerprint
 
 
+def test_cuts_by_content_move_with_the_text(spark):
+    rng = random.Random(4)
+    short = [pick(rng, WORDS, 30) for _ in range(20)]
+    long = " ".join(pick(rng, WORDS, 1) for _ in range(400))
+    params = fingerprint.SketchParams(cut=4)
+    rows = [(i, t) for i, t in enumerate(short)] + [(100, long), (99, "put " + long)]
+    got = {r.doc_id: r for r in fingerprint.compare_versions(spark.createDataFrame(rows, DOC), params).collect()}
+    assert np.mean([got[i].near_edited for i in range(20)]) > 0.4 and sum(got[i].near_edited == 0 for i in range(20)) <= 1
+    assert got[100].near_next > 0.9
+    for text in (short[0], long, "same\n\n \tline  \n" * 5, "", None):
+        found = spark.createDataFrame([(text,)], "text string").select(fingerprint.paragraphs(F.col("text"), params)).first()[0]
+        assert " ".join(found).split() == (text or "").split() and all(len(p.split()) <= 32 for p in found)
+    assert len(spark.createDataFrame([(long,)], "t string").select(fingerprint.paragraphs(F.col("t"), params)).first()[0]) > 60
+
+
 def test_peeling_recovers_the_digests(spark):
     params = fingerprint.SketchParams()
     a, b = list(range(1, 700)), list(range(300, 720))
