@@ -10,8 +10,10 @@ that fell to another one finds no kept twin, so it is compared again, at its own
 That rule looks sequential, but only nearby rows of one employee (and, for the scored
 comparison, of one ticket) depend on each other.  So:
 
-1. exact copies collapse to their first row with an aggregation (map-side combine); only copies
-   of first rows that were not kept take part one by one;
+1. exact copies collapse to their first row with an aggregation (map-side combine).  Where that
+   row was not kept, its copies collapse to the first row of each run: rows with one key and one
+   text between two changes of the kept rows nearby (a row kept, a text lengthened) meet the same
+   kept rows, so the first decides for all.  Runs are cut anew until they agree with the changes;
 2. rows are cut into short time chunks and each chunk is decided on its own, with a fold that
    holds the kept rows of the chunk only; no pairs are materialised;
 3. rows near a chunk border can depend on the chunk next door.  Chunks whose rows come within
@@ -124,7 +126,7 @@ def _decide(chunks: DataFrame, block: list[str], condition: str, score: str, mer
     one of its kept rows as of ``at``; they are not decided here.
 
     One fold over the rows in order of ``at`` holds the kept rows so far and the decisions:
-    ``hit``, the kept row a row falls to, and ``changed``, that row after a merge.
+    ``hit``, the kept row a row falls to, and ``changed``, that row after a merge that rewrote it.
     """
     rows = chunks.groupBy(*block, "chunk").agg(F.sort_array(F.collect_list(F.struct(*ROW))).alias("rows"))
     twin = "array_min(transform(filter(acc.kept, k -> k.twin = r.twin), k -> k.id))"
@@ -134,10 +136,11 @@ def _decide(chunks: DataFrame, block: list[str], condition: str, score: str, mer
     )
     hit = f"coalesce(case when {twin} is not null then named_struct('gap', 0L, 'id', {twin}, 'score', 1D, 'exact', true) end, {best})"
     changed = (
-        "element_at(transform(filter(acc.kept, k -> k.id = h.id), k -> named_struct('at', r.at, 'kind', 1, 'id', k.id, "
+        "get(transform(filter(acc.kept, k -> k.id = h.id and (coalesce(r.len > coalesce(k.len, 0), false) "
+        "or (k.tic is null and r.tic is not null))), k -> named_struct('at', r.at, 'kind', 1, 'id', k.id, "
         "'s', k.s, 'dur', k.dur, 'txt', case when r.len > coalesce(k.len, 0) then r.txt else k.txt end, "
         "'len', case when r.len > coalesce(k.len, 0) then r.len else k.len end, "
-        "'tic', coalesce(r.tic, k.tic), 'twin', k.twin)), 1)"
+        "'tic', coalesce(r.tic, k.tic), 'twin', k.twin)), 0)"
     )
     merges = f"h is not null and not h.exact and h.score > {merge_above}D" if merge_above is not None else "false"
     none = "case when false then rows[0] end"
@@ -241,6 +244,40 @@ def greedy_matches(
     return _decide(alone, block, condition, score, merge_above).unionByName(current)
 
 
+RUN = ["first_id", "txt", "len", "run"]
+
+
+def _changes_nearby(groups: DataFrame, decided: DataFrame, rules: DedupRules) -> DataFrame:
+    """``groups`` of exact copies (HASH_KEYS, first_id, s, twin) with ``changes``, the sorted ids at
+    which kept rows within the window of them were added or rewritten, and ``kept_id``, the kept
+    row with their own key."""
+    window = rules.window_minutes * 60
+    added = decided.where("hit is null").select(*rules.block, "s", F.col("id").alias("at"), "twin")
+    rewritten = decided.where("changed is not null").select(
+        *rules.block, "changed.s", "changed.at", F.lit(None).cast("long").alias("twin")
+    )
+    names = {c: f"e_{c}" for c in [*rules.block, "s", "twin"]}
+    events = added.unionByName(rewritten).withColumnsRenamed(names)
+    events = events.withColumn("e_part", F.explode(F.expr(f"transform(array(-1, 0, 1), d -> e_s div {window + 1} + d)")))
+    near = (F.col("e_part") == F.expr(f"s div {window + 1}")) & (F.abs(F.col("s") - F.col("e_s")) <= window)
+    for c in rules.block:
+        near = near & (F.col(c) == F.col(f"e_{c}"))
+    return (
+        groups.join(events, near)
+        .groupBy(*HASH_KEYS, "first_id")
+        .agg(
+            F.array_sort(F.collect_set("at")).alias("changes"),
+            F.min(F.when(F.col("e_twin") == F.col("twin"), F.col("at"))).alias("kept_id"),
+        )
+    )
+
+
+def _members_of_runs(keyed: DataFrame, changes: DataFrame) -> DataFrame:
+    """Rows of the groups up to their kept row, with ``run``, the number of changes before them."""
+    members = attach_group(keyed, HASH_KEYS, changes).where("first_id is not null and id <= coalesce(kept_id, id)")
+    return members.withColumn("run", F.expr("size(filter(changes, c -> c < id))")).drop("changes", "kept_id")
+
+
 def find_duplicates(activities: DataFrame, rules: DedupRules | None = None) -> DataFrame:
     """One decision per activity.
 
@@ -281,29 +318,33 @@ def find_duplicates(activities: DataFrame, rules: DedupRules | None = None) -> D
             rules.merge_above,
         )
 
-    # Copies of a kept row fall to it.  Copies of first rows that were not kept take part, and may
-    # change which other first rows are kept; so until no new ones turn up.
-    repeated = first.where(comparable & (F.col("n") > 1)).select(*HASH_KEYS, F.col("id").alias("first_id"))
-    matched, taken = cut_lineage(decided(first).where("hit is not null").select("id", "hit")), None
+    # Copies of a kept row fall to it.  Of the copies of first rows that were not kept, the first of
+    # each run takes part, and may change which other rows are kept; so until no new ones turn up.
+    repeated = first.where(comparable & (F.col("n") > 1)).select(*HASH_KEYS, F.col("id").alias("first_id"), "s", own[-1])
+    taking_part = first.select(*HASH_KEYS, *fields)
     while True:
-        fallen = repeated.join(matched.select(F.col("id").alias("first_id")), "first_id", "left_semi")
-        if taken is not None:
-            fallen = fallen.unionByName(taken).distinct()
-        fallen = cut_lineage(fallen)
-        if fallen.count() == (0 if taken is None else taken.count()):
+        out = cut_lineage(decided(taking_part).select(*rules.block, "id", "s", "twin", "hit", "changed"))
+        fallen = repeated.join(out.where("hit is not null").select(F.col("id").alias("first_id")), "first_id", "left_semi")
+        changes = cut_lineage(_changes_nearby(fallen, out, rules))
+        members = _members_of_runs(keyed, changes)
+        runs = cut_lineage(members.groupBy(*RUN).agg(F.min(F.struct(*HASH_KEYS, *fields)).alias("f")))
+        firsts = runs.select("f.*")
+        more = cut_lineage(firsts.join(out.select("id"), "id", "left_anti").select(*taking_part.columns))
+        if more.isEmpty():
             break
-        taken = fallen
-        same = [keyed[k].eqNullSafe(taken[k]) for k in HASH_KEYS]
-        copies = keyed.join(taken, same, "left_semi").join(taken.select(F.col("first_id").alias("id")), "id", "left_anti")
-        everyone = first.select(*HASH_KEYS, *fields).unionByName(copies.select(*HASH_KEYS, *fields))
-        matched = cut_lineage(decided(everyone).select("id", "hit"))
-        out, matched = matched, matched.where("hit is not null")
-    groups = first.select(*HASH_KEYS, F.col("id").alias("first_id"))
+        taking_part = cut_lineage(taking_part.unionByName(more))
+    # Rows that took part, and rows for which the first of their run did.
+    part = out.select(F.col("id").alias("m_id"), "hit")
+    stands_for = runs.select(*RUN, F.col("f.id").alias("run_id"))
+    others = attach_group(members.select(*RUN, "id"), RUN, stands_for).select("id", "run_id")
+    others = others.join(out.select("id"), "id", "left_anti")
+    others = others.join(part.withColumnRenamed("m_id", "run_id"), "run_id").select(F.col("id").alias("m_id"), "hit")
+    part = part.unionByName(others).withColumn("decided_here", F.lit(True))
+    kept = changes.select("first_id", "kept_id")
+    groups = first.select(*HASH_KEYS, F.col("id").alias("first_id")).join(kept, "first_id", "left")
     rows = activities.select(*HASH_KEYS, "id", activity_hash().alias("activity_hash"))
     joined = attach_group(rows, HASH_KEYS, groups)
-    # ``decided_here``: rows that took part; a copy that did not falls to its kept first row.
-    part = matched.withColumn("decided_here", F.lit(True)) if taken is None else out.withColumn("decided_here", F.lit(True))
-    part = part.withColumnRenamed("id", "m_id")
+    # A copy that was not decided falls to the kept row with its key.
     joined = joined.join(part, joined["id"] == part["m_id"], "left")
     plain_copy = F.col("decided_here").isNull() & (F.col("id") != F.col("first_id"))
     exact = plain_copy | F.coalesce(F.col("hit.exact"), F.lit(False))
@@ -317,7 +358,7 @@ def find_duplicates(activities: DataFrame, rules: DedupRules | None = None) -> D
         .otherwise("insert")
         .alias("action"),
         F.when(exact, "exact").when(near, "near").alias("duplicate_type"),
-        F.when(plain_copy, F.col("first_id")).otherwise(F.col("hit.id")).alias("original_id"),
+        F.when(plain_copy, F.coalesce("kept_id", "first_id")).otherwise(F.col("hit.id")).alias("original_id"),
         F.when(exact, F.lit(1.0)).when(near, F.col("hit.score")).alias("confidence"),
         F.when(near, F.col("hit.gap")).alias("minutes_apart"),
     )

@@ -100,6 +100,35 @@ def test_copy_of_a_merged_row_is_compared_itself(spark, chunk):
                    4: ("insert", None, None), 5: ("mark", "exact", 4)}
 
 
+@pytest.mark.parametrize("seed,chunk", [(1, 60), (2, 6)])
+def test_many_copies_of_a_merged_row_collapse(spark, monkeypatch, seed, chunk):
+    rnd = random.Random(seed)
+    other = ["controllo posta", "controllo posta e", "tutto altro lavoro", None]
+    data = [near_row(1, 2, "controllo posta"), near_row(2, 3, "controllo posta")]
+    data += [near_row(i, 3, "controllo posta") for i in range(3, 1500)]
+    data += [near_row(i, rnd.choice([2, 3, 4, 5, 7]), rnd.choice(other)) for i in range(1500, 1560)]
+    data += [near_row(i, 3, rnd.choice(["controllo posta", "controllo posta ex"])) for i in range(1560, 2200)]
+    most, fold = [], DD._decide
+
+    def counted(chunks, block, *rest):
+        most.append(chunks.groupBy(*block, "chunk").count().agg({"count": "max"}).first()[0] or 0)
+        return fold(chunks, block, *rest)
+
+    monkeypatch.setattr(DD, "_decide", counted)
+    got = DD.find_duplicates(spark.createDataFrame(data, SCHEMA), DD.DedupRules(chunk_minutes=chunk)).collect()
+    assert {r.id: (r.duplicate_type, r.original_id) for r in got} == sequential(data, 3, 0.85)
+    assert max(most) < 100
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_copies_with_several_texts_equal_the_sequential_rule(spark, seed):
+    rnd = random.Random(seed)
+    data = made(seed, 60, 30)
+    data += [(100 + i, *rnd.choice(data[:40])[1:6], rnd.choice(data)[6]) for i in range(400)]
+    got = DD.find_duplicates(spark.createDataFrame(data, SCHEMA), DD.DedupRules(chunk_minutes=7)).collect()
+    assert {r.id: (r.duplicate_type, r.original_id) for r in got} == sequential(data, 3, 0.85)
+
+
 @pytest.mark.parametrize("start", [0, 58])
 def test_later_rows_meet_the_merged_text(spark, start):
     # 3 is near the text that 2 brought (0.88), not near the first one (0.84); also across a border
