@@ -1,6 +1,7 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
-A text is cut into windows of ``window`` terms.  The distinct terms of a window, and their stems,
+A text is cut into windows of ``window`` terms that overlap by half, so that terms up to half a
+window apart always meet in one.  The distinct terms of a window, and their stems,
 are hashed into ``buckets`` features x (counts), and the window's logit is
 
     b + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i)
@@ -11,8 +12,8 @@ very long text.  Training follows the same rule: for each labelled document the
 scores highest gets the gradient.
 
 The model is fitted on a bounded, documented sample of the labelled training rows
-(``max_per_class`` documents of each label, ``max_windows`` evenly spaced windows of each);
-scoring reads every window of every text.
+(``max_per_class`` documents of each label, all windows of each); scoring reads every window of
+every text.
 
 Null and empty texts have no window and score as the empty window, sigmoid(b).  Without
 labels of both classes no model can be fitted: every score is then the share of label 1 (0
@@ -42,7 +43,6 @@ class FmParams:
     rank: int = 4
     window: int = 48
     max_per_class: int = 2000
-    max_windows: int = 64
     epochs: int = 10
     rate: float = 0.15
     l2: float = 2e-5
@@ -67,12 +67,27 @@ def features_of(term: str, buckets: int) -> list[int]:
     return [zlib.crc32(f.encode()) % buckets for f in (term, *stems)]
 
 
+def stride_of(width: int) -> int:
+    return width - width // 2
+
+
+def last_terms(parts: list[str], n: int) -> list[str]:
+    """The last ``n`` terms of strings between blanks."""
+    tail: list[str] = []
+    for part in reversed(parts):
+        if len(tail) >= n:
+            break
+        tail[:0] = TERM.findall(part)
+    return tail[len(tail) - n :]
+
+
 def term_windows(terms: np.ndarray, width: int) -> np.ndarray:
     """Rows of ``width`` term numbers, 0 where there is none; a term counts once per window."""
-    n = max(1, -(-len(terms) // width))
-    out = np.zeros(n * width, dtype=np.int32)
+    stride = stride_of(width)
+    n = max(1, -(-(len(terms) - width) // stride) + 1)
+    out = np.zeros((n - 1) * stride + width, dtype=np.int32)
     out[: len(terms)] = terms
-    out = np.sort(out.reshape(n, width), axis=1)
+    out = np.sort(np.lib.stride_tricks.sliding_window_view(out, width)[::stride], axis=1)
     out[:, 1:][out[:, 1:] == out[:, :-1]] = 0
     return out
 
@@ -87,8 +102,6 @@ def training_windows(text: str, params: FmParams) -> np.ndarray:
         ids = features_of(w, pad)
         features[i, : len(ids)] = ids
     rows = term_windows(np.array([number[w] for w in words], dtype=np.int32), params.window)
-    if len(rows) > params.max_windows:
-        rows = rows[np.linspace(0, len(rows) - 1, params.max_windows).astype(int)]
     return features[rows].reshape(len(rows), -1)
 
 
@@ -147,9 +160,21 @@ class TextScorer:
     def __call__(self, text: str | None, block: int = 100_000) -> float:
         """Probability of the text's worst window; long texts go through in blocks of words."""
         width, worst = self.model.window, -np.inf
+        stride, carried = stride_of(width), []
         parts = (text or "").lower().split()
         for at in range(0, max(1, len(parts)), block):
-            rows = term_windows(self.numbers(parts[at : at + block]), width)
+            here = carried + parts[at : at + block]
+            terms = self.numbers(here)
+            if at + block < len(parts):
+                # Whole windows only; what the next one starts with goes on to the next block.
+                n = max(0, (len(terms) - width) // stride + 1)
+                carried = last_terms(here, len(terms) - n * stride)
+                if n == 0:
+                    continue
+                terms = terms[: (n - 1) * stride + width]
+            elif worst > -np.inf and len(terms) <= width - stride:
+                continue  # the window before held them all
+            rows = term_windows(terms, width)
             sums = self.sums[rows].sum(axis=1)
             s = sums[:, 2:]
             z = self.model.bias + sums[:, 0] + 0.5 * ((s * s).sum(axis=1) - sums[:, 1])

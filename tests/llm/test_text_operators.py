@@ -274,6 +274,29 @@ def test_scorer_is_the_model_formula():
     assert abs(toxicity.TextScorer(model, most=2)(text) - want) < 1e-4
 
 
+def test_pairs_meet_on_both_sides_of_every_boundary():
+    params = toxicity.FmParams(buckets=1 << 16)
+    w, v = np.zeros(params.buckets + 1, np.float32), np.zeros((params.buckets + 1, 4), np.float32)
+    for term in ("insult", "group"):
+        v[toxicity.features_of(term, params.buckets)[0], 0] = 3.0
+    scorer = toxicity.TextScorer(toxicity.FmModel(-4.0, w, v, params.window))
+    for gap in (1, 24):
+        for at in range(0, 150):
+            terms = [f"w{i}" for i in range(200)]
+            terms[at], terms[at + gap] = "insult", "group"
+            for block in (50, 61, 100_000):
+                assert scorer(" ".join(terms), block=block) > 0.9, (gap, at, block)
+    assert scorer("insult " + "other " * 60 + "group") < 0.1
+
+
+def test_training_reads_every_window():
+    params = toxicity.FmParams()
+    terms = [f"w{i}" for i in range(6000)]
+    rows = toxicity.training_windows(" ".join(terms), params)
+    for term in terms:
+        assert (rows == toxicity.features_of(term, params.buckets)[0]).any()
+
+
 def test_toxicity_without_labels(spark):
     frame = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     model = toxicity.train(frame, labelled(spark, []), F.lit(False), toxicity.FmParams(buckets=64))
