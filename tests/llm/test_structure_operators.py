@@ -125,6 +125,15 @@ def test_peeling_recovers_the_digests(spark):
         assert sorted(r.d.left) == sorted(set(left) - set(right)) and sorted(r.d.right) == sorted(set(right) - set(left))
 
 
+def test_difference_is_exact_where_peeling_sticks(spark):
+    params = fingerprint.SketchParams(retries=0)
+    df = spark.createDataFrame([(list(range(300)), list(range(200, 450)))], "own array<long>, other array<long>")
+    for n in ("own", "other"):
+        df = df.withColumn(f"{n}_sketch", fingerprint.sketch(F.col(n), params.width, 0))
+    d = fingerprint.with_difference(df, "d", "own", "other", params).first().d
+    assert not d.ok and sorted(d.left) == list(range(200)) and sorted(d.right) == list(range(300, 450))
+
+
 def test_fingerprint_edge_tables(spark):
     one = fingerprint.compare_versions(spark.createDataFrame([(5, "abc")], DOC)).collect()
     assert len(one) == 1 and one[0].near_next == 1.0 and one[0].edited == "aba"
