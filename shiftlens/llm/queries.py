@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shiftlens.llm import ann, chat, extraction, fingerprint, mixing, neardup, packing, quality, secret_scan, toxicity
+from shiftlens.llm import (
+    ann,
+    chat,
+    decontaminate,
+    extraction,
+    fingerprint,
+    mixing,
+    neardup,
+    packing,
+    quality,
+    repair,
+    secret_scan,
+    spelling,
+    toxicity,
+)
 from shiftlens.llm.shared import remainder, table, vocabulary_path
 
 QUALITY_CUT = 0.7
@@ -115,6 +129,28 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return repair.summarize(repair.repair(repair.damaged(said)), said)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    benchmark = table(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontaminate.decontaminate(docs, benchmark).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_quality": op2_quality,
@@ -126,6 +162,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_spelling": op11_spelling,
+    "op12_repair": op12_repair,
+    "op13_decontamination": op13_decontamination,
 }
 
 OP6_SQL = r"""
@@ -181,4 +220,162 @@ select id as doc_id, n as n_shingles, min(other) as component_id, min(other) = i
 from reached join sizes on doc_id = id group by id, n
 """
 
-SQL: dict[str, str] = {"op6_chat": OP6_SQL, "op10_near_duplicates": OP10_SQL}
+# crc32 of a text, byte by byte with the table of its 256 remainders.
+CRC_TABLE = """crc_table as (
+    select list_transform(range(256), lambda i: list_reduce(
+        [i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: xor(c >> 1, 3988292384 * (c & 1)))) as tab
+)"""
+
+
+def crc_sql(text: str) -> str:
+    bits = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::bigint)"
+    return (
+        f"xor(4294967295, list_reduce(list_concat([4294967295::bigint], {bits}), "
+        "lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])))"
+    )
+
+
+OP11_SQL = rf"""
+with recursive {CRC_TABLE}, runs as (
+    select doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) as run
+    from documents
+), counted as (
+    select coalesce(doc_id::varchar, '') as id, run, count(*) as n from runs where length(run) >= 7 group by all
+), hashed as (
+    select run, n, {crc_sql("(id || ':' || run)")} as h from counted, crc_table
+), words as (
+    select case when h % 31 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run) + 2)::int) else run end as word,
+        sum(n)::bigint as n
+    from hashed group by 1 having length(word) >= 7 and sum(n) >= 2
+), gaps as (
+    select word, n, unnest(range(length(word))) as k from words
+), holes as (
+    select word, n, k, left(word, k::int) || substr(word, (k + 2)::int) as rest from gaps
+), pairs as (
+    select a.word as word, b.word as near, b.n as near_n from holes a join holes b on a.rest = b.rest and a.k = b.k and a.word <> b.word
+    union
+    select a.word, b.word, b.n from words a join holes b on a.word = b.rest
+    union
+    select b.word, a.word, a.n from words a join holes b on a.word = b.rest
+), best as (
+    select word, count(*) as n_near, min({{'less': -near_n, 'near': near}}) as best from pairs group by word
+), forms as (
+    select word, n, coalesce(n_near, 0) as n_near,
+        case when -best.less >= 10 * n then best.near end as form,
+        case when -best.less >= 10 * n then -best.less end as form_n
+    from words left join best using (word)
+), chains as (
+    select word, word as root, 0 as step from words
+    union all
+    select c.word, f.form, step + 1 from chains c join forms f on f.word = c.root where f.form is not null
+), ends as (
+    select word, arg_max(root, step) as root from chains group by word
+)
+select word, form, root, n, n_near, form_n from forms join ends using (word)
+"""
+
+OP12_SQL = rf"""
+with recursive {CRC_TABLE}, said as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        {crc_sql("(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))")} % 20 as fate
+    from conversations, crc_table
+), hurt as (
+    select conv_id, turn, case fate when 4 then 'user' else role end as role,
+        case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+        unnest(range(case fate when 3 then 2 else 1 end)) as copy
+    from said where fate <> 0
+), numbered as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+        row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as seen,
+        rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body
+    from hurt
+), judged as (
+    select conv_id, turn, role, text, i,
+        case when body = '' then 'blank' when seen > 1 then 'duplicate'
+            when right(body, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+        coalesce(left(lag(role) over (partition by conv_id order by i), 1) || left(role, 1) not in ('su', 'ua', 'au'), false) as illegal
+    from numbered
+), known as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+        count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+        count(*) filter (fault = 'truncated') as truncated, count(*) filter (illegal) as illegal, count(*) as n
+    from judged group by conv_id
+), shifts as (
+    select * from (values ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'P'), ('P', 'u', 'u')) t(top, initial, after)
+), inserts as (
+    select * from (values ('', '', ''), ('s', '', 's'), ('u', '', 'u'), ('P', '', 'P'), ('', 'u', 'u'), ('', 'ua', 'P'),
+        ('s', 'u', 'u'), ('s', 'ua', 'P'), ('u', 'a', 'P'), ('P', 'u', 'u')) t(top, added, after)
+), extended as (
+    select top, after, 2 * length(added) as cost, repeat('I', length(added)) as audit,
+        case added when '' then []::varchar[] when 'u' then ['user:'] when 'a' then ['assistant:'] else ['user:', 'assistant:'] end as lines
+    from inserts
+), moves as (
+    select e.top, e.cost, e.audit, e.lines, e.after as middle, s.initial, s.after from extended e join shifts s on s.top = e.after
+), readings as (
+    select distinct conv_id, 0::bigint as i, '' as top, 0::bigint as cost, '' as audit, []::varchar[] as lines from conversations
+    union all
+    select conv_id, i, top, best.cost, best.audit, best.lines from (
+        select conv_id, i, top, min({{'cost': cost, 'audit': audit, 'lines': lines}}) as best from (
+            select r.conv_id, j.i, e.after as top, r.cost + e.cost + 3 as cost, r.audit || e.audit || 'D' as audit, r.lines || e.lines as lines
+            from readings r join judged j on j.conv_id is not distinct from r.conv_id and j.i = r.i + 1 join extended e on e.top = r.top
+            union all
+            select r.conv_id, j.i, m.after, r.cost + m.cost + case when left(j.role, 1) = m.initial then 0 else 2 end
+                    + case j.fault when 'truncated' then 1 else 0 end,
+                r.audit || m.audit || case when left(j.role, 1) = m.initial then 'K' else 'R' end,
+                r.lines || m.lines || [case when left(j.role, 1) = m.initial then j.role when m.initial = 'u' then 'user' else 'assistant' end || ':' || j.text]
+            from readings r join judged j on j.conv_id is not distinct from r.conv_id and j.i = r.i + 1 join moves m on m.top = r.top
+            where j.fault not in ('blank', 'duplicate') and (left(j.role, 1) = m.initial or m.initial <> 's')
+        ) group by conv_id, i, top
+    )
+), ended as (
+    select r.conv_id, min({{'cost': r.cost + e.cost, 'audit': r.audit || e.audit, 'lines': r.lines || e.lines}}) as best
+    from readings r left join known k on k.conv_id is not distinct from r.conv_id join extended e on e.top = r.top and e.after in ('', 'P')
+    where r.i = coalesce(k.n, 0) group by r.conv_id
+)
+select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+    coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, best.cost as cost, best.audit as audit,
+    sha256(array_to_string(best.lines, chr(10))) as repaired_sha256
+from ended e left join known k on k.conv_id is not distinct from e.conv_id
+"""
+
+OP13_SQL = r"""
+with docs as (
+    select row_number() over () as row, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents
+), items as (
+    select coalesce(item_id::varchar, '') as item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from benchmark
+), windows as (
+    select distinct item_id, least(len(w), 10) as n, unnest(list_transform(range(len(w) - least(len(w), 10) + 1),
+        lambda i: array_to_string(w[i + 1:i + least(len(w), 10)], ' '))) as win
+    from items where len(w) > 0
+), lengths as (
+    select distinct n from windows
+), places as (
+    select row, w, n, unnest(range(len(w) - n + 1)) as i from docs, lengths where len(w) >= n
+), found as (
+    select row, i, p.n, win from (select *, array_to_string(w[i + 1:i + n], ' ') as win from places) p
+    semi join windows using (n, win)
+), hit as (
+    select row, count(distinct k) as n_hit from (select row, unnest(range(i, i + n)) as k from found) group by row
+), named as (
+    select row, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids
+    from (select distinct row, item_id from found join windows using (n, win)) group by row
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from docs left join hit using (row) left join named using (row)
+"""
+
+SQL: dict[str, str] = {
+    "op6_chat": OP6_SQL,
+    "op10_near_duplicates": OP10_SQL,
+    "op11_spelling": OP11_SQL,
+    "op12_repair": OP12_SQL,
+    "op13_decontamination": OP13_SQL,
+}
