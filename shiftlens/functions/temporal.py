@@ -22,7 +22,8 @@ def explode_days(
     date_from: Column | None = None,
     date_to: Column | None = None,
 ) -> DataFrame:
-    """One row per calendar day in [first, last]; rows whose last < first vanish.
+    """One row per calendar day in [first, last]; rows whose last < first, or that lack one of
+    them, vanish.
 
     With bounds, spans outside the period are dropped before the explode and the
     others are clipped, so a very long span costs only the days asked for.
@@ -30,7 +31,8 @@ def explode_days(
     lo = first if date_from is None else F.greatest(first, date_from)
     hi = last if date_to is None else F.least(last, date_to)
     return (
-        df.withColumn("_lo", lo)
+        df.where(first.isNotNull() & last.isNotNull())
+        .withColumn("_lo", lo)
         .withColumn("_hi", hi)
         .where(F.col("_lo") <= F.col("_hi"))
         .withColumn(day, F.explode(F.sequence("_lo", "_hi")))

@@ -44,8 +44,8 @@ def _per_day(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in measures])
 
 
-def timesheet_rows(timesheets: DataFrame) -> DataFrame:
-    return timesheets.select(*KEYS, _decimal_micro(F.col("hours")).alias("timesheet_micro"))
+def timesheet_rows(timesheets: DataFrame, *keep: str) -> DataFrame:
+    return timesheets.select(*KEYS, *keep, _decimal_micro(F.col("hours")).alias("timesheet_micro"))
 
 
 def timesheet_hours(timesheets: DataFrame) -> DataFrame:
@@ -53,13 +53,13 @@ def timesheet_hours(timesheets: DataFrame) -> DataFrame:
     return _per_day(timesheet_rows(timesheets))
 
 
-def onsite_rows(timesheets: DataFrame, clients: DataFrame) -> DataFrame:
+def onsite_rows(timesheets: DataFrame, clients: DataFrame, *keep: str) -> DataFrame:
     """Punches at a client that exists.  Rows without a client are dropped before the join,
     so the missing key never forms a hot partition."""
     at_client = timesheets.where(F.col("client_id").isNotNull())
     known = clients.select("client_id")
     return at_client.join(known, "client_id", "left_semi").select(
-        *KEYS, _decimal_micro(F.col("hours")).alias("onsite_micro")
+        *KEYS, *keep, _decimal_micro(F.col("hours")).alias("onsite_micro")
     )
 
 
@@ -99,7 +99,7 @@ def _wall_clock() -> Column:
     return N.to_micro(F.col("day_minutes").cast("double") / F.lit(60.0))
 
 
-def activity_rows(activities: DataFrame, date_from=None, date_to=None) -> DataFrame:
+def activity_rows(activities: DataFrame, date_from=None, date_to=None, keep: tuple = ()) -> DataFrame:
     """Activity and billable hours, one row per activity and day it touches.
 
     Activity hours: the recorded duration on a single day, wall-clock time per day
@@ -109,6 +109,7 @@ def activity_rows(activities: DataFrame, date_from=None, date_to=None) -> DataFr
     )
     return spread_over_days(activities, date_from, date_to).select(
         *KEYS,
+        *keep,
         worked.alias("activity_micro"),
         F.when(F.col("billable"), _share_of_duration()).alias("billable_micro"),
     )
@@ -119,9 +120,9 @@ def activity_hours(activities: DataFrame, date_from=None, date_to=None) -> DataF
     return _per_day(activity_rows(activities, date_from, date_to))
 
 
-def calendar_rows(calendar: DataFrame, date_from=None, date_to=None) -> DataFrame:
+def calendar_rows(calendar: DataFrame, date_from=None, date_to=None, keep: tuple = ()) -> DataFrame:
     return spread_over_days(calendar, date_from, date_to).select(
-        *KEYS, _wall_clock().alias("calendar_micro")
+        *KEYS, *keep, _wall_clock().alias("calendar_micro")
     )
 
 
@@ -130,9 +131,9 @@ def calendar_hours(calendar: DataFrame, date_from=None, date_to=None) -> DataFra
     return _per_day(calendar_rows(calendar, date_from, date_to))
 
 
-def remote_rows(remote_sessions: DataFrame) -> DataFrame:
+def remote_rows(remote_sessions: DataFrame, *keep: str) -> DataFrame:
     return remote_sessions.select(
-        "employee_id", F.to_date("start_ts").alias("work_date"), F.lit(1).alias("remote_sessions")
+        "employee_id", F.to_date("start_ts").alias("work_date"), *keep, F.lit(1).alias("remote_sessions")
     )
 
 
@@ -141,10 +142,11 @@ def remote_session_count(remote_sessions: DataFrame) -> DataFrame:
     return _per_day(remote_rows(remote_sessions))
 
 
-def vehicle_rows(vehicle_log: DataFrame) -> DataFrame:
+def vehicle_rows(vehicle_log: DataFrame, *keep: str) -> DataFrame:
     minutes = T.minutes_between(F.col("pickup_ts"), F.col("return_ts")).cast("double")
     return vehicle_log.select(
         *KEYS,
+        *keep,
         F.coalesce(N.to_micro(minutes / F.lit(60.0)), F.lit(0)).alias("travel_micro"),
         F.lit(1).alias("vehicle_uses"),
     )
@@ -256,6 +258,11 @@ def daily_measures(
         remote_rows(remote_sessions.where(started)),
         vehicle_rows(vehicle_log.where(in_period)),
     ]
+    return summed(parts)
+
+
+def summed(parts: list[DataFrame]) -> DataFrame:
+    """Spine rows (own_cost, on_spine) and measure rows -> one row per key of the spine."""
     return (
         union_all(parts, fill=True)
         .groupBy(*KEYS)
@@ -280,20 +287,27 @@ def daily_kpi(
     date_from=None,
     date_to=None,
     settings: Settings | None = None,
+    as_of=None,
 ) -> DataFrame:
-    """KPI rows of a period; without bounds, of the whole span of the timesheets."""
+    """KPI rows of a period; without bounds, of the whole span of the timesheets, none of which
+    may be dated after ``as_of``."""
     s = settings or Settings()
     if date_from is None or date_to is None:
-        lo, hi = period_bounds(timesheets)
+        lo, hi = period_bounds(timesheets, as_of)
         date_from = lo if date_from is None else date_from
         date_to = hi if date_to is None else date_to
     m = daily_measures(
         employees, timesheets, activities, calendar, remote_sessions, vehicle_log, clients,
         date_from, date_to,
     )
+    return kpi_rows(m, s)
+
+
+def kpi_rows(measures: DataFrame, s: Settings) -> DataFrame:
+    """KPI rows of summed measures."""
     revenue = f"{N.micro_sql('billable_micro', 6)} * cast({s.hourly_rate} as decimal(8,2))"
     cost = f"cast(coalesce(own_cost, {s.default_daily_cost}) as decimal(18,2))"
-    rated = m.selectExpr("*", f"{efficiency_sql(s)} as raw_efficiency", f"{cost} as daily_cost")
+    rated = measures.selectExpr("*", f"{efficiency_sql(s)} as raw_efficiency", f"{cost} as daily_cost")
     return rated.selectExpr(
         *KEYS,
         f"{N.micro_sql('timesheet_micro')} as timesheet_hours",

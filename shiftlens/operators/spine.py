@@ -7,9 +7,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shiftlens.operators.common import as_date
 
 
-def period_bounds(timesheets: DataFrame) -> tuple[Column, Column]:
-    """First and last timesheet day as scalar subqueries: no job is started here."""
+def period_bounds(timesheets: DataFrame, as_of=None) -> tuple[Column, Column]:
+    """First and last timesheet day as scalar subqueries: no job is started here.
+
+    With ``as_of`` a timesheet dated later is an error that names the row: one wrong year would
+    else give every employee a row for each day until then.
+    """
     both = F.struct(F.min("work_date").alias("lo"), F.max("work_date").alias("hi"))
+    if as_of is not None:
+        which = F.max_by("id", "work_date") if "id" in timesheets.columns else F.lit(None)
+        text = F.concat(
+            F.lit("timesheet "), F.coalesce(which.cast("string"), F.lit("")), F.lit(" is dated "),
+            F.max("work_date").cast("string"), F.lit(", after "), as_date(as_of).cast("string"),
+        )
+        both = F.when(F.max("work_date") > as_date(as_of), F.raise_error(text)).otherwise(both)
     bounds = timesheets.agg(both.alias("bounds")).scalar()
     return bounds.getField("lo"), bounds.getField("hi")
 

@@ -51,6 +51,45 @@ def absence_days(absences: DataFrame, date_from=None, date_to=None) -> DataFrame
     )
 
 
+LEDGER = ["ts", "punches", "act", "activities", "remote_activities", "cal", "sessions", "absences"]
+
+
+def sheet_entries(timesheets: DataFrame, *keep: str) -> DataFrame:
+    return timesheets.select(*KEYS, *keep, _micro(F.col("hours")).alias("ts"), F.lit(1).alias("punches"))
+
+
+def _start_day(*keep: str) -> list:
+    return ["employee_id", F.to_date("start_ts").alias("work_date"), *keep]
+
+
+def work_entries(activities: DataFrame, *keep: str) -> DataFrame:
+    return activities.select(
+        *_start_day(*keep),
+        _micro(F.col("duration_hours")).alias("act"),
+        F.lit(1).alias("activities"),
+        mentions_remote(F.col("description")).cast("int").alias("remote_activities"),
+    )
+
+
+def planned_entries(calendar: DataFrame, *keep: str) -> DataFrame:
+    minutes = T.minutes_between(F.col("start_ts"), F.col("end_ts")).cast("double")
+    return calendar.select(*_start_day(*keep), N.to_micro(minutes / F.lit(60.0)).alias("cal"))
+
+
+def session_entries(remote_sessions: DataFrame, *keep: str) -> DataFrame:
+    return remote_sessions.select(*_start_day(*keep), F.lit(1).alias("sessions"))
+
+
+def absence_entries(absences: DataFrame, date_from=None, date_to=None, keep: tuple = ()) -> DataFrame:
+    return _approved_days(absences, date_from, date_to).select(*KEYS, *keep, F.lit(1).alias("absences"))
+
+
+def summed_entries(parts: list[DataFrame]) -> DataFrame:
+    return (
+        union_all(parts, fill=True).groupBy(*KEYS).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in LEDGER])
+    )
+
+
 def day_ledger(
     timesheets: DataFrame,
     activities: DataFrame,
@@ -62,28 +101,15 @@ def day_ledger(
 ) -> DataFrame:
     """What each feed says about an (employee, day); activities and appointments count on
     the day they start.  One exchange for all five feeds."""
-    started = F.to_date("start_ts")
     in_period = starts_within("start_ts", date_from, date_to)
-    one = F.lit(1)
-    day = ["employee_id", started.alias("work_date")]
-    sheet = timesheets.where(within("work_date", date_from, date_to)).select(
-        *KEYS, _micro(F.col("hours")).alias("ts"), one.alias("punches")
-    )
-    work = activities.where(in_period).select(
-        *day,
-        _micro(F.col("duration_hours")).alias("act"),
-        one.alias("activities"),
-        mentions_remote(F.col("description")).cast("int").alias("remote_activities"),
-    )
-    minutes = T.minutes_between(F.col("start_ts"), F.col("end_ts")).cast("double")
-    planned = calendar.where(in_period).select(*day, N.to_micro(minutes / F.lit(60.0)).alias("cal"))
-    remote = remote_sessions.where(in_period).select(*day, one.alias("sessions"))
-    covered = _approved_days(absences, date_from, date_to).select(*KEYS, one.alias("absences"))
-    names = ["ts", "punches", "act", "activities", "remote_activities", "cal", "sessions", "absences"]
-    return (
-        union_all([sheet, work, planned, remote, covered], fill=True)
-        .groupBy(*KEYS)
-        .agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    return summed_entries(
+        [
+            sheet_entries(timesheets.where(within("work_date", date_from, date_to))),
+            work_entries(activities.where(in_period)),
+            planned_entries(calendar.where(in_period)),
+            session_entries(remote_sessions.where(in_period)),
+            absence_entries(absences, date_from, date_to),
+        ]
     )
 
 

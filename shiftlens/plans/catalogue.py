@@ -5,6 +5,7 @@ from __future__ import annotations
 from shiftlens.plans import (
     dedup_queries,
     feed_queries,
+    incremental_queries,
     kpi_queries,
     people_queries,
     quality_queries,
@@ -23,6 +24,7 @@ MODULES = [
     people_queries,
     quality_queries,
     sink_queries,
+    incremental_queries,
 ]
 
 

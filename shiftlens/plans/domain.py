@@ -50,6 +50,43 @@ def _later(seconds: str) -> str:
     return f"timestampadd(SECOND, cast(floor({seconds}) as bigint), ts0)"
 
 
+# Feed lines made of events: four files that differ in separator, order and spelling of columns.
+# Some cells hold separators and quotes; some lines have a cell too few, one too many, or an open quote.
+LINE_CELLS = {
+    "ticket": "cast(event_id % 97 as varchar(20))",
+    "person": "concat('Anna ', cast(user_id as varchar(20)), case event_id % 5 when 0 then '  Maria ' else '' end)",
+    "client": """case event_id % 6 when 0 then '"Alfa, Beta; Gamma | Delta"' when 1 then '"detta ""La Prima"" Srl"'
+        when 2 then concat('" ', event_type, chr(9), 'x "') when 3 then '' else concat('Ditta ', event_type) end""",
+    "duration": """concat('"', cast(event_id % 9 as varchar(20)), ',', cast(event_id % 4 as varchar(20)), '5"')""",
+    "other": "concat('Riga ', cast(event_id as varchar(20)))",
+}
+LINE_FILES = [
+    (",", ["ticket", "person", "client", "duration"], ["Id Ticket", "Creato da", "Azienda", "Durata"]),
+    (";", ["person", "duration", "client", "ticket"], ['"Creato da"', " DURATA", "azienda", "ID TICKET "]),
+    ("\t", ["client", "ticket", "other", "duration", "person"], ["Azienda", "Id Ticket", "Descrizione", "Durata", "creato da"]),
+    ("|", ["other", "duration", "person"], ["altro", "Durata", "Creato da"]),
+]
+
+
+def feed_lines_sql() -> str:
+    """SQL that both engines run: (file, name, position, line), the header at position -1."""
+    rows, headers = [], []
+    for k, (sep, cells, header) in enumerate(LINE_FILES):
+        mark = "chr(9)" if sep == "\t" else f"'{sep}'"
+        line = f", {mark}, ".join(LINE_CELLS[c] for c in cells)
+        broken = (
+            f"case when event_id % 13 = 5 then concat('meno', {mark}, 'x') when event_id % 13 = 7 then concat({line}, {mark}, 'extra') "
+            f"when event_id % 29 = 3 then concat({line}, '\"') when event_id % 31 = 4 then '  ' else concat({line}) end"
+        )
+        rows.append(f"when {k} then {broken}")
+        text = f", {mark}, ".join("'" + h + "'" for h in header)
+        headers.append(f"select 'file{k}' as file, 'attivita_{k}.csv' as name, cast(-1 as bigint) as position, concat({text}) as line")
+    return (
+        f"select concat('file', cast(event_id % 4 as varchar(20))) as file, concat('attivita_', cast(event_id % 4 as varchar(20)), '.csv') as name, "
+        f"event_id as position, case event_id % 4 {' '.join(rows)} end as line from events union all " + " union all ".join(headers)
+    )
+
+
 class Domain:
     """Lazy frames over one directory of test tables."""
 
@@ -304,3 +341,8 @@ class Domain:
             "element_at(array('Alta', 'Media', 'Bassa', 'Critica', ''), cast(event_id % 5 + 1 as int)) as priority",
             "concat('Van ', event_id % 60) as vehicle_name",
         )
+
+    @cached_property
+    def feed_lines(self) -> DataFrame:
+        """Every event as a line of one of four feed files (see ``feed_lines_sql``)."""
+        return self.spark.sql(feed_lines_sql().replace("from events", "from {events}"), events=self.table("events"))

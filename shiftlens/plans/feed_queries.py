@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from shiftlens.functions import temporal as TM, text as TX
-from shiftlens.plans.domain import Domain
+from shiftlens.plans.domain import Domain, feed_lines_sql
 from shiftlens.plans.registry import Query
-from shiftlens.sources import feeds as FD, jobs as J
+from shiftlens.sources import feeds as FD, jobs as J, lines as LN
 
 
 
@@ -159,7 +159,44 @@ def _rejects(run, kind: str, person: str = "person") -> Query:
     return Query("code:text reject_reason:text", run, sql, FRAMES)
 
 
+# Cells by parity of the quotes around them; a field's value is the first filled cell of its names.
+PARSED_LINES = rf"""
+    lines as materialized ({feed_lines_sql()}),
+    heads as (select file, line as header from lines where position = -1),
+    marked as (select *, list_reduce([',', ';', chr(9), '|'], lambda a, b:
+            case when length(header) - length(replace(header, b, '')) > length(header) - length(replace(header, a, '')) then b else a end) as sep
+        from heads),
+    named as (select file, sep, list_transform(string_split(header, sep), lambda c: lower(trim(c, ' "'))) as keys from marked),
+    cut as (select l.file, name, position, line, sep, keys,
+            string_split(list_reduce(list_transform(string_split(line, '"'),
+                lambda p, i: case when i % 2 = 1 then replace(p, sep, chr(1)) else p end), lambda a, b: a || '"' || b), chr(1)) as raw
+        from lines l join named using (file) where position >= 0 and trim(line) <> ''),
+    cells as (select *, len(raw) = len(keys) and len(string_split(line, '"')) % 2 = 1 as sound,
+            list_transform(raw, lambda c: case when length(trim(c)) >= 2 and left(trim(c), 1) = '"' and right(trim(c), 1) = '"'
+                then replace(substr(trim(c), 2, length(trim(c)) - 2), '""', '"') else c end) as cells
+        from cut),
+    cleaned as (select *, list_transform(cells, lambda c: trim(regexp_replace(trim(c, ' ' || chr(9)), '\s+', ' ', 'g'))) as c from cells)"""
+
+
+def _line_field(name: str, key: str) -> str:
+    return f"case when sound then nullif(c[nullif(list_position(keys, '{key}'), 0)], '') end as {name}"
+
+
+def _parsed_lines(d: Domain) -> DataFrame:
+    rows = LN.parse_lines(d.feed_lines, FD.FEEDS["activities"])
+    return rows.withColumn("sound", F.col(FD.CORRUPT).isNull()).withColumnsRenamed({FD.CORRUPT: "line", "_file": "name"})
+
+
 QUERIES = {
+    "parsed_feed_lines": Query(
+        "file:text name:text position sound:bool ticket:text person:text client_name:text duration:text description:text project_code:text line:text",
+        _parsed_lines,
+        f"""with {PARSED_LINES.strip()}
+            select file, name, position, sound, {_line_field("ticket", "id ticket")}, {_line_field("person", "creato da")},
+                {_line_field("client_name", "azienda")}, {_line_field("duration", "durata")}, {_line_field("description", "descrizione")},
+                null as project_code, case when not sound then line end as line
+            from cleaned""",
+    ),
     "load_timesheets": _job(
         "employee_id client_id work_date:text start_ts:text end_ts:text hours:num pause_minutes source_id:text",
         timesheets_feed,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -58,14 +59,13 @@ def checkpoint_root(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
-def cut_lineage(df):
-    """Write ``df`` to the reliable checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The reliable checkpoint folder, which all executors share.
 
-    The cluster names the folder in ``spark.checkpoint.dir``.  Only a local session
-    without that setting gets a temporary folder; elsewhere the setting is required,
-    since a folder of one machine would be lost with it.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local session without that setting
+    gets a temporary folder; elsewhere the setting is required, since a folder of one machine would
+    be lost with it.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = checkpoint_root(spark)
@@ -74,4 +74,15 @@ def cut_lineage(df):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="shiftlens-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def working_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for tables that are written on the way."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df):
+    """Write ``df`` to the shared folder as a reliable checkpoint and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

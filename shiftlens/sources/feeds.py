@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from shiftlens.functions.text import first_filled, repair_encoding
-from shiftlens.operators.common import union_all
 
 CORRUPT = "_corrupt_record"
 
@@ -322,37 +321,18 @@ def read_feed(
     """Rows of a feed with its engine fields.  Rows whose number of columns differs from the
     header carry the raw line in ``_corrupt_record``.
 
-    Without ``sep`` and ``header`` the layouts of the files are looked up first: one row per
-    distinct layout comes to the driver, with the paths that have it.  A job reads its feed
-    several times (names, clients, rows, rejects); with ``staging`` the text is parsed once
-    into a parquet table there and all further reads are columnar.
+    Without ``sep`` and ``header`` every file is read by its own header and separator (see
+    ``lines``).  A job reads its feed several times (names, clients, rows, rejects); with
+    ``staging`` the text is parsed once into a parquet table there and all further reads are
+    columnar.
     """
+    from shiftlens.sources.lines import read_mixed
+
     spec = FEEDS[feed]
     if sep is not None and header is not None:
-        frames = [to_fields(read_layout(spark, [path], _columns_of(header, sep), sep, spec.multiline, utf8), spec)]
+        out = to_fields(read_layout(spark, [path], _columns_of(header, sep), sep, spec.multiline, utf8), spec)
     else:
-        layouts = (
-            file_headers(spark, path)
-            .where(F.trim("header") != "")
-            .groupBy("separator", "header", "utf8")
-            .agg(F.collect_list("file_path").alias("paths"))
-            .orderBy("separator", "header", "utf8")
-            .collect()
-        )
-        frames = [
-            to_fields(
-                read_layout(
-                    spark, sorted(x["paths"]), _columns_of(x["header"], x["separator"]), x["separator"],
-                    spec.multiline, x["utf8"],
-                ),
-                spec,
-            )
-            for x in layouts
-        ]
-    if not frames:
-        fields = [T.StructField(n, T.StringType()) for n in [*spec.fields, CORRUPT, "_file"]]
-        return spark.createDataFrame([], T.StructType(fields))
-    out = union_all(frames)
+        out = read_mixed(spark, path, spec)
     if staging is None:
         return out
     out.write.mode("overwrite").parquet(staging)
