@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shiftlens.functions import names as NM
 from shiftlens.functions.text import byte_length, match_key
 from shiftlens.operators.common import union_all
+from shiftlens.operators.containment import containments
 
 FUZZY_THRESHOLD = 0.5
 
@@ -451,32 +452,20 @@ def pending_queue(queue: DataFrame, clients: DataFrame) -> DataFrame:
     )
 
 
-def _substrings(text: str) -> str:
-    """SQL text: all distinct substrings of a short text."""
-    return (
-        f"array_distinct(flatten(transform(sequence(1, greatest(length({text}), 1)), "
-        f"i -> transform(sequence(1, greatest(length({text}) - i + 1, 1)), n -> substring({text}, i, n)))))"
-    )
-
-
 def expected_members(expected: DataFrame, people: DataFrame) -> DataFrame:
     """Which expected names exist, and how many stored people have a name part that contains
     the expected given name or surname.
 
-    Containment is an equality here: stored parts are spelled out into their substrings (a
-    name is at most 50 long), so the check is a hash join on text, not a loop over all
-    pairs of names.
+    Containment is looked up in an index of q-grams (see ``containment``), name part by name part.
     """
     first, last = match_key(F.col("first_name")), match_key(F.col("last_name"))
     e = expected.select("first_name", "last_name").distinct().withColumns({"_ef": first, "_el": last})
     stored = people.select("employee_id", first.alias("_sf"), last.alias("_sl"))
     exact = stored.groupBy("_sf", "_sl").agg(F.min("employee_id").alias("employee_id"))
     wanted = e.select("_ef", "_el", F.explode(F.array_distinct(F.array("_ef", "_el"))).alias("_q")).where("_q <> ''")
-    pieces = stored.select(
-        "employee_id",
-        F.explode(F.array_union(F.expr(_substrings("_sf")), F.expr(_substrings("_sl")))).alias("_q"),
-    )
-    pieces = pieces.join(wanted.select("_q").distinct(), "_q", "left_semi")
+    parts = stored.select("employee_id", F.explode(F.array_distinct(F.array("_sf", "_sl"))).alias("text"))
+    found = containments(wanted.select(F.col("_q").alias("pattern")), parts)
+    pieces = found.join(parts, "text").select(F.col("pattern").alias("_q"), "employee_id").distinct()
     variants = (
         wanted.join(pieces, "_q")
         .select("_ef", "_el", "employee_id")

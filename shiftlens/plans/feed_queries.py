@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from shiftlens.functions import temporal as TM, text as TX
 from shiftlens.plans.domain import Domain, feed_lines_sql
 from shiftlens.plans.registry import Query
-from shiftlens.sources import feeds as FD, jobs as J, lines as LN
+from shiftlens.session import working_path
+from shiftlens.sources import feeds as FD, jobs as J, lines as LN, loading as LD
 
 
 
@@ -54,11 +55,13 @@ def vehicle_log_feed(d: Domain) -> J.FeedResult:
     return J.vehicle_log(f.withColumn("date", F.col("pickup")), _dims(d))
 
 
-def remote_sessions_feed(d: Domain) -> J.FeedResult:
+def remote_fields(d: Domain) -> DataFrame:
     f = d.feed("error").withColumnsRenamed({"amount": "rate", "code": "session_code"})
-    return J.remote_sessions(
-        _blank(f, "client_email", "session_type", "group", "billing_mode", "description", "note", "classification"), _dims(d)
-    )
+    return _blank(f, "client_email", "session_type", "group", "billing_mode", "description", "note", "classification")
+
+
+def remote_sessions_feed(d: Domain) -> J.FeedResult:
+    return J.remote_sessions(remote_fields(d), _dims(d))
 
 
 def _feed_sql(kind: str) -> str:
@@ -187,7 +190,92 @@ def _parsed_lines(d: Domain) -> DataFrame:
     return rows.withColumn("sound", F.col(FD.CORRUPT).isNull()).withColumnsRenamed({FD.CORRUPT: "line", "_file": "name"})
 
 
+def _feed_layouts(d: Domain) -> DataFrame:
+    found = LN.layouts(d.feed_lines, FD.FEEDS["activities"])
+    places = {n: F.coalesce(F.get(f"places.{n}", F.lit(0)), F.lit(0)) for n in ("ticket", "person", "client_name", "duration", "description")}
+    return found.select("file", "separator", "columns", *[p.alias(n) for n, p in places.items()])
+
+
+def _folder(d: Domain) -> str:
+    """Two feeds made of events as delimited files, each with a header line, in a folder of its own."""
+    path = working_path(d.spark, "folder")
+    e = d.table("events").where("event_type = 'click'")
+    e.selectExpr(
+        "cast(event_id as string) as `Id Ticket`", "date_format(cast(ts as timestamp), 'dd/MM/yyyy HH:mm') as `Iniziata il`",
+        "concat('Azienda; \"', user_id, '\"') as Azienda", "concat(event_id % 9, ',5') as Durata", "concat('Anna ', user_id) as ` CREATO DA `",
+    ).write.option("header", True).option("sep", ";").option("escape", '"').csv(f"{path}/attivita.csv")
+    v = d.table("events").where("event_type = 'purchase'")
+    v.selectExpr(
+        "concat('Anna ', user_id) as Dipendente", "date_format(cast(ts as timestamp), 'dd/MM/yyyy') as Data", "concat('Van ', event_id % 60) as AUTO"
+    ).write.option("header", True).csv(f"{path}/registro_auto.csv")
+    return path
+
+
+def _directory(d: Domain) -> DataFrame:
+    found = FD.read_directory(d.spark, _folder(d))
+    missing = sorted(n for n, frame in found.items() if frame is None)
+    a, _ = FD.split_corrupt(found["activities"])
+    v, _ = FD.split_corrupt(found["vehicle_log"])
+    rows = a.select(F.lit("activities").alias("feed"), F.col("ticket").alias("code"), "person", F.col("start").alias("day"), F.col("client_name").alias("what"))
+    rows = rows.unionByName(v.select(F.lit("vehicle_log").alias("feed"), F.lit(None).cast("string").alias("code"), "person", F.col("date").alias("day"), F.col("vehicle_name").alias("what")))
+    return rows.withColumn("absent", F.lit(",".join(missing)))
+
+
+def _profiles(d: Domain) -> DataFrame:
+    found = FD.file_profiles(d.spark, f"{_folder(d)}/*.csv")
+    folder = F.regexp_extract("file_path", "([a-z_]+)[.]csv/", 1)
+    return found.groupBy(folder.alias("feed"), "separator", "columns").agg(
+        (F.sum("total_rows") - F.count(F.lit(1))).alias("rows"), F.bool_and(F.size("preview") == F.least(F.lit(5), F.col("total_rows") - 1)).alias("previewed")
+    )
+
+
+def _counted_load(d: Domain) -> DataFrame:
+    """The sessions loaded onto those of every third event, stored before; those of odd events come
+    twice, and every 17th has a broken line beside it."""
+    fields = remote_fields(d).withColumn(FD.CORRUPT, F.lit(None).cast("string"))
+    code = F.col("session_code").cast("bigint")
+    raw = fields.unionByName(fields.where(code % 2 == 1)).unionByName(fields.where(code % 17 == 0).withColumn(FD.CORRUPT, F.lit("x")))
+    before = remote_sessions_feed(d).rows.where(code % 3 == 0)
+    return LD.counts_frame("remote_sessions", LD.load_feed("remote_sessions", raw, _dims(d), working_path(d.spark, "load"), before))
+
+
 QUERIES = {
+    "feed_layouts": Query(
+        "file:text separator:text columns ticket person client_name duration description",
+        _feed_layouts,
+        f"""with {PARSED_LINES.strip()}
+            select file, sep as separator, len(keys) as columns, {", ".join(f"coalesce(list_position(keys, '{k}'), 0) as {n}" for n, k in
+                [("ticket", "id ticket"), ("person", "creato da"), ("client_name", "azienda"), ("duration", "durata"), ("description", "descrizione")])}
+            from named""",
+    ),
+    "directory_of_feeds": Query(
+        "feed:text code:text person:text day:text what:text absent:text",
+        _directory,
+        """select 'activities' as feed, event_id::varchar as code, 'Anna ' || user_id as person, strftime(ts, '%d/%m/%Y %H:%M') as day,
+               'Azienda; "' || user_id || '"' as what, 'absences,calendar,projects,remote_sessions,timesheets' as absent
+           from events where event_type = 'click'
+           union all
+           select 'vehicle_log', null, 'Anna ' || user_id, strftime(ts, '%d/%m/%Y'), 'Van ' || (event_id % 60), 'absences,calendar,projects,remote_sessions,timesheets'
+           from events where event_type = 'purchase'""",
+    ),
+    "feed_profiles": Query(
+        "feed:text separator:text columns rows previewed:bool",
+        _profiles,
+        """select 'attivita' as feed, ';' as separator, 5 as columns, count(*) as rows, true as previewed from events where event_type = 'click'
+           union all select 'registro_auto', ',', 3, count(*), true from events where event_type = 'purchase'""",
+    ),
+    "counted_load": Query(
+        "feed:text outcome:text rows",
+        _counted_load,
+        f"""with feed as materialized ({_feed_sql("error")}), {_staff_sql("person", True)},
+               f as (select code::bigint as code, coalesce(s is not null and e is not null and person in (select name from staff), false) as sound from feed)
+            select 'remote_sessions' as feed, unnest(['processed', 'corrupt', 'rejected', 'inserted', 'updated', 'duplicates']) as outcome,
+                unnest([count(*) + count(*) filter (code % 2 = 1) + count(*) filter (code % 17 = 0), count(*) filter (code % 17 = 0),
+                    count(*) filter (not sound) + count(*) filter (not sound and code % 2 = 1), count(*) filter (sound and code % 3 <> 0),
+                    count(*) filter (sound and code % 3 = 0), count(*) filter (sound and code % 2 = 1)]) as rows
+            from f""",
+        FRAMES,
+    ),
     "parsed_feed_lines": Query(
         "file:text name:text position sound:bool ticket:text person:text client_name:text duration:text description:text project_code:text line:text",
         _parsed_lines,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shiftlens.operators import reports as R
+from shiftlens.operators import reports as R, rollups as RU
 from shiftlens.operators.common import active_only
 from shiftlens.plans.kpi_queries import kpi_of
 from shiftlens.plans.registry import Query
@@ -68,7 +68,44 @@ VEHICLE_SQL = """
            coalesce(sum(km), 0) * any_value(cost_km) as estimated_cost
     from vehicles v left join {log} l using (vehicle_id) group by v.vehicle_id, v.vehicle_name"""
 
+def _members(d):
+    return RU.daily_bitmaps(d.timesheets, "client_id", "employee_id")
+
+
 QUERIES = {
+    "distinct_users_per_window": Query(
+        "client_id work_date:text members_7 members_30",
+        lambda d: RU.distinct_in_windows(_members(d), "client_id", [7, 30]),
+        """with visits as (select distinct client_id, work_date, employee_id from timesheets where client_id is not null),
+             days as (select client_id, unnest(generate_series(min(work_date), (select max(work_date) from visits), interval 1 day))::date as work_date
+                      from visits group by client_id)
+           select d.client_id, d.work_date,
+               count(distinct case when v.work_date > d.work_date - 7 then v.employee_id end) as members_7,
+               count(distinct v.employee_id) as members_30
+           from days d left join visits v on v.client_id = d.client_id and v.work_date between d.work_date - 29 and d.work_date
+           group by all""",
+        ["timesheets"],
+    ),
+    "distinct_users_in_period": Query(
+        "client_id members",
+        lambda d: RU.distinct_in_period(_members(d), "client_id", "2024-01-10", "2024-01-20"),
+        """select client_id, count(distinct employee_id) as members from timesheets
+           where client_id is not null and work_date between date '2024-01-10' and date '2024-01-20' group by client_id""",
+        ["timesheets"],
+    ),
+    "kpi_rollup": Query(
+        "grain:text employee_id month:text work_date:text days timesheet_hours:num billable_hours:num revenue:num daily_cost:num "
+        "profit_loss:num remote_sessions vehicle_usage least_efficiency:num best_efficiency:num",
+        lambda d: RU.kpi_rollup(kpi_of(d)),
+        """select case when grouping(work_date) = 0 then 'work_date' when grouping(employee_id) = 0 and grouping(month) = 0 then 'employee_id_month'
+                   when grouping(employee_id) = 0 then 'employee_id' when grouping(month) = 0 then 'month' else 'all' end as grain,
+               employee_id, month, work_date, count(*) as days, sum(timesheet_hours) as timesheet_hours, sum(billable_hours) as billable_hours,
+               sum(revenue) as revenue, sum(daily_cost) as daily_cost, sum(profit_loss) as profit_loss, sum(remote_sessions) as remote_sessions,
+               sum(vehicle_usage) as vehicle_usage, min(efficiency_rate) as least_efficiency, max(efficiency_rate) as best_efficiency
+           from (select *, date_trunc('month', work_date)::date as month from kpi)
+           group by grouping sets ((work_date), (month), (employee_id), (employee_id, month), ())""",
+        ["kpi"],
+    ),
     "active_employees": Query(
         "employee_id first_name:text last_name:text",
         lambda d: active_only(d.employees).orderBy("last_name", "first_name", "employee_id"),

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from shiftlens import settings as ST
 from shiftlens.operators import reports as R
 from shiftlens.plans.domain import Domain
-from shiftlens.plans.kpi_queries import kpi_of
+from shiftlens.plans.kpi_queries import KPI_COLUMNS, kpi_of
 from shiftlens.plans.registry import Query
 from shiftlens.plans.validation_queries import raw_anomalies
+from shiftlens.session import working_path
 from shiftlens.sinks import json_output as J, upsert as U
 from shiftlens.sources import logs as L
 
@@ -89,7 +90,39 @@ ONE_ANOMALY = """(select employee_id, work_date, type, first(severity order by r
   from (select *, case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 else 3 end as rank from anomalies_raw)
   group by employee_id, work_date, type)"""
 
+def _rebuilt_kpi(d: Domain) -> DataFrame:
+    """A KPI table with other days in it, rebuilt whole and read back."""
+    kpi = kpi_of(d).drop("alerts")
+    path = working_path(d.spark, "rebuilt")
+    U.rebuild_table(kpi.withColumn("work_date", F.date_add("work_date", 20)), path, "work_date")
+    U.rebuild_table(kpi, path, "work_date")
+    return d.spark.read.parquet(path)
+
+
+def _restored_config(d: Domain) -> DataFrame:
+    """A config backed up, changed and extended, and restored from the backup."""
+    config = _config(d)
+    path = working_path(d.spark, "backup")
+    J.backup_config(config, path)
+    changed = config.where("type <> 'json'").withColumn("value", F.lit("changed"))
+    added = config.limit(0).unionByName(d.spark.range(1).selectExpr("'new' as key", "'1' as value", "'integer' as type", "'own' as category"))
+    return J.restore_config(d.spark, path, J.set_config(config, changed.unionByName(added)))
+
+
 QUERIES = {
+    "rebuilt_daily_kpi": Query(KPI_COLUMNS, _rebuilt_kpi, "select * from kpi", ["kpi"]),
+    "restored_config": Query(
+        "key:text value:text type:text category:text",
+        _restored_config,
+        """select p_brand || '.' || p_type as key,
+                  case max(p_size) % 5 when 0 then max(p_size)::varchar when 1 then max(p_size)::varchar || '.25'
+                      when 2 then (max(p_size) % 2)::varchar when 3 then '{"size": ' || max(p_size)::varchar || '}'
+                      else 'size ' || max(p_size)::varchar end as value,
+                  case max(p_size) % 5 when 0 then 'integer' when 1 then 'float' when 2 then 'boolean' when 3 then 'json' else 'string' end as type,
+                  p_brand as category
+           from part group by p_brand, p_type
+           union all select 'new', '1', 'integer', 'own'""",
+    ),
     "upsert_daily_kpi": Query(
         "employee_id work_date:text billable_hours:num profit_loss:num",
         _kpi_upsert,
@@ -180,4 +213,15 @@ QUERIES = {
         lambda d: L.recent_lines(_log_lines(d), 100),
         f"select * from {LOG_SQL} order by logged_at desc, session_id desc, elapsed_s desc limit 100",
     ),
+    "log_sessions": Query(
+        "file_name:text first_at:text last_at:text lines errors memory_mb:num longest_step_s total_s",
+        lambda d: L.log_sessions(_log_lines(d), "20 minutes"),
+        f"""with instants as (select file_name, logged_at::timestamp as tick, count(*) as lines, count(*) filter (level = 'ERROR') as errors
+                 from {LOG_SQL} group by all),
+             stepped as (select *, date_diff('second', lag(tick) over (partition by file_name order by tick), tick) as step from instants),
+             islands as (select *, count(*) filter (step is null or step > 1200) over (partition by file_name order by tick) as island from stepped)
+           select file_name, min(tick) as first_at, max(tick) as last_at, sum(lines) as lines, sum(errors) as errors, 1.5 as memory_mb,
+               coalesce(max(case when step <= 1200 then step end), 0) as longest_step_s, coalesce(sum(case when step <= 1200 then step end), 0) as total_s
+           from islands group by file_name, island""",
+    ),
 }

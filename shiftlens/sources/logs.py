@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 # The line format, the levels and the text that opens a session.
 LINE = r"^\[([^\]]+)\] \[([^\]]+)\] \[([A-Z]+)\] \[Memory: ([0-9.]+)MB\] \[Time: ([0-9.]+)s\] (.*)$"
@@ -53,3 +53,41 @@ def recent_lines(lines: DataFrame, limit: int = 100) -> DataFrame:
         .orderBy(F.desc("logged_at"), F.desc("session_id"), F.desc("elapsed_s"), F.desc("value"))
         .limit(limit)
     )
+
+
+def log_sessions(lines: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Sessions of logs that carry no session id: lines of a file at most ``gap`` apart.
+
+    Per session: first and last time, lines, errors, highest memory, and the longest and the total
+    time between one instant of the log and the next.  Lines are first added up per file and second,
+    which bounds what a crowded file brings to the sessions.
+    """
+    instants = (
+        parse_log(lines)
+        .where("logged_at is not null")
+        .groupBy("file_name", "logged_at")
+        .agg(
+            F.count(F.lit(1)).alias("lines"),
+            F.count(F.when(F.col("level") == "ERROR", 1)).alias("errors"),
+            F.max("memory_mb").alias("memory_mb"),
+        )
+    )
+    # The step to an instant belongs to its session unless it is the first one there.
+    before = F.lag("logged_at").over(Window.partitionBy("file_name").orderBy("logged_at"))
+    stepped = instants.withColumn("before", before)
+    step = F.timestamp_diff("SECOND", F.col("before"), F.col("logged_at"))
+    opens = F.col("before").isNull() | (F.col("logged_at") > F.col("before") + F.expr(f"interval '{gap}'"))
+    stepped = stepped.withColumn("step", F.when(~opens, step))
+    return (
+        stepped.groupBy("file_name", F.session_window("logged_at", gap).alias("w"))
+        .agg(
+            F.min("logged_at").alias("first_at"),
+            F.max("logged_at").alias("last_at"),
+            F.sum("lines").alias("lines"),
+            F.sum("errors").alias("errors"),
+            F.max("memory_mb").alias("memory_mb"),
+            F.coalesce(F.max("step"), F.lit(0)).alias("longest_step_s"),
+            F.coalesce(F.sum("step"), F.lit(0)).alias("total_s"),
+        )
+        .drop("w")
+    )

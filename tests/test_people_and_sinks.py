@@ -161,3 +161,28 @@ def test_expected_members(spark):
     expected = spark.createDataFrame([("Anna", "Verdi"), ("Piero", "Bo"), ("Mar", "Zz")], "first_name string, last_name string")
     got = {(r.first_name, r.present, r.variants) for r in P.expected_members(expected, people(spark)).collect()}
     assert got == {("Anna", True, 3), ("Piero", False, 0), ("Mar", False, 1)}
+
+
+def test_containment_of_long_names_by_rarest_gram(spark):
+    import random
+
+    from shiftlens.operators.containment import containments
+
+    rng = random.Random(31)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    texts += ["".join(rng.choice("abcdefgh") for _ in range(5000)) for _ in range(20)] + ["", None, "è", "aèèb"]
+    patterns = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    patterns += [texts[300][4000:4040], texts[301], "zz", "abz", "è", "èè", "", None]
+    got = containments(
+        spark.createDataFrame([(p,) for p in patterns], "pattern string"), spark.createDataFrame([(t,) for t in texts], "text string")
+    )
+    want = {(p, t) for p in patterns for t in texts if p and t and p in t}
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
+def test_expected_members_with_long_names(spark):
+    stored = people(spark).union(spark.createDataFrame([(9, "x" * 5000 + "anna", "Y" * 5000, True)], PEOPLE))
+    expected = spark.createDataFrame([("Anna", "Verdi"), ("Nobody", "Q")], "first_name string, last_name string")
+    got = {r.first_name: tuple(r) for r in P.expected_members(expected, stored).collect()}
+    assert got == {"Anna": ("Anna", "Verdi", True, 1, 4), "Nobody": ("Nobody", "Q", False, None, 0)}
