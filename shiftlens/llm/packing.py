@@ -16,6 +16,7 @@ and rows without doc_id are packed as often as they occur.
 from __future__ import annotations
 
 import os
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -36,85 +38,172 @@ class PackParams:
     capacity: int = 1024
     open_windows: int = 64
     least_cut: int = 16  # gaps under this many tokens are not topped up
-    merged_partitions: int = 32
+    merged_partitions: int = 4  # whose leftovers meet in one group, that many times open_windows windows
+
+
+#: UTF-8 of any white space other than blank and line feed.
+WHITE = re.compile(
+    rb"[\t\x0b-\r\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+)
+BYTE_VALUES = np.random.default_rng(29).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+FACTOR = np.uint64(0x5851F42D4C957F2D)
+
+
+def unit_hashes(data: np.ndarray, starts: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Two 64-bit hashes of every unit of ``data``, (2, units); a unit ends where the next starts."""
+    ends = np.append(starts[1:], len(data))
+    out = np.zeros((2, len(starts)), np.uint64)
+    powers = np.full(int((ends - starts).max(initial=1)), FACTOR)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + block, side="right")))
+        part, own = data[starts[a] : ends[b - 1]], starts[a:b] - starts[a]
+        weight = powers[np.arange(len(part)) - np.repeat(own, ends[a:b] - starts[a:b])]
+        for k in (0, 1):
+            out[k, a:b] = np.add.reduceat(BYTE_VALUES[k][part] * weight, own)
+        a = b
+    return out
 
 
 class CachedTokenizer:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     Byte-level BPE never joins letters across a single blank or line feed between two other
-    characters, nor a letter or figure with the marks behind it, so plain texts are put together
-    from the ids of their words; texts with any other white space go through the tokenizer whole.
-    The memory of words is bounded and starts anew when it is full.
-    """
+    characters, so a text is put together from the ids of its units, each a blank or line feed and
+    the word behind it (a line feed is put before the text, and its id taken off again).  Many texts
+    are one array of bytes; their distinct units, told apart by two 64-bit hashes, are looked up, and
+    those that are not known are encoded together and cut at the blank or line feed of each.  Texts
+    with any other white space, or with two in a row, go through the tokenizer whole.
 
-    MARKS = """.,!?;:*#$%&|"'()-"""
+    At most ``most`` units are kept; when more come, the memory starts anew.
+    """
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.most = most
-        self.words: dict[str, bytes] = {}  # strings behind a blank; with "\n" in front, behind a line feed
-        self.stems: dict[str, bytes] = {}  # without the marks at their end
-        self.feed = self.whole("\n")
-
-    def batch(self, texts: list[str]) -> list[bytes]:
+        self.known: dict[int, bytes] = {}  # ids by the unit's first hash
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.plain_feed = len(feed) == 1
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        # How the vocabulary writes a blank at the start of a token.
+        blank = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
+        opens = np.zeros((2, max(vocabulary.values()) + 1), dtype=bool)
+        opens[0, [i for token, i in vocabulary.items() if token.startswith(blank)]] = True
+        opens[1, feed] = True
+        self.opens = {32: opens[0], 10: opens[1]}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def whole(self, text: str) -> bytes:
-        return self.batch([text])[0]
-
-    def learn(self, words: set[str]) -> None:
-        cuts, stems = {}, self.stems
-        for w in words:
-            body = w[1:] if w[0] == "\n" else " " + w
-            stem = body.rstrip(self.MARKS)
-            if not stem or not stem[-1].isalnum():
-                stem = body
-            cuts[w] = (stem, body[len(stem) :])
-        new = {x for cut in cuts.values() for x in cut if x}.difference(stems)
-        if len(stems) + len(new) > self.most:
-            stems.clear()
-            new = {x for cut in cuts.values() for x in cut if x}
-        if new:
-            new = list(new)
-            stems.update(zip(new, self.batch(new)))
-        for w, (stem, marks) in cuts.items():
-            ids = stems[stem] + stems[marks] if marks else stems[stem]
-            self.words[w] = self.feed + ids if w[0] == "\n" else ids
+    def encoded(self, units: list[bytes], mark: int, each: int = 2000) -> list[bytes]:
+        """Ids of units that all start with ``mark``, written one after the other."""
+        out = []
+        texts = [b"".join(units[k : k + each]).decode() for k in range(0, len(units), each)]
+        for k, found in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(found.ids, dtype="<u4")
+            own = units[each * k : each * (k + 1)]
+            starts = np.flatnonzero(self.opens[mark][ids])
+            if len(starts) != len(own):  # not told apart: one by one
+                out += self.whole([u.decode() for u in own])
+                continue
+            raw, bounds = ids.tobytes(), [*(starts * 4).tolist(), 4 * len(ids)]
+            out += [raw[i:j] for i, j in zip(bounds, bounds[1:])]
+        return out
+
+    def learn(self, hashes: list[int], units: list[bytes]) -> dict[int, bytes]:
+        """Ids of new units by their hash; they are known from now on."""
+        new = {}
+        for mark in self.opens:
+            own = [k for k, u in enumerate(units) if u[0] == mark]
+            new.update(zip([hashes[k] for k in own], self.encoded([units[k] for k in own], mark)))
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+        self.known.update(new)
+        return new
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, its end token included."""
+        raw = [b"\n" + t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        joined = b"".join(raw)
+        data = np.frombuffer(joined, np.uint8)
+        bounds = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        starts = np.flatnonzero((data == 32) | (data == 10))
+        lengths = np.diff(np.append(starts, len(data)))
+        first = np.searchsorted(starts, bounds)  # a text's first unit; texts start with a line feed
+        odd = np.zeros(len(texts), bool)
+        single = [m.start() for m in WHITE.finditer(joined)] + starts[lengths == 1].tolist()
+        odd[np.searchsorted(bounds, single, side="right") - 1] = True
+        if not self.plain_feed:
+            odd[:] = True
+        out: list = [END] * len(texts)
+        use = np.repeat(~odd, np.diff(first))
+        starts, lengths = starts[use], lengths[use]
+        if len(starts):
+            ids, at = self.gathered(joined, data, starts, lengths)
+            counts = np.where(odd, 0, np.diff(first))
+            ends = np.cumsum(counts)
+            for k in np.flatnonzero(counts):
+                out[k] = ids[4 * (at[ends[k] - counts[k]] + 1) : 4 * at[ends[k]]] + END  # without the feed
+        some = [k for k in np.flatnonzero(odd) if texts[k]]
+        for k, ids in zip(some, self.whole([texts[k] for k in some])):
+            out[k] = ids + END
+        return out
+
+    def gathered(self, joined: bytes, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Ids of all units one after the other, and where those of each start (and the last end)."""
+        packed, ends = data, np.cumsum(lengths)
+        if ends[-1] != len(data):  # units of other texts lie between
+            packed = data[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]
+        key, check = unit_hashes(packed, ends - lengths)
+        distinct, example, which = np.unique(key, return_index=True, return_inverse=True)
+        if (check != check[example][which]).any():
+            raise ValueError("two words with one hash")  # once in 2 ** 64 pairs
+        names = distinct.tolist()
+        runs = list(map(self.known.get, names))
+        missing = [k for k, found in enumerate(runs) if found is None] if None in runs else []
+        if missing:
+            places = zip(starts[example[missing]].tolist(), lengths[example[missing]].tolist())
+            new = self.learn([names[k] for k in missing], [joined[i : i + n] for i, n in places])
+            for k in missing:
+                runs[k] = new[names[k]]
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
+        flat, offsets = np.frombuffer(b"".join(runs), "<u4"), np.cumsum(sizes) - sizes
+        counts = sizes[which]
+        at = np.concatenate([[0], np.cumsum(counts)])
+        places = np.repeat(offsets[which] - at[:-1], counts) + np.arange(at[-1])
+        return flat[places].tobytes(), at
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return END
-        first, *words = text.replace("\n", " \n").split(" ")
-        used = set(words)
-        plain = first and "" not in used and "\n" not in used and first[0] != "\n"
-        if not plain or len(text.split()) != len(words) + 1:
-            return self.whole(text) + END
-        known = self.words
-        new = used.difference(known)
-        start = "\n" + first
-        if start not in known:
-            new.add(start)
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = used | {start}
-        if new:
-            self.learn(new)
-        get = known.__getitem__
-        return get(start)[len(self.feed) :] + b"".join(map(get, words)) + END
+        return self.many([text])[0]
+
+    def forget(self) -> None:
+        self.known.clear()
 
 
 @lru_cache(maxsize=1)
 def tokenizer_of(path: str) -> CachedTokenizer:
-    """One per Python worker, so that tasks share the words seen."""
+    """One per Python worker; the words are forgotten at the end of each task."""
     return CachedTokenizer(path)
 
 
+def chunked(ids: list, texts: list, most: int = 4_000_000, rows: int = 4000) -> Iterator[tuple[list, list]]:
+    """Runs of rows of about ``most`` characters, so that neither memory nor an output batch grows
+    with the input's batches."""
+    start = size = 0
+    for k, text in enumerate(texts):
+        size += len(text or "")
+        if size >= most or k + 1 - start >= rows or k + 1 == len(texts):
+            yield ids[start : k + 1], texts[start : k + 1]
+            start, size = k + 1, 0
+
+
 class Packer:
     """Bounded-space best-fit packing of one partition; gives (window, closed, pieces)."""
 
@@ -168,12 +257,23 @@ PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long"
 NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "offset"]
 
 
-def piece_rows(windows: list[tuple], part: int) -> pd.DataFrame:
-    rows = [(*p, window, closed) for window, closed, pieces in windows for p in pieces]
-    out = pd.DataFrame(rows, columns=[*NAMES, "window", "closed"])
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    out["part"] = part
-    return out[["doc_id", "start", "length", "ids", "doc_tokens", "part", "window", "offset", "closed"]]
+def piece_batch(windows: list[tuple], part: int) -> pa.RecordBatch:
+    columns = list(zip(*[(*p, window, closed) for window, closed, pieces in windows for p in pieces]))
+    doc_id, start, length, ids, doc_tokens, offset, window, closed = columns
+    long = pa.int64()
+    return pa.RecordBatch.from_pydict(
+        {
+            "doc_id": pa.array(doc_id, long),
+            "start": pa.array(start, long),
+            "length": pa.array(length, long),
+            "ids": pa.array(ids, pa.binary()),
+            "doc_tokens": pa.array(doc_tokens, long),
+            "part": pa.array([part] * len(start), pa.int32()),
+            "window": pa.array(window, long),
+            "offset": pa.array(offset, long),
+            "closed": pa.array(closed, pa.bool_()),
+        }
+    )
 
 
 def lengths_of(total: int, capacity: int) -> list[int]:
@@ -210,22 +310,22 @@ def pack(docs: DataFrame, vocabulary: str, params: PackParams = PackParams()) ->
     the leftover windows are read from them.
     """
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         tokens, packer = tokenizer_of(vocabulary), Packer(params)
         for batch in batches:
-            ids = batch["doc_id"].astype("Int64")
-            for at in range(0, len(batch), 500):  # small output batches, whatever the input's
+            for doc_ids, texts in chunked(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 out = []
-                for doc_id, text in zip(ids[at : at + 500], batch["text"][at : at + 500]):
-                    out += packer.add(doc_id, tokens(text))
+                for doc_id, ids in zip(doc_ids, tokens.many(texts)):
+                    out += packer.add(doc_id, ids)
                 if out:
-                    yield piece_rows(out, part)
+                    yield piece_batch(out, part)
+        tokens.forget()
         if packer.held:
-            yield piece_rows(packer.leftovers(), part)
+            yield piece_batch(packer.leftovers(), part)
 
     pieces = stored(
-        docs.select("doc_id", "text").mapInPandas(
+        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
             packed, f"{PIECE}, part int, window long, offset long, closed boolean"
         )
     )

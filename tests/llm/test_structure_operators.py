@@ -281,6 +281,17 @@ def test_every_token_lies_in_one_piece(spark):
     assert packing.pack(df.limit(0), path).count() == 0
 
 
+def test_ids_of_words_are_those_of_the_whole_text():
+    tokens = packing.CachedTokenizer(vocabulary_path("byte_bpe_50k.json"), most=400)
+    rng = random.Random(9)
+    parts = ["a", "b", "word", "\xa0", "\t", " ", "  ", "\n", "\n\n", "\u3000", "\x1f", "\x1c", "\x85", "'s", "don't", ".", "!?", "12", "\u00e9",
+             "\u00df", "\u6f22", "<|endoftext|>", "</s>", "\r\n", "\u2009", " \n", "x\ny", "[INST]", "-", "_", "\u0120", "\u010a"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(30_000)]
+    texts += ["a\n\xa0\nb\xa0c", "q" * 3_000_000 + " q", "w " * 50_000 + "end", None, ""]
+    got = [ids for _, some in packing.chunked(texts, texts, 20_000, 300) for ids in tokens.many(some)]
+    assert got == [ids + packing.END for ids in tokens.whole([t or "" for t in texts])]
+
+
 def test_best_fit_and_fullest():
     packer = packing.Packer(packing.PackParams(capacity=16, open_windows=2, least_cut=3))
     ids = lambda n: b"\x01\x00\x00\x00" * n
