@@ -4,7 +4,7 @@ Vectors get one extra coordinate that makes all of them equally long (so that th
 product becomes the smallest angle) and are padded to a power of two.  A pseudo-rotation flips
 signs and applies a fast Hadamard transform, three times; the signed axis nearest to the result is
 the hash.  A table's code joins two such hashes, the second over fewer axes.  A query looks up, in
-every table, the ``probes_for`` codes with the largest summed projections; the union of these buckets
+every table, the ``probes`` codes with the largest summed projections; the union of these buckets
 are its candidates, and their inner products with the original vectors, in double precision, decide.
 
 All rows are indexed.  They are dealt into blocks that fit a task's memory; a block keeps its
@@ -34,19 +34,13 @@ class AnnParams:
     k: int = 20
     tables: int = 20
     axes: tuple[int, int] = (64, 8)  # of the first and the second hash
-    probes: int = 32  # codes looked up per table, at least
-    enough: int = 3000  # rows that a query's probes meet on average, at least
+    probes: int = 64  # codes looked up per table, in tables of any size
     seed: int = 3
 
     @property
     def codes(self) -> int:
         return 4 * self.axes[0] * self.axes[1]
 
-    def probes_for(self, rows: int) -> int:
-        """Few vectors lie far apart, so in a small table more codes are needed for the same recall."""
-        met = -(-self.enough * self.codes // max(1, rows * self.tables))
-        return min(self.codes, max(self.probes, met))
-
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Orthonormal fast Walsh-Hadamard transform of each row; the length is a power of two."""
@@ -134,10 +128,11 @@ class BlockIndex:
                 found = found[self.ids[found] != query_ids[q]]
                 score = self.x[found] @ queries[q]
                 if len(found) > self.params.k:
-                    # Ids are sorted, so a stable sort gives ties to the smaller one.
+                    # The product's last bits depend on a row's place; whatever may be among the best stays.
                     least = np.partition(score, len(score) - self.params.k)[len(score) - self.params.k]
-                    keep = score >= least
-                    found, score = found[keep], score[keep]
+                    found = found[score >= least - 1e-9 * max(longest, 1e-300) * np.linalg.norm(queries[q])]
+                # Equal vectors get equal scores this way; ids are sorted, so ties go to the smaller one.
+                score = (self.x[found] * queries[q]).sum(axis=1)
                 best = np.argsort(-score, kind="stable")[: self.params.k]
                 yield self.ids[found[best]], score[best]
 
@@ -175,7 +170,6 @@ def nearest(
         F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest"),
     ).first()
     d, n, longest = stats.d or 1, stats.n, stats.longest or 1.0
-    probes = params.probes_for(n)
     rows = rows.where(F.size("v") == d)
     blocks = max(-(-n // BLOCK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     data = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(False).alias("asks"), "id", "v")
@@ -198,7 +192,7 @@ def nearest(
                 if not ids:
                     continue
                 if index is None:
-                    index = BlockIndex(np.concatenate(ids), np.concatenate(parts), longest, probes, params)
+                    index = BlockIndex(np.concatenate(ids), np.concatenate(parts), longest, params.probes, params)
                     ids, parts = [index.ids], []
                 found = list(index.search(own, x, longest))
                 yield pd.DataFrame(
