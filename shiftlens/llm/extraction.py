@@ -23,6 +23,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -56,13 +57,23 @@ NOT_TEXT = frozenset(
 NOT_TEXT_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
 )
+# Words of class and id names.  One of the first marks what is no text wherever it stands in a name.
 NOT_TEXT_WORDS = frozenset(
-    """ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion
-    promoted banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar rail footer
-    header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay
-    newsletter subscribe subscription signup login comment comments commentlist disqus reply
-    replies respond discussion social share sharing related recommended recommendations teaser
-    teasers widget widgets toolbar pagination pager skip copyright outbrain taboola paywall""".split()
+    """ad ads adbox advert adverts advertisement advertising sponsored promo promoted nav navbar
+    navigation menu submenu breadcrumb breadcrumbs sidebar masthead topbar cookie cookies gdpr popup
+    modal overlay newsletter subscribe comment comments commentlist disqus recommended
+    recommendations teaser teasers widgets toolbar pagination pager outbrain taboola paywall""".split()
+)
+# These are also words an article's own parts are named by; they count as a whole name, or beside
+# nothing but words for a place on the page.
+DOUBTFUL_WORDS = frozenset(
+    """sponsor promotion banner rail footer header consent notice notices alert subscription signup
+    login reply replies respond discussion social share sharing related widget skip copyright""".split()
+)
+PLACES = frozenset(
+    """site page main top bottom left right inner outer global primary secondary box block list item
+    items wrapper wrap container section area bar slot unit zone region panel group holder module col
+    column row button buttons link links icons form thread count article articles post posts stories""".split()
 )
 KEEPS_ITS_TEXT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 MARKED = frozenset({"article", "main"})
@@ -88,6 +99,7 @@ class Element:
     depth: int
     skip: bool
     link: bool
+    owner: int = 0  # number of the element whose doubtful name takes this one out
 
 
 @dataclass
@@ -111,16 +123,47 @@ def is_not_text(name: str, attrs: dict[str, str]) -> bool:
         return True
     if re.search(r"display\s*:\s*none", attrs.get("style", ""), re.IGNORECASE):
         return True
-    if attrs.get("role", "").lower() in NOT_TEXT_ROLES:
-        return True
-    words = WORD.findall(attrs.get("class", "") + " " + attrs.get("id", ""))
-    return any(w.lower() in NOT_TEXT_WORDS for w in words)
+    return attrs.get("role", "").lower() in NOT_TEXT_ROLES
+
+
+@lru_cache(maxsize=10_000)
+def named_no_text(name: str) -> int:
+    """Whether one class or id name speaks against its element: 2 it does, 1 in doubt, 0 no."""
+    words = [w.lower() for w in WORD.findall(name)]
+    if any(w in NOT_TEXT_WORDS for w in words):
+        return 2
+    doubtful = [w for w in words if w in DOUBTFUL_WORDS]
+    # "article-header" and "post-reply" head or answer an article; an article's place alone is not the page's.
+    rest = [w for w in words if w not in DOUBTFUL_WORDS]
+    return int(bool(doubtful) and all(w in PLACES for w in rest) and not ({"article", "post"} & set(rest)))
+
+
+def classed_no_text(name: str, attrs: dict[str, str]) -> int:
+    if not attrs or name in KEEPS_ITS_TEXT:
+        return 0
+    return max(named_no_text(n) for n in f"{attrs.get('class', '')} {attrs.get('id', '')} -".split())
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order, with the element they stand in."""
+    """Text blocks in page order, with the element they stand in.
+
+    What class names speak against is left out.  Where a doubtful name would take out more text than
+    all that is kept, it says something else, and its element stays.
+    """
+    blocks, removed = parsed_blocks(page, 0)
+    most = max(removed, key=removed.get, default=0)
+    if most and removed[most] > sum(len(b.text) for b in blocks):
+        return parsed_blocks(page, most)[0]
+    return blocks
+
+
+def parsed_blocks(page: str, spared: int) -> tuple[list[Block], dict[int, int]]:
+    """The blocks, and the characters of text removed by each element with a doubtful name; such
+    elements are numbered from 1, and number ``spared`` stays."""
     root = Element("#", "#", None, 0, False, False)
     at, here, run, linked, out = 0, root, [], 0, []
+    removed: dict[int, int] = defaultdict(int)
+    number = 0
 
     def flush():
         nonlocal run, linked
@@ -153,6 +196,8 @@ def blocks_of(page: str) -> list[Block]:
                 run.append(source)
                 if here.link:
                     linked += len(" ".join(source.split()))
+            elif here.owner:
+                removed[here.owner] += len(source.strip())
 
     for m in PIECES.finditer(page):
         text_piece(page[at : m.start()])
@@ -180,14 +225,15 @@ def blocks_of(page: str) -> list[Block]:
         label = name
         if attrs.get("class") and name not in ("p", "a", "span"):
             label += "." + ".".join(sorted(attrs["class"].split()))
-        here = Element(
-            name,
-            label,
-            here,
-            here.depth + 1,
-            here.skip or is_not_text(name, attrs),
-            here.link or name == "a",
-        )
+        skip, owner = here.skip or is_not_text(name, attrs), here.owner
+        against = 0 if skip else classed_no_text(name, attrs)
+        if against == 2:
+            skip = True
+        elif against == 1:
+            number += 1
+            if number != spared:
+                skip, owner = True, number
+        here = Element(name, label, here, here.depth + 1, skip, here.link or name == "a", owner)
         if name not in BLOCK and here.skip and not here.parent.skip:
             run.append(" ")
     text_piece(page[at:])
@@ -198,7 +244,7 @@ def blocks_of(page: str) -> list[Block]:
             labels.append(e.label)
             e = e.parent
         b.path = "/".join(reversed(labels))
-    return out
+    return out, removed
 
 
 @dataclass(frozen=True)
