@@ -114,7 +114,13 @@ def fixed_spans(text: str) -> list[tuple[int, int, int]]:
 def entropy_spans(
     text: str, taken: list[tuple[int, int, int]], rules: EntropyRules
 ) -> list[tuple[int, int, int]]:
-    out = []
+    """Spans over the threshold that overlap none of ``taken`` (sorted by start).
+
+    Both come in order of their starts, so they are walked together: a taken span that ends before
+    a found one starts can meet no later one either.  Taken spans of different kinds may overlap, so
+    what counts of those passed is the furthest end.
+    """
+    out, k, furthest = [], 0, 0
     for m in CANDIDATE.finditer(text):
         value = m.group()
         kind = candidate_class(value)
@@ -122,7 +128,10 @@ def entropy_spans(
             continue
         for a, b in entropy_windows(value, rules.width, getattr(rules, kind)):
             start, end = m.start() + a, m.start() + b
-            if not any(s < end and start < e for s, _, e in taken):
+            while k < len(taken) and taken[k][0] < end:
+                furthest = max(furthest, taken[k][2])
+                k += 1
+            if furthest <= start:
                 out.append((start, 3, end))
     return out
 
