@@ -35,8 +35,8 @@ DRAWS = 1 << 52
 class MixParams:
     flatten: float = 0.7  # default target of a value: its share to this power
     rate: float = 0.75  # expected share of all tokens that is kept
-    iterations: int = 20
-    error: float = 1e-4  # largest correction of a margin in the last round
+    iterations: int = 40
+    error: float = 1e-6  # largest correction of a margin in the last round
     seed: int = 17
     broadcast_cells: int = 100_000  # the cell table is broadcast up to this measured size
 
@@ -150,7 +150,7 @@ def scale_for(cells: DataFrame, rate: float, steps: int = 50) -> float:
         if not rest:
             return scale
         new = (rate * total - full) / rest
-        if abs(new - scale) <= 1e-7 * scale:
+        if abs(new - scale) <= 1e-9 * scale:
             return new
         scale = new
     return scale
