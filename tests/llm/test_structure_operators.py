@@ -36,7 +36,7 @@ def test_neighbours_against_brute_force(spark):
     odd = [(1000, None, "z"), (1001, [0.0] * 24, "z"), (1002, [float("nan")] * 24, "z"), (1003, [float("inf")] + [0.0] * 23, "z"),
            (1004, [1.0, None] + [0.0] * 22, "z"), (1005, [1.0], "z"), (None, rows[0][1], "z"), rows[3], (1006, [], "z")]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, score string")
-    params = ann.AnnParams(k=5, enough=3000)
+    params = ann.AnnParams(k=5)
     got = collections.defaultdict(list)
     for r in ann.nearest(df, F.col("id") % 20 == 0, params=params).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score, r.rank))
@@ -52,6 +52,23 @@ def test_neighbours_against_brute_force(spark):
     assert hits / (5 * len(got)) >= 0.9
 
 
+def test_equal_vectors_come_in_order_of_their_ids(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1000:1050] = x[0]  # 50 copies, dealt over the blocks
+    x[1500:1515] = x[20]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert [i for i, _ in got[0]] == list(range(1000, 1020)) and len({s for _, s in got[0]}) == 1
+    assert [i for i, _ in got[1040]] == [0, *range(1000, 1019)]
+    assert [i for i, _ in got[20]][:15] == list(range(1500, 1515))
+    hits = sum(len({i for i, _ in got[q]} & set(np.lexsort((np.arange(2000), -np.where(np.arange(2000) == q, -9, x @ x[q])))[:20].tolist())) for q in range(100, 1000, 20))
+    assert hits / (20 * 45) >= 0.9
+
+
 def test_neighbours_of_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.5, 0.0])], "vec_id long, embedding array<float>")
     got = [tuple(r) for r in ann.nearest(df, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect()]

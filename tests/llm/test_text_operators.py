@@ -77,6 +77,26 @@ def test_entropy_adds_and_allow_list_suppresses():
         assert not [s for s in secret_scan.all_spans(clean, rules) if s[1] == 3], clean
 
 
+def test_overlaps_with_fixed_spans_are_found_by_walking_both():
+    rng = random.Random(17)
+    rules = secret_scan.EntropyRules()
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    found = 0
+    for _ in range(300):
+        text = ""
+        for _ in range(rng.randint(1, 30)):
+            word = "".join(rng.choice(letters) for _ in range(rng.randint(5, 60)))
+            text += rng.choice(["", "token=", "AKIA", "secret: ", " "]) + rng.choice([word, "".join(rng.choice("0123456789abcdef") for _ in range(30))]) + rng.choice([" ", "", "_"])
+        taken = secret_scan.fixed_spans(text)
+        free = secret_scan.entropy_spans(text, [], rules)
+        want = [x for x in free if not any(s < x[2] and x[0] < e for s, _, e in taken)]
+        assert secret_scan.entropy_spans(text, taken, rules) == want
+        found += len(want)
+    assert found > 100
+    many = " ".join(f"token=abcdefghijkl{k} k9XvQ2mZr7TbLp4WsYd8GhJcN{k}" for k in range(8000))
+    assert len(secret_scan.all_spans(many, rules)) >= 8000
+
+
 def test_scan_edge_rows(spark):
     df = spark.createDataFrame([*edge_rows(), (6, "é token=abcdefghijklmnop", "x", "y")], DOC)
     rows = secret_scan.scan_secrets(df).collect()
@@ -301,3 +321,21 @@ def test_toxicity_without_labels(spark):
     frame = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     model = toxicity.train(frame, labelled(spark, []), F.lit(False), toxicity.FmParams(buckets=64))
     assert all(r.score < 1e-6 for r in toxicity.score(frame, model).collect())
+
+
+@pytest.mark.parametrize("name", "social-history article-header reply-from-minister rail-strike share respond notice-of-death header-image-caption share-price-report".split())
+def test_names_that_only_hold_a_doubtful_word_do_not_drop_text(name):
+    story = "<p>" + "This is the story, told in full sentences. " * 12 + "</p>"
+    page = (f'<html><body><div class="site-header">Menu Home</div><div class="text"><p>{"Lead text, with words. " * 10}</p>'
+            f'<div class="{name}">{story}</div></div><div class="comment-list"><p>Reader says hi, at length.</p></div>'
+            '<div class="ad"><p>Buy now, pay later, all day long.</p></div></body></html>')
+    text = extraction.main_text(page)
+    assert "told in full" in text and "Lead text" in text
+    assert not any(w in text for w in ("Reader", "Menu", "Buy"))
+    alone = extraction.main_text(f'<html><body><nav>Home</nav><div class="{name}">{story * 3}<p>Short.</p></div><div class="footer">About</div></body></html>')
+    assert alone.count("told in full") == 36 and "Short." in alone and "About" not in alone and "Home" not in alone
+
+
+def test_an_advert_longer_than_the_article_stays_out():
+    page = f'<html><body><article><p>Short news, told once.</p></article><div class="ad"><p>{"Buy now, pay later. " * 50}</p></div></body></html>'
+    assert extraction.main_text(page) == "Short news, told once."
