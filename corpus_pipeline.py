@@ -8,7 +8,7 @@ empty tables are handled as the operators state.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shiftlens.llm import mixing, neardup, packing, quality, secret_scan
 from shiftlens.llm.shared import importable_on_workers, stored, table, vocabulary_path
@@ -22,9 +22,17 @@ def row_and(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *columns)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Make the package importable on workers, and bound a batch that goes to Python by its bytes: three
+    stages run in the same workers, whose memory keeps the size of the largest batch."""
+    importable_on_workers(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least ``LEAST_QUALITY``; learned from all labelled ones."""
-    importable_on_workers(spark)
+    bounded_batches(spark)
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
     model = quality.train(docs, labels, F.lit(False))
     scored = quality.score(row_and(docs, "text"), model, "_score")
@@ -32,24 +40,29 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id.
+    """One document of each group of near copies: the one with the smallest doc_id, and of several
+    with that id the one with the smallest digest of its text.
 
-    Rows that share a doc_id are one document, of which the row with the longest text stays; rows
-    without doc_id stay as they are.
+    Rows are linked by a key of doc_id and text, so rows that share a doc_id are compared like any
+    others when their texts differ, and so are rows without doc_id, which come last in their group.
+    Rows with one doc_id and one text are copies; the one with the smallest hash of the row stays.
     """
-    importable_on_workers(spark)
-    found = neardup.near_duplicates(docs.select("doc_id", "text"), NEAR)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept"))
-    one = Window.partitionBy("doc_id").orderBy(F.desc_nulls_last(F.length("text")), "text")
-    rows = row_and(docs.where("doc_id is not null"), "doc_id", "text")
-    rows = rows.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    rows = rows.withColumn("_turn", F.row_number().over(one)).where("_turn = 1").select("_row.*")
-    return rows.unionByName(docs.where("doc_id is null"))
+    bounded_batches(spark)
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    keyed = docs.select("doc_id", digest.alias("digest"), F.xxhash64("doc_id", digest).alias("key"), "text")
+    found = neardup.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), NEAR)
+    found = found.select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = keyed.select("key", "doc_id", "digest").join(found, "key")
+    best = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest")).alias("best"))
+    kept = best.select(F.col("best.doc_id").alias("_id"), F.col("best.digest").alias("_kept"))
+    rows = row_and(docs, "doc_id").withColumn("_digest", F.md5(F.coalesce("_row.text", F.lit(""))))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_kept")), "left_semi")
+    return rows.groupBy("doc_id", "_digest").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")
 
 
 def secret_scanning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by their kind, n_chars brought up to date."""
-    importable_on_workers(spark)
+    bounded_batches(spark)
     clean = secret_scan.redact(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -64,7 +77,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
-    importable_on_workers(spark)
+    bounded_batches(spark)
     return packing.pack(docs, vocabulary_path("byte_bpe_50k.json"))
 
 
