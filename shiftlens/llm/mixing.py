@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shiftlens.session import cut_lineage
 
@@ -104,36 +104,35 @@ def scaled_targets(cells: DataFrame, targets: dict[str, DataFrame], total: float
 
 
 def raked(cells: DataFrame, targets: dict[str, DataFrame], params: MixParams) -> DataFrame:
-    """``cells`` with ``weight``: raked tokens."""
+    """``cells`` with ``weight``: raked tokens.
+
+    Each cell carries the targets of its three values, so a round is three sums over windows of the
+    cells and one small job, without joins.  Cells are distinct combinations of values, however many
+    documents there are.
+    """
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
-    cells = cells.withColumn("weight", F.col("tokens"))
     if total == 0:
-        return cells
+        return cells.withColumn("weight", F.col("tokens"))
     wanted = cut_lineage(scaled_targets(cells, targets, total))
-
-    def ratios(table, m):
-        have = table.groupBy(m).agg(F.sum("weight").alias("have"))
-        goal = wanted.where(F.col("margin") == m).select(F.col("value").alias(m), "target")
-        return have.join(goal, m, "left").select(
-            m, F.when(F.col("have") > 0, F.coalesce("target", F.lit(0.0)) / F.col("have")).otherwise(1.0).alias("ratio")
-        )
-
-    cells = cells.withColumn("miss", F.lit(0.0))
+    for m in MARGINS:
+        goal = wanted.where(F.col("margin") == m).select(F.col("value").alias(m), F.col("target").alias(f"goal_{m}"))
+        cells = cells.join(goal, m, "left")
+    cells = cut_lineage(cells.withColumn("weight", F.col("tokens")))
+    columns = [*MARGINS, "tokens", *[f"goal_{m}" for m in MARGINS]]
     for _ in range(params.iterations):
-        for k, m in enumerate(MARGINS):
-            step = cells.join(ratios(cells, m), m)
-            off = F.abs(F.col("ratio") - 1)
-            cells = cut_lineage(
-                step.select(
-                    *MARGINS,
-                    "tokens",
-                    (F.col("weight") * F.col("ratio")).alias("weight"),
-                    (off if k == 0 else F.greatest("miss", off)).alias("miss"),
-                )
+        step = cells.select(*columns, "weight", F.lit(0.0).alias("miss"))
+        for m in MARGINS:
+            have = F.sum("weight").over(Window.partitionBy(m))
+            step = step.withColumn("ratio", F.when(have > 0, F.coalesce(F.col(f"goal_{m}"), F.lit(0.0)) / have).otherwise(1.0))
+            step = step.select(
+                *columns,
+                (F.col("weight") * F.col("ratio")).alias("weight"),
+                F.greatest("miss", F.abs(F.col("ratio") - 1)).alias("miss"),
             )
+        cells = cut_lineage(step)
         if (cells.agg(F.max("miss")).first()[0] or 0.0) <= params.error:
             break
-    return cells.drop("miss")
+    return cells.select(*MARGINS, "tokens", "weight")
 
 
 def scale_for(cells: DataFrame, rate: float, steps: int = 50) -> float:
