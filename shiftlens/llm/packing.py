@@ -38,6 +38,8 @@ class PackParams:
     capacity: int = 1024
     open_windows: int = 64
     least_cut: int = 16  # gaps under this many tokens are not topped up
+    words: int = 1_000_000  # whose ids a worker keeps during a task
+    chunk: int = 4_000_000  # characters of text that are tokenised together
     merged_partitions: int = 4  # whose leftovers meet in one group, that many times open_windows windows
 
 
@@ -188,9 +190,9 @@ class CachedTokenizer:
 
 
 @lru_cache(maxsize=1)
-def tokenizer_of(path: str) -> CachedTokenizer:
+def tokenizer_of(path: str, words: int) -> CachedTokenizer:
     """One per Python worker; the words are forgotten at the end of each task."""
-    return CachedTokenizer(path)
+    return CachedTokenizer(path, words)
 
 
 def chunked(ids: list, texts: list, most: int = 4_000_000, rows: int = 4000) -> Iterator[tuple[list, list]]:
@@ -312,15 +314,16 @@ def pack(docs: DataFrame, vocabulary: str, params: PackParams = PackParams()) ->
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        tokens, packer = tokenizer_of(vocabulary), Packer(params)
+        tokens, packer = tokenizer_of(vocabulary, params.words), Packer(params)
         for batch in batches:
-            for doc_ids, texts in chunked(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_ids, texts in chunked(batch.column(0).to_pylist(), batch.column(1).to_pylist(), params.chunk):
                 out = []
                 for doc_id, ids in zip(doc_ids, tokens.many(texts)):
                     out += packer.add(doc_id, ids)
                 if out:
                     yield piece_batch(out, part)
         tokens.forget()
+        pa.default_memory_pool().release_unused()
         if packer.held:
             yield piece_batch(packer.leftovers(), part)
 
