@@ -15,6 +15,7 @@ from shiftlens.llm.shared import importable_on_workers, stored, table, vocabular
 
 LEAST_QUALITY = 0.5
 NEAR = neardup.NearParams(words=5, percent=80)
+PACK = packing.PackParams(words=250_000, chunk=1_000_000)  # smaller memories: three stages share the workers
 
 
 def row_and(docs: DataFrame, *columns: str) -> DataFrame:
@@ -26,8 +27,8 @@ def bounded_batches(spark: SparkSession) -> None:
     """Make the package importable on workers, and bound a batch that goes to Python by its bytes: three
     stages run in the same workers, whose memory keeps the size of the largest batch."""
     importable_on_workers(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +79,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
     bounded_batches(spark)
-    return packing.pack(docs, vocabulary_path("byte_bpe_50k.json"))
+    return packing.pack(docs, vocabulary_path("byte_bpe_50k.json"), PACK)
 
 
 STAGES = [
