@@ -50,15 +50,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     bounded_batches(spark)
     digest = F.md5(F.coalesce("text", F.lit("")))
-    keyed = docs.select("doc_id", digest.alias("digest"), F.xxhash64("doc_id", digest).alias("key"), "text")
+    key = F.xxhash64("doc_id", digest).alias("key")
+    keyed = docs.select("doc_id", digest.alias("digest"), key, "text")
     found = neardup.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), NEAR)
     found = found.select(F.col("doc_id").alias("key"), "component_id").distinct()
     ids = keyed.select("key", "doc_id", "digest").join(found, "key")
-    best = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest")).alias("best"))
-    kept = best.select(F.col("best.doc_id").alias("_id"), F.col("best.digest").alias("_kept"))
-    rows = row_and(docs, "doc_id").withColumn("_digest", F.md5(F.coalesce("_row.text", F.lit(""))))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_kept")), "left_semi")
-    return rows.groupBy("doc_id", "_digest").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")
+    first = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest", "key")
+    kept = ids.groupBy("component_id").agg(F.min(first).alias("first")).select("first.key")
+    # The join and the choice among copies are on one key, so the rows are shuffled once.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key).join(kept, "key", "left_semi")
+    return rows.groupBy("key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")
 
 
 def secret_scanning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
