@@ -14,6 +14,7 @@ from shiftlens.functions import names as NM
 from shiftlens.functions.text import byte_length, match_key
 from shiftlens.operators.common import union_all
 from shiftlens.operators.containment import containments
+from shiftlens.session import cut_lineage
 
 FUZZY_THRESHOLD = 0.5
 
@@ -456,22 +457,41 @@ def expected_members(expected: DataFrame, people: DataFrame) -> DataFrame:
     """Which expected names exist, and how many stored people have a name part that contains
     the expected given name or surname.
 
-    Containment is looked up in an index of q-grams (see ``containment``), name part by name part.
+    Containment is looked up piece by piece (see ``containment``), name part by name part.  People
+    found by either name are those found by the one, and by the other, less those found by both;
+    the latter come from the few expected names that a person's own parts contain, so no expected
+    name is ever joined with everybody who has its given name.
     """
     first, last = match_key(F.col("first_name")), match_key(F.col("last_name"))
     e = expected.select("first_name", "last_name").distinct().withColumns({"_ef": first, "_el": last})
     stored = people.select("employee_id", first.alias("_sf"), last.alias("_sl"))
     exact = stored.groupBy("_sf", "_sl").agg(F.min("employee_id").alias("employee_id"))
-    wanted = e.select("_ef", "_el", F.explode(F.array_distinct(F.array("_ef", "_el"))).alias("_q")).where("_q <> ''")
-    parts = stored.select("employee_id", F.explode(F.array_distinct(F.array("_sf", "_sl"))).alias("text"))
-    found = containments(wanted.select(F.col("_q").alias("pattern")), parts)
-    pieces = found.join(parts, "text").select(F.col("pattern").alias("_q"), "employee_id").distinct()
-    variants = (
-        wanted.join(pieces, "_q")
-        .select("_ef", "_el", "employee_id")
-        .distinct()
+    names = e.select("_ef", "_el").where("_ef is not null and _el is not null").distinct()
+    # Which of the two a pattern is: a person's given names only meet a person's surnames below.
+    roles = (
+        names.select(F.expr("inline(array(named_struct('_q', _ef, 'role', 1), named_struct('_q', _el, 'role', 2)))"))
+        .where("_q <> ''")
+        .groupBy("_q")
+        .agg(F.bit_or("role").alias("role"))
+    )
+    parts = stored.select("employee_id", F.explode(F.array_distinct(F.array("_sf", "_sl"))).alias("text")).distinct()
+    found = containments(roles.select(F.col("_q").alias("pattern")), parts)
+    pieces = cut_lineage(found.join(parts, "text").select(F.col("pattern").alias("_q"), "employee_id").distinct())
+    alone = pieces.groupBy("_q").agg(F.count(F.lit(1)).alias("n"))
+    mine = pieces.join(roles, "_q")
+    givens = mine.where("role & 1 = 1").select(F.col("_q").alias("_ef"), F.col("employee_id").alias("_id"))
+    both = (
+        givens.join(mine.where("role & 2 = 2"), F.col("_id").eqNullSafe(F.col("employee_id")))
+        .select("_ef", F.col("_q").alias("_el"))
         .groupBy("_ef", "_el")
-        .agg(F.count(F.lit(1)).alias("variants"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    # A name whose two parts are the same counts once: all it finds is found by both.
+    variants = (
+        names.join(alone.select(F.col("_q").alias("_ef"), F.col("n").alias("by_first")), "_ef", "left")
+        .join(alone.select(F.col("_q").alias("_el"), F.col("n").alias("by_last")), "_el", "left")
+        .join(both, ["_ef", "_el"], "left")
+        .select("_ef", "_el", F.expr("coalesce(by_first, 0) + coalesce(by_last, 0) - coalesce(n, 0)").alias("variants"))
     )
     return (
         e.join(exact, (F.col("_ef") == F.col("_sf")) & (F.col("_el") == F.col("_sl")), "left")

@@ -186,3 +186,51 @@ def test_expected_members_with_long_names(spark):
     expected = spark.createDataFrame([("Anna", "Verdi"), ("Nobody", "Q")], "first_name string, last_name string")
     got = {r.first_name: tuple(r) for r in P.expected_members(expected, stored).collect()}
     assert got == {"Anna": ("Anna", "Verdi", True, 1, 4), "Nobody": ("Nobody", "Q", False, None, 0)}
+
+
+def rows_of_joins(df):
+    """Rows that the joins of an executed plan put out, by plan node."""
+    found = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        inner = [node.plan()] if "QueryStage" in name else [node.children().apply(i) for i in range(node.children().size())]
+        for child in inner:
+            walk(child)
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def test_expected_members_with_one_given_name_for_all(spark):
+    """Many expected names share a given name that many stored people have: the variants are counted
+    without joining the ones with the others."""
+    letters = "abcdefghij"
+    word = lambda i: "zz" + "".join(letters[int(c)] for c in str(i))
+    stored = [(i, "Anna" if i % 2 else "Annalisa", word(i), True) for i in range(3000)]
+    stored += [(None, "Anna", "Zzb", True), (None, "anna", "zzb", True), (5, "Bo", word(7), True), (9000, None, "annazzb", True), (9001, "", "", True)]
+    expected = [("Anna", word(i)) for i in range(3000)] + [("Zzb", "zzb"), ("", "zzbc"), (None, "zzb"), ("Anna", ""), ("anna", "zzb")]
+    got = P.expected_members(spark.createDataFrame(expected, "first_name string, last_name string"), spark.createDataFrame(stored, PEOPLE))
+    found = {(r.first_name, r.last_name): (r.present, r.variants) for r in got.collect()}
+    assert len(found) == len(set(expected))
+    fold = lambda t: (t or "").lower()
+    for f, l in [x for k, x in enumerate(expected) if k % 97 == 0 or k >= 3000 or k < 12]:
+        want = len({i for i, sf, sl, _ in stored if any(q and q in fold(t) for q in (fold(f), fold(l)) for t in (sf, sl))})
+        present = any(sf is not None and (fold(sf), fold(sl)) == (fold(f), fold(l)) and i is not None for i, sf, sl, _ in stored)
+        assert found[f, l] == ((present, want) if f is not None else (False, 0)), (f, l)
+    assert max(rows_of_joins(got)) < 40_000  # 3,000 names with 3,000 people would be 9 million
+
+
+def test_containment_rows_grow_with_the_texts(spark):
+    """Texts that share grams with patterns they do not hold."""
+    from shiftlens.operators.containment import containments
+
+    numbers = spark.range(4000).selectExpr("translate(lpad(cast(id as string), 4, '0'), '0123456789', 'abcdefghij') as w")
+    texts, patterns = numbers.selectExpr("concat('xy', w, 'zzz') as text"), numbers.selectExpr("concat('y', reverse(w)) as pattern")
+    got = containments(patterns, texts)
+    assert len(got.collect()) == 1600  # those whose reverse is a number below 4,000 too
+    assert max(rows_of_joins(got)) < 60_000  # the rarest gram of a pattern is in up to 40 texts
