@@ -396,3 +396,25 @@ def test_components_of_chains_and_stars(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = {k: 100 for k in range(100, 141)} | {k: 1 for k in range(500, 560)} | {1: 1, 7: 7, 8: 7, 9: 7}
     assert got == want
+
+
+def test_a_cell_compares_the_place_of_its_own_row_only(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    cells = fingerprint.sketch(F.col("own"), 8, 1)
+    peeled = fingerprint.peel(F.col("cells"), 8, 1, 3)
+    for column in (cells, peeled):
+        assert not re.search(r"p0.{0,80}\bOR\b.{0,80}p1", column._jc.toString(), re.S | re.I)
+    df = spark.createDataFrame([([11, 12, 13, -5],), ([],)], "own array<long>")
+    for r in df.select("own", cells.alias("cells")).collect():
+        for j in range(fingerprint.ROWS):
+            assert sum(c.n for c in r.cells[8 * j : 8 * j + 8]) == len(r.own)
+            key = 0
+            for c in r.cells[8 * j : 8 * j + 8]:
+                key ^= c.key
+            want = 0
+            for h in r.own:
+                want ^= h
+            assert key == want
