@@ -142,6 +142,11 @@ class DailyTables:
         found = U.in_partitions(self._table("contributions", CONTRIBUTION), days, "work_date")
         return found.where("employee_id is not null")
 
+    def _held(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` as a table of this batch, which the next batch replaces."""
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.path(name))
+        return self.spark.read.schema(rows.schema).parquet(self.path(name))
+
     # ------------------------------------------------------------ one batch
 
     def apply(self, batch: dict[str, DataFrame], keys: dict[str, list[str]] | None = None) -> None:
@@ -150,11 +155,13 @@ class DailyTables:
         rows = {feed: stamped(feed, frame, (keys or {}).get(feed, ["id"])) for feed, frame in batch.items()}
         if not rows:
             return
-        new = cut_lineage(
+        rows = {feed: self._held(frame, f"batch_{feed}") for feed, frame in rows.items()}
+        new = self._held(
             union_all([_shaped(part, CONTRIBUTION) for f, r in rows.items() for part in contributions(f, r, self.clients)])
-            .where("employee_id is not null")
+            .where("employee_id is not null"),
+            "batch_contributions",
         )
-        facts = cut_lineage(union_all([r.select(*KEEP, "employee_id") for r in rows.values()]))
+        facts = union_all([r.select(*KEEP, "employee_id") for r in rows.values()])
         pending = self._table("pending", "employee_id bigint, work_date date")
         if facts.isEmpty() and pending.isEmpty():
             return
@@ -173,12 +180,12 @@ class DailyTables:
         """Keys that the facts, or the earlier versions of them, add to."""
         homes = facts.select(F.col("home").alias("work_date"))
         before = self.stored(homes).where("work_date = home").select(*KEEP, "employee_id").distinct()
-        before = before.join(facts.select(*FACT), FACT, "left_semi")
+        before = before.join(facts.select(*FACT).hint("merge"), FACT, "left_semi")  # facts grow with the batch
         every = facts.where("employee_id is not null").unionByName(before)
         return every.select("employee_id", F.explode(F.sequence("home", F.greatest("home", "last"))).alias("work_date")).distinct()
 
     def _replace(self, new: DataFrame, facts: DataFrame, touched: DataFrame) -> None:
-        others = self.stored(touched).join(facts.select(*FACT), FACT, "left_anti")
+        others = self.stored(touched).join(facts.select(*FACT).hint("merge"), FACT, "left_anti")
         rows = others.unionByName(new).unionByName(_markers(touched, CONTRIBUTION))
         self._write(rows, "contributions")
 
@@ -229,7 +236,8 @@ class DailyTables:
     def _found(self, keys: DataFrame, kpi: DataFrame) -> DataFrame:
         """Anomalies of the keys as the stored facts are now."""
         s = self.settings or Settings()
-        rows = self.stored(keys).join(keys.select(*KEYS).distinct(), KEYS, "left_semi")
+        rows = self.stored(keys).join(keys.select(*KEYS).distinct().hint("merge"), KEYS, "left_semi")
+        rows = self._held(rows, "batch_rows")  # for the ledger, the overlaps and the travels
         ledger = V.summed_entries([rows.select(*KEYS, *V.LEDGER)])
         rules = [V.hours_mismatch(s), V.orphan_sessions(), V.insufficient_hours(s), V.missing_reports()]
         sheets, cars = rows.where("feed = 'timesheets' and punches = 1"), rows.where("feed = 'vehicle_log'")

@@ -223,3 +223,38 @@ def test_drop_folder_to_kpi_and_anomalies(spark, tmp_path):
     before = kept(t)
     run()
     assert kept(tables()) == before
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_people_and_feeds_are_made_once_for_all_batches(spark, tmp_path):
+    from shiftlens.plans import domain, incremental_queries as I
+
+    at = ts("2024-01-02 08:00")
+    data = {
+        "events": [(i, at, i % 3, k, 6.0, '{"k": 1}') for i, k in enumerate(["view", "click", "signup", "error", "purchase"] * 4)],
+        "customer": [(i, f"C{i}", 1, 1.0, "BUILDING") for i in range(3)],
+        "nation": [(1, "NATION", 1)],
+        "supplier": [(1, "S", 1, 1.0)],
+        "part": [(i, "p", "b", "t", 1, 1.0) for i in range(4)],
+    }
+    for name, found in data.items():
+        spark.createDataFrame(found, domain.SCHEMAS[name]).write.parquet(str(tmp_path / f"{name}.parquet"))
+    d = domain.Domain(spark, str(tmp_path))
+    tables, feeds = I._tables(d), I._feeds(d)
+    for frame in (tables.employees, tables.clients, *feeds.values()):
+        assert "Join" not in plan_of(frame) and "Aggregate" not in plan_of(frame)
+    for feed, frame in feeds.items():
+        assert rows(frame) == rows(getattr(d, feed)) and frame.schema == getattr(d, feed).schema
+
+
+def test_anomaly_rules_share_one_read_of_the_touched_rows(spark, people, tmp_path, monkeypatch):
+    seen = []
+    real = V.overlaps
+    monkeypatch.setattr(V, "overlaps", lambda sheets, *rest: seen.append(plan_of(sheets)) or real(sheets, *rest))
+    tables = DailyTables(spark, str(tmp_path / "t"), *people)
+    sheet = (1, 1, 10, day("2025-06-03"), ts("2025-06-03 08:00"), ts("2025-06-03 12:00"), D("4"))
+    tables.apply({"timesheets": spark.createDataFrame([sheet], SCHEMAS["timesheets"])})
+    assert seen and "Join" not in seen[0]
