@@ -16,7 +16,6 @@ and rows without doc_id are packed as often as they occur.
 from __future__ import annotations
 
 import os
-import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,10 +42,15 @@ class PackParams:
     merged_partitions: int = 4  # whose leftovers meet in one group, that many times open_windows windows
 
 
-#: UTF-8 of any white space other than blank and line feed.
-WHITE = re.compile(
-    rb"[\t\x0b-\r\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
-)
+#: White space other than blank and line feed: in one byte, and in UTF-8 of two or three.
+NARROW = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+WIDE = [c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))]
+PUNCTUATION = [k for k in range(33, 127) if not chr(k).isalnum()]
+#: Of a byte: 1 for blank and line feed, 2 for NARROW, 3 for the first byte of any in WIDE, 4 for a letter of ASCII.
+KIND = np.zeros(256, np.uint8)
+KIND[[10, 32]], KIND[list(NARROW)], KIND[[w[0] for w in WIDE]] = 1, 2, 3
+KIND[[k for k in range(128) if chr(k).isalpha()]] = 4
+WIDE_CODES = np.array([int.from_bytes(w.ljust(3, b"\0"), "big") for w in WIDE])
 BYTE_VALUES = np.random.default_rng(29).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 FACTOR = np.uint64(0x5851F42D4C957F2D)
 
@@ -69,13 +73,33 @@ def unit_hashes(data: np.ndarray, starts: np.ndarray, block: int = 1 << 20) -> n
     return out
 
 
+def odd_places(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where white space other than blank and line feed starts in UTF-8 text; ``kind`` is KIND of its bytes."""
+    wide = np.flatnonzero(kind == 3)
+    if len(wide):
+        lead = data[wide].astype(np.int64)
+        second, third = (data[np.minimum(wide + k, len(data) - 1)].astype(np.int64) for k in (1, 2))
+        third[lead < 0xE0] = 0  # two bytes
+        wide = wide[np.isin(lead << 16 | second << 8 | third, WIDE_CODES)]
+    return np.concatenate([np.flatnonzero(kind == 2), wide])
+
+
+def told_apart(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, where the first of each is, and which of them every key is; without a sort."""
+    which, distinct = pd.factorize(keys)
+    example = np.empty(len(distinct), np.int64)
+    example[which[::-1]] = np.arange(len(keys))[::-1]  # the first is written last
+    return distinct, example, which
+
+
 class CachedTokenizer:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     Byte-level BPE never joins letters across a single blank or line feed between two other
     characters, so a text is put together from the ids of its units, each a blank or line feed and
-    the word behind it (a line feed is put before the text, and its id taken off again).  Many texts
-    are one array of bytes; their distinct units, told apart by two 64-bit hashes, are looked up, and
+    the word behind it (a line feed is put before the text, and its id taken off again).  Where the
+    tokenizer ends a piece between a letter of ASCII and a punctuation mark, a unit ends there too, so
+    a word is learnt once whatever mark follows it.  Many texts are one array of bytes; their distinct units, told apart by two 64-bit hashes, are looked up, and
     those that are not known are encoded together and cut at the blank or line feed of each.  Texts
     with any other white space, or with two in a row, go through the tokenizer whole.
 
@@ -99,6 +123,9 @@ class CachedTokenizer:
         opens[0, [i for token, i in vocabulary.items() if token.startswith(blank)]] = True
         opens[1, feed] = True
         self.opens = {32: opens[0], 10: opens[1]}
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer else lambda text: [(text, 0)]
+        self.kind = KIND.copy()  # 5 for the marks that are never one piece with a letter before them
+        self.kind[[k for k in PUNCTUATION if cut(f"a{chr(k)}")[0][0] == cut(f"a{chr(k)}a")[0][0] == "a"]] = 5
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -125,6 +152,8 @@ class CachedTokenizer:
         for mark in self.opens:
             own = [k for k, u in enumerate(units) if u[0] == mark]
             new.update(zip([hashes[k] for k in own], self.encoded([units[k] for k in own], mark)))
+        own = [k for k, u in enumerate(units) if u[0] not in self.opens]
+        new.update(zip([hashes[k] for k in own], self.whole([units[k].decode() for k in own])))
         if len(self.known) + len(new) > self.most:
             self.known.clear()
         self.known.update(new)
@@ -136,11 +165,14 @@ class CachedTokenizer:
         joined = b"".join(raw)
         data = np.frombuffer(joined, np.uint8)
         bounds = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-        starts = np.flatnonzero((data == 32) | (data == 10))
+        kind = self.kind[data]
+        begins = kind == 1
+        begins[1:] |= (kind[1:] == 5) & (kind[:-1] == 4)
+        starts = np.flatnonzero(begins)
         lengths = np.diff(np.append(starts, len(data)))
         first = np.searchsorted(starts, bounds)  # a text's first unit; texts start with a line feed
         odd = np.zeros(len(texts), bool)
-        single = [m.start() for m in WHITE.finditer(joined)] + starts[lengths == 1].tolist()
+        single = np.concatenate([odd_places(data, kind), starts[(lengths == 1) & (kind[starts] == 1)]])
         odd[np.searchsorted(bounds, single, side="right") - 1] = True
         if not self.plain_feed:
             odd[:] = True
@@ -164,7 +196,7 @@ class CachedTokenizer:
         if ends[-1] != len(data):  # units of other texts lie between
             packed = data[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]
         key, check = unit_hashes(packed, ends - lengths)
-        distinct, example, which = np.unique(key, return_index=True, return_inverse=True)
+        distinct, example, which = told_apart(key)
         if (check != check[example][which]).any():
             raise ValueError("two words with one hash")  # once in 2 ** 64 pairs
         names = distinct.tolist()

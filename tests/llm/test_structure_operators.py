@@ -309,6 +309,31 @@ def test_ids_of_words_are_those_of_the_whole_text():
     assert got == [ids + packing.END for ids in tokens.whole([t or "" for t in texts])]
 
 
+def test_a_word_is_learnt_once_whatever_mark_follows():
+    marks = [chr(k) for k in range(33, 127) if not chr(k).isalnum()]
+    tokens = packing.CachedTokenizer(vocabulary_path("byte_bpe_50k.json"))
+    texts = [f"so {word}{mark} then {word}{mark}{word}{mark}{mark}{end}" for word in ("wordy", "caf\u00e9", "x2", "don't")
+             for mark in marks for end in ("", "s", "9", " s", "\u00e9")]
+    assert tokens.many(texts) == [ids + packing.END for ids in tokens.whole(texts)]
+    tokens.forget()
+    tokens.many([f"wordy{mark} wordy{mark}" for mark in marks])
+    assert len(tokens.known) <= 2 + len(marks)  # with each mark: over twice as many
+
+
+def test_white_space_in_bytes():
+    rng = random.Random(5)
+    odd = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+    others = "a \n\u00c2\u0085\u00e2\u180e\u200b\u2010\u20a0\u2060\u3001\uff00\U0001f600"
+    for _ in range(200):
+        text = "".join(rng.choice(rng.choice([odd, others])) for _ in range(rng.randint(1, 30)))
+        data = np.frombuffer(text.encode(), np.uint8)
+        want = [len(text[:k].encode()) for k, c in enumerate(text) if c in odd]
+        assert sorted(packing.odd_places(data, packing.KIND[data]).tolist()) == want
+    keys = np.array([7, 5, 7, 1 << 63, 5], np.uint64)
+    distinct, example, which = packing.told_apart(keys)
+    assert distinct[which].tolist() == keys.tolist() and example.tolist() == [0, 1, 3]
+
+
 def test_best_fit_and_fullest():
     packer = packing.Packer(packing.PackParams(capacity=16, open_windows=2, least_cut=3))
     ids = lambda n: b"\x01\x00\x00\x00" * n
