@@ -443,3 +443,31 @@ def test_a_cell_compares_the_place_of_its_own_row_only(spark):
             for h in r.own:
                 want ^= h
             assert key == want
+
+
+def test_cells_in_use_are_those_of_the_whole_sketch(spark):
+    rng = random.Random(8)
+    some = lambda n: [rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)]
+    pairs = [([], []), ([1], [1]), ([1], [2])]
+    for n in range(1, 14):
+        both = some(rng.randint(0, 20))
+        pairs.append((both + some(n), both + some(rng.randint(0, n))))
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, own array<long>, other array<long>")
+    entries = F.concat(fingerprint.entries_of(F.col("own"), 8, 1, 1), fingerprint.entries_of(F.col("other"), 8, 1, -1))
+    dense = fingerprint.subtract(fingerprint.sketch(F.col("own"), 8, 1), fingerprint.sketch(F.col("other"), 8, 1))
+    start = fingerprint.unpeeled(fingerprint.filled_rows(entries))
+    rows = df.select("k", "own", "other", dense.alias("cells"), start.alias("start"))
+    rows = rows.withColumn("of_start", fingerprint.peeled(F.col("start"), 8, 1, 12))
+    rows = rows.withColumn("of_cells", fingerprint.peel(F.col("cells"), 8, 1, 12))
+    rows = rows.withColumn("tried", fingerprint.shard_difference(F.col("own"), F.col("other"), fingerprint.SketchParams()))
+    peels = 0
+    for r in rows.collect():
+        used = {(i, *c) for i, c in enumerate(r.cells) if c.n or c.key}
+        assert used == {tuple(c) for row in (r.start.c0, r.start.c1, r.start.c2) for c in row}
+        assert r.of_start.ok == r.of_cells.ok and sorted(r.of_start.left) == sorted(r.of_cells.left)
+        assert r.tried.ok and set(r.tried.left) == set(r.own) - set(r.other) and set(r.tried.right) == set(r.other) - set(r.own)
+        assert len(r.tried.left) == len(set(r.tried.left)) and len(r.tried.right) == len(set(r.tried.right))
+        if r.of_start.ok:
+            peels += 1
+            assert set(r.of_start.left) == set(r.own) - set(r.other) and set(r.of_start.right) == set(r.other) - set(r.own)
+    assert peels > 5
