@@ -471,3 +471,31 @@ def test_cells_in_use_are_those_of_the_whole_sketch(spark):
             peels += 1
             assert set(r.of_start.left) == set(r.own) - set(r.other) and set(r.of_start.right) == set(r.other) - set(r.own)
     assert peels > 5
+
+
+def test_a_shard_is_peeled_row_by_row(spark):
+    rng = random.Random(11)
+    some = lambda n: [rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)]
+    pairs = [([], []), ([1], [1]), ([1], [2]), ([], [0]), ([3, 4, 5], [4])]
+    for n in range(1, 14):
+        both = some(rng.randint(0, 20))
+        pairs.append((both + some(n), both + some(rng.randint(0, n))))
+    pairs.append((some(200), []))  # 24 cells cannot give 200 digests away
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, own array<long>, other array<long>")
+    dense = fingerprint.subtract(fingerprint.sketch(F.col("own"), 8, 1), fingerprint.sketch(F.col("other"), 8, 1))
+    rows = df.withColumn("cells", dense).withColumn("of_cells", fingerprint.peel(F.col("cells"), 8, 1, 12))
+    rows = rows.withColumn("by_rows", fingerprint.peeled_by_rows(F.col("own"), F.col("other"), 8, 1, 12))
+    got = {r.k: r for r in rows.collect()}
+    for k, (a, b) in enumerate(pairs):
+        assert (got[k].by_rows is not None) == got[k].of_cells.ok
+        if got[k].by_rows:
+            assert sorted(got[k].by_rows.left) == sorted(set(a) - set(b))
+            assert sorted(got[k].by_rows.right) == sorted(set(b) - set(a))
+    assert got[len(pairs) - 1].by_rows is None and sum(r.by_rows is not None for r in got.values()) > 10
+
+
+def test_digests_are_made_after_the_shuffle_of_the_texts(spark):
+    df = spark.createDataFrame([(k, f"text {k} of some words") for k in range(20)], DOC)
+    plan = fingerprint.compare_versions(df)._jdf.queryExecution().optimizedPlan().toString()
+    shuffled = plan[plan.index("RepartitionByExpression"):]
+    assert "regexp_extract_all" in plan and "regexp_extract_all" not in shuffled
